@@ -1,0 +1,22 @@
+"""Joins of many rows with one small record per key."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+SALTS = 32
+
+
+def salted_join(
+    rows: DataFrame, models: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Join rows to a per-key record where one key may hold most of the rows.
+
+    Each record is repeated ``salts`` times and each row picks one copy by a
+    hash of ``spread``, so a hot key is cut into ``salts`` pieces and the
+    runtime skew split can cut each piece again.  Catalyst still broadcasts the
+    record side when its measured size is below the session's threshold.
+    """
+    copies = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keyed = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int"))
+    return keyed.join(copies, [*on, "_salt"], how).drop("_salt")
