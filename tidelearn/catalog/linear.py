@@ -23,7 +23,7 @@ RIDGE = Ridge(RidgeParams(dimension=2, window=1000, penalty=1.0, warmup=50, sent
 LASSO = ShrinkageLasso(LassoParams(dimension=2, window=1000, penalty=20.0, warmup=2000, sentinel=SENTINEL))
 
 # Sequential learners take at most this many windows, each of at least 1,000 rows.
-WINDOWS = 16
+WINDOWS = 8
 SEQ_SIZE = f"SELECT greatest(1000, CAST(ceil(count(*) / {WINDOWS}e0) AS BIGINT)) FROM ord"
 
 

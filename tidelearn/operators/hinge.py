@@ -20,22 +20,32 @@ def sign_of(score: Column) -> Column:
     return F.when(score > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
-def hinge_sums(rows: DataFrame, keys: list[str], d: int) -> DataFrame:
+def hinge_columns(d: int) -> list[Column]:
+    """Aggregates ``m``, ``sum_y`` and, for narrow vectors, ``sum_yx``."""
+    y = signed(F.col("label"))
+    margin = y * decision(F.col("features"), F.col("weights"), F.col("intercept"), d)
+    # The repeated margin is evaluated once per row in generated code.
+    hit = F.when(margin < 1.0, y)
+    out = [F.count(y).alias("m"), F.coalesce(F.sum(hit), F.lit(0.0)).alias("sum_y")]
+    if d <= UNROLL:
+        cells = [F.coalesce(F.sum(hit * F.col("features")[i]), F.lit(0.0)) for i in range(d)]
+        out.append(F.array(*cells).alias("sum_yx"))
+    else:
+        out.append(hit.alias("_v"))
+    return out
+
+
+def hinge_sums(rows: DataFrame, keys: list[str], d: int, columns: list[Column] | None = None) -> DataFrame:
     """Per key: labelled rows ``m``, and the sums of ``y x`` and ``y`` over margin violators.
 
     Rows carry ``label``, ``features``, ``weights`` and ``intercept``.  Sums
     combine before the shuffle, so a key's rows are never gathered.
     """
-    y = signed(F.col("label"))
-    margin = y * decision(F.col("features"), F.col("weights"), F.col("intercept"), d)
-    hit = rows.withColumn("_y", y).withColumn("_v", F.when(margin < 1.0, F.col("_y")))
-    count, bias = F.count("_y").alias("m"), F.coalesce(F.sum("_v"), F.lit(0.0)).alias("sum_y")
+    count, bias, last = columns or hinge_columns(d)
     if d <= UNROLL:
-        cells = [F.coalesce(F.sum(F.col("_v") * F.col("features")[i]), F.lit(0.0)).alias(f"_s{i}") for i in range(d)]
-        out = hit.groupBy(*keys).agg(count, bias, *cells)
-        return out.select(*keys, "m", "sum_y", F.array(*[F.col(f"_s{i}") for i in range(d)]).alias("sum_yx"))
-    counts = hit.groupBy(*keys).agg(count, bias)
-    parts = hit.filter("_v is not null").select(*keys, "_v", F.posexplode("features").alias("i", "x"))
+        return rows.groupBy(*keys).agg(count, bias, last)
+    counts = rows.groupBy(*keys).agg(count, bias)
+    parts = rows.select(*keys, last, F.posexplode("features").alias("i", "x")).filter("_v is not null")
     cells = parts.groupBy(*keys, "i").agg(F.sum(F.col("_v") * F.col("x")).alias("s"))
     packed = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("_m"))
     filled = F.transform(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidelearn.operators.hinge import decision, hinge_sums, sign_of, svm_step
+from tidelearn.functions.vectors import UNROLL
+from tidelearn.operators.hinge import decision, hinge_columns, hinge_sums, sign_of, svm_step
 from tidelearn.operators.joins import salted_join
 from tidelearn.operators.moments import merge_by_count
 from tidelearn.operators.routing import shard_of, split_labelled, unlabel
@@ -18,6 +19,8 @@ from tidelearn.plans.learner import KEY, Stage, keyed, need_columns
 from tidelearn.session import materialize, new_path
 from tidelearn.streaming.store import ModelStore
 
+# Numbers of model state that may pass through the driver between two windows.
+HELD = 100_000
 STATE = [*KEY, "n", "weights", "intercept"]
 
 
@@ -33,38 +36,60 @@ class OnlineSvm(Stage):
     def __init__(self, params: SvmParams = SvmParams()):
         self.params = params
 
-    def _with_state(self, rows: DataFrame, state: DataFrame | None) -> DataFrame:
-        p = self.params
-        first_w, first_b = F.array_repeat(F.lit(p.start_weight), p.dimension), F.lit(p.start_intercept)
+    def _with_state(self, rows: DataFrame, state: DataFrame | None, start: dict | None = None) -> DataFrame:
+        start = start or self._start()
         if state is None:
-            return rows.withColumn("weights", first_w).withColumn("intercept", first_b)
-        joined = salted_join(rows, state.select(*KEY, "weights", "intercept"), KEY, "seq", "left")
-        return joined.withColumn("weights", F.coalesce("weights", first_w)).withColumn(
-            "intercept", F.coalesce("intercept", first_b)
-        )
+            return rows.withColumns(start)
+        joined = salted_join(rows, state.select(*STATE), KEY, "seq", "left")
+        return joined.withColumns({c: F.coalesce(F.col(c), first) for c, first in start.items()})
 
-    def gradient_sums(self, rows: DataFrame, state: DataFrame | None, keys: list[str] | None = None) -> DataFrame:
-        """Hinge sums of labelled rows against a given state."""
-        return hinge_sums(self._with_state(rows, state), keys or KEY, self.params.dimension)
-
-    def update(self, batch: DataFrame, state: DataFrame | None) -> DataFrame:
-        """The state after one window of every model."""
+    def _start(self) -> dict[str, Column]:
         p = self.params
-        sums = self.gradient_sums(batch, state)
-        first = {
+        return {
             "n": F.lit(0).cast("long"),
             "weights": F.array_repeat(F.lit(p.start_weight), p.dimension),
             "intercept": F.lit(p.start_intercept),
         }
-        if state is None:
-            joined = sums.withColumns(first)
+
+    def columns(self) -> dict:
+        """The column expressions of one step, built once and used for every window."""
+        p = self.params
+        step = svm_step(cost=p.cost, step=p.step, step_intercept=p.step_intercept, merge=p.merge)
+        # Every row of a model carries the same state, so any row's copy will do.
+        old = [
+            F.any_value("n").alias("n"),
+            F.array(*[F.any_value(F.col("weights")[i]) for i in range(p.dimension)]).alias("weights"),
+            F.any_value("intercept").alias("intercept"),
+        ]
+        return {"start": self._start(), "sums": hinge_columns(p.dimension), "old": old, "step": step}
+
+    def advance(self, batch: DataFrame, state: DataFrame | None, columns: dict | None = None) -> DataFrame:
+        """The new state of the models that have rows in this window."""
+        columns = columns or self.columns()
+        d = self.params.dimension
+        rows = self._with_state(batch, state, columns["start"])
+        if d <= UNROLL:
+            joined = rows.groupBy(*KEY).agg(*columns["sums"], *columns["old"])
         else:
-            joined = sums.join(state.select(*STATE), KEY, "full")
-            joined = joined.withColumns({c: F.coalesce(F.col(c), start) for c, start in first.items()})
-        w, b, n = svm_step(cost=p.cost, step=p.step, step_intercept=p.step_intercept, merge=p.merge)
+            first = columns["start"]
+            joined = hinge_sums(rows, KEY, d, columns["sums"])
+            if state is None:
+                joined = joined.withColumns(first)
+            else:
+                joined = joined.join(state.select(*STATE), KEY, "left")
+                joined = joined.withColumns({c: F.coalesce(F.col(c), start) for c, start in first.items()})
+        w, b, n = columns["step"]
         # New names first: an alias equal to an input would be picked up inside the lambda.
         return joined.select(*KEY, n.alias("_n"), w.alias("_w"), b.alias("_b")).toDF(*STATE)
 
+    def update(self, batch: DataFrame, state: DataFrame | None, columns: dict | None = None) -> DataFrame:
+        """The state after one window; models without rows keep theirs."""
+        moved = self.advance(batch, state, columns)
+        if state is None:
+            return moved
+        idle = state.select(*STATE).join(batch.select(*KEY).distinct(), KEY, "left_anti")
+        return moved.unionByName(idle)
+
     def windowed(self, rows: DataFrame) -> DataFrame:
         need_columns(rows, self, "seq", "label", "features")
         return count_windows(unlabel(keyed(rows), self.params.sentinel), self.params.window, keys=KEY)
@@ -74,16 +99,32 @@ class OnlineSvm(Stage):
         me = self.with_params(**override)
         spark = rows.sparkSession
         windows = materialize(me.windowed(rows), "svm-windows", ["window_id"])
-        ids = sorted(r[0] for r in windows.select("window_id").distinct().collect())
+        last, models = windows.agg(F.max("window_id"), F.approx_count_distinct(*KEY)).first()
+        if last is None:
+            raise ValueError("no rows to fit")
+        steps = ((t, windows.filter(F.col("window_id") == t)) for t in range(last + 1))
+        small = models * (me.params.dimension + 2) <= HELD
+        return me._walk_held(steps) if small else me._walk_stored(spark, steps)
+
+    def _walk_held(self, steps: Iterable[tuple[int, DataFrame]]) -> DataFrame:
+        """Windows in order; the few model rows pass through the driver between them."""
+        columns, state, held, out = self.columns(), None, {}, []
+        for t, batch in steps:
+            spark = batch.sparkSession
+            new = self.advance(batch, state, columns)
+            held.update({r["model_id"]: tuple(r) for r in new.collect()})
+            out += [(*r, t) for r in held.values()]
+            state = spark.createDataFrame(list(held.values()), new.schema)
+        return spark.createDataFrame(out, new.schema.add("version", "long"))
+
+    def _walk_stored(self, spark: SparkSession, steps: Iterable[tuple[int, DataFrame]]) -> DataFrame:
+        """Windows in order; any number of model rows pass through a version table."""
+        columns, state = self.columns(), None
         store = ModelStore(spark, new_path(spark, "svm-models"))
-        state = None
-        for t in ids:
-            store.write(me.update(windows.filter(F.col("window_id") == t), state), t)
+        for t, batch in steps:
+            store.write(self.update(batch, state, columns), t)
             state = store.read(t)
-        versions = store.all()
-        if versions is None:
-            raise ValueError("no rows to fit")
-        return versions
+        return store.all()
 
     def fit_sharded(self, rows: DataFrame, rounds: int = 1, **override) -> DataFrame:
         """Local training per shard, shard models merged by count after each round.
