@@ -53,14 +53,13 @@ def mask_tail(df: DataFrame, share: float, sentinel: float, order: str = "seq",
     The cut needs only the row count and each row's position, so no task sorts
     the whole table.
     """
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    placed = number_rows(df, order, name="_position").join(F.broadcast(total))
-    kept = F.floor(F.col("_total") * F.lit(1.0 - share))
-    hidden = F.col("_position") >= kept
+    total = df.agg(F.count(F.lit(1))).scalar()
+    hidden = F.col("_position") >= F.floor(total * F.lit(1.0 - share))
     return (
-        placed.withColumn("truth", F.col(label))
+        number_rows(df, order, name="_position")
+        .withColumn("truth", F.col(label))
         .withColumn(label, F.when(hidden, F.lit(float(sentinel))).otherwise(F.col(label)))
-        .drop("_total", "_position")
+        .drop("_position")
     )
 
 
@@ -77,8 +76,7 @@ def sample_with_replacement(df: DataFrame, n: int, seed: int, order: str = "doc_
     numbered in place and only drawn rows move.
     """
     spark = df.sparkSession
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    unit = (F.xxhash64(F.col("id"), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("_u")
-    draws = spark.range(n).select(F.col("id").alias("draw"), unit).join(F.broadcast(total))
-    picks = draws.filter(F.col("_total") > 0).select("draw", F.floor(F.col("_u") * F.col("_total")).alias("_position"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    unit = (F.xxhash64(F.col("id"), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
+    picks = spark.range(n).select(F.col("id").alias("draw"), F.floor(unit * total).alias("_position"))
     return number_rows(df, order, name="_position").join(picks, "_position").drop("_position")
