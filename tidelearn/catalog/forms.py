@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelearn.catalog.fixtures import ORD, ord_rows, windowed
-from tidelearn.catalog.registry import register, table
+from tidelearn.catalog.registry import register, spread_table, table
 from tidelearn.operators import text as tx
 from tidelearn.operators.windows import count_windows
 from tidelearn.session import new_path
@@ -65,7 +65,7 @@ FROM ids CROSS JOIN generate_series(0, 3) t(k)
 LEFT JOIN freq ON freq.word = ids.word AND freq.lang = (['de', 'en', 'es', 'fr'])[k + 1]""")
 def parse_topic_matrix(spark, sf):
     """One topic-by-word matrix per passage, printed column by column and parsed back."""
-    docs = table(spark, sf, "documents").select("lang", "text")
+    docs = spread_table(spark, sf, "documents", "lang", "text")
     freq = tx.explode_words(docs, tx.word_tokens(F.col("text")), ["lang"]).groupBy("word").agg(
         *[F.count_if(F.col("lang") == k).cast("double").alias(f"n_{k}") for k in LANGS]
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelearn.catalog.fixtures import EMB2, EVENT_LIST, emb2_rows, event_rank
-from tidelearn.catalog.registry import register, table
+from tidelearn.catalog.registry import register, spread_table, table
 from tidelearn.catalog.rows import rounded
 from tidelearn.operators import mixture as mx
 from tidelearn.operators.windows import window_size
@@ -51,7 +51,7 @@ matched AS (
 def event_rows(spark, sf):
     kind = F.col("event_type")
     label = F.when(kind.isin("purchase", "signup"), 1).when(kind.isin("click", "view"), 2).otherwise(3)
-    return table(spark, sf, "events").select(
+    return spread_table(spark, sf, "events", "event_id", "user_id", "event_type", "value", "ts").select(
         F.col("event_id").alias("seq"),
         F.col("user_id").alias("model_id"),
         label.alias("label"),
@@ -83,7 +83,7 @@ def state(spark, sf):
 
 
 def evaluated(spark, sf):
-    return mx.evaluate(event_rows(spark, sf).drop("kind"), state(spark, sf), 2)
+    return mx.evaluate(event_rows(spark, sf).drop("kind"), state(spark, sf), 2, PARAMS.max_components)
 
 
 def component_rows(models, digits=6):
@@ -113,7 +113,7 @@ def gmm_init(spark, sf):
 
 def _per_component(spark, sf, field):
     fits = evaluated(spark, sf).select(F.col("seq").alias("event_id"), F.explode("fits").alias("f"))
-    return fits.select("event_id", F.col("f.id").alias("id"), F.round(F.col(f"f.{field}"), 6).alias("v"))
+    return fits.filter("f is not null").select("event_id", F.col("f.id").alias("id"), F.round(F.col(f"f.{field}"), 6).alias("v"))
 
 
 @register("gmm_density", f"WITH {FIT} SELECT event_id, id, round(dens, 6) AS v FROM fit")
@@ -128,7 +128,7 @@ def gmm_mahalanobis(spark, sf):
 
 @register("gmm_match", f"WITH {MATCH} SELECT event_id, situation, id FROM matched")
 def gmm_match(spark, sf):
-    matched = mx.match(evaluated(spark, sf), PARAMS.gate)
+    matched = mx.match(evaluated(spark, sf), PARAMS)
     return matched.select(F.col("seq").alias("event_id"), "situation", "id")
 
 
@@ -138,15 +138,14 @@ best AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dens DESC, id) AS r FROM fit WHERE label <> 0) WHERE r = 1)
 SELECT ev.event_id, CAST(coalesce(best.label, -1) AS DOUBLE) AS prediction FROM ev LEFT JOIN best USING (event_id)""")
 def gmm_predict(spark, sf):
-    return mx.predict_label(evaluated(spark, sf)).select(F.col("seq").alias("event_id"), "prediction")
+    return mx.predict_label(evaluated(spark, sf), PARAMS).select(F.col("seq").alias("event_id"), "prediction")
 
 
 def _after(spark, sf, *steps):
     models = state(spark, sf)
     rows = event_rows(spark, sf).drop("kind")
-    matched = mx.match(mx.evaluate(rows, models, 2), PARAMS.gate)
-    stats = mx.window_stats(matched, 2, PARAMS.gate, PARAMS.max_components)
-    return mx.advance(models, stats, PARAMS, steps)
+    matched = mx.match(mx.evaluate(rows, models, 2, PARAMS.max_components), PARAMS)
+    return mx.advance(models, mx.window_stats(matched, PARAMS), PARAMS, steps)
 
 
 @register("gmm_adopt_label", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelearn.catalog.fixtures import ORD, SENTINEL, ord_rows
-from tidelearn.catalog.registry import register, table
+from tidelearn.catalog.registry import register, spread_table, table
 from tidelearn.catalog.rows import rounded
 from tidelearn.catalog.words import BY_DF, SPACE, VOCAB, by_df, documents, doc_total, space_counts, token_counts, vocabulary
 from tidelearn.operators import text as tx, topics as tp
@@ -31,7 +31,7 @@ def psi(x: str) -> str:
 
 def lang_topics(spark, sf, vocab):
     """Topics from the word counts of each language: ``eta`` plus the count."""
-    docs = table(spark, sf, "documents").select("lang", "text")
+    docs = spread_table(spark, sf, "documents", "lang", "text")
     words = tx.explode_words(docs, tx.space_words(F.col("text")), ["lang"])
     counts = words.groupBy("word").agg(*[F.count_if(F.col("lang") == k).alias(f"n_{k}") for k in LANGS])
     cells = vocab.join(counts, "word", "left").select(
@@ -93,7 +93,7 @@ w AS (SELECT topic, word, 0.01e0 + count(*) AS weight FROM tok GROUP BY 1, 2)
 SELECT topic, word, round({psi('weight')} - {psi('total')}, 6) AS e
 FROM (SELECT *, sum(weight) OVER (PARTITION BY topic) AS total FROM w)""")
 def dirichlet_expectation(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("lang").alias("topic"), "text")
+    docs = spread_table(spark, sf, "documents", "lang", "text").withColumnRenamed("lang", "topic")
     words = tx.explode_words(docs, tx.word_tokens(F.col("text")), ["topic"])
     weights = words.groupBy("topic", "word").agg((0.01 + F.count(F.lit(1))).alias("weight"))
     return tp.dirichlet_expectation(weights, ["topic"]).select("topic", "word", F.round("e", 6).alias("e"))

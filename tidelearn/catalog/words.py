@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelearn.catalog.registry import register, table
+from tidelearn.catalog.registry import register, spread_table, table
 from tidelearn.catalog.rows import rounded
 from tidelearn.operators import text as tx
 from tidelearn.operators.routing import sample_with_replacement
@@ -29,7 +29,7 @@ vocab AS (SELECT word, max(word_id) AS word_id FROM numbered WHERE word <> '' GR
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread_table(spark, sf, "documents", "doc_id", "text")
 
 
 def vocabulary(spark, sf):
@@ -182,7 +182,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, enco
              sum(weight) OVER (PARTITION BY topic) AS total FROM w)
 SELECT topic, CAST(rank AS INTEGER) AS rank, word, round(weight / total, 6) AS share FROM r WHERE rank <= 20""")
 def top_words(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("lang").alias("topic"), "text")
+    docs = spread_table(spark, sf, "documents", "lang", "text").withColumnRenamed("lang", "topic")
     words = tx.explode_words(docs, tx.word_tokens(F.col("text")), ["topic"])
     weights = words.groupBy("topic", "word").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return rounded(tx.top_words(weights, 20), 6, "share")

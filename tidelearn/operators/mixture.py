@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from tidelearn.operators.joins import salted_join
 KEY = ["model_id"]
 # Widths up to this have their quadratic form written out term by term.
 UNROLL = 8
+# Terms (components x quadratic terms) up to which components are written out.
+UNROLLED_TERMS = 200
 COMPONENT = (
     "struct<id:bigint,tau:double,c:double,mu:array<double>,sigma:array<double>,label:int,"
     "prec:array<double>,white:array<array<double>>,logdet:double>"
@@ -97,35 +101,62 @@ def squared_distance(x: Column, c: Column, d: int) -> Column:
     return F.aggregate(F.transform(c["white"], square), F.lit(0.0), lambda s, t: s + t)
 
 
-def evaluate(rows: DataFrame, state: DataFrame, d: int, spread: str = "seq") -> DataFrame:
-    """Add ``fits``: per component its id, label, weight, distance and density at the row."""
+def written_out(most: int, d: int) -> bool:
+    """Whether the components of a model are few and narrow enough for generated code."""
+    return d <= UNROLL and most * len(triangle(d)) <= UNROLLED_TERMS
+
+
+def each(comps: str, most: int | None, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of every entry of an array column; entries it maps to null stay null.
+
+    With ``most`` the entries are written out by position, which generated code
+    handles; otherwise a lambda is evaluated per entry.
+    """
+    if most is None:
+        return F.transform(comps, fn)
+    entries = [F.get(comps, k) for k in range(most)]
+    return F.array(*[F.when(e.isNotNull(), fn(e)) for e in entries])
+
+
+def evaluate(rows: DataFrame, state: DataFrame, d: int, most: int, spread: str = "seq") -> DataFrame:
+    """Add ``fits``: per component its id, label, weight, distance and density at the row.
+
+    Places past the model's last component are null.
+    """
     joined = salted_join(rows, state.select(*KEY, "comps"), KEY, spread)
     x = F.col("features")
     const = d * math.log(2.0 * math.pi)
+    out = most if written_out(most, d) else None
+    squared = each("comps", out, lambda c: F.struct(c.alias("c"), squared_distance(x, c, d).alias("d2")))
 
-    def fit(c: Column) -> Column:
-        dist = squared_distance(x, c, d)
+    def fit(e: Column) -> Column:
+        c, dist = e["c"], e["d2"]
         return F.struct(
             c["id"].alias("id"), c["label"].alias("label"), c["tau"].alias("tau"), c["mu"].alias("mu"),
             F.sqrt(dist).alias("distance"), F.exp(-0.5 * (dist + c["logdet"] + const)).alias("density"),
         )
 
-    return joined.withColumn("fits", F.transform("comps", fit)).drop("comps")
+    return joined.withColumn("fits", squared).withColumn("fits", each("fits", out, fit)).drop("comps")
+
 
+def densest(most: int | None, keep: Callable[[Column], Column]) -> Column:
+    """Struct of the kept component with the largest density, the smaller id on ties; null for none."""
 
-def densest(fits: Column) -> Column:
-    """Struct of the component with the largest density, the smaller id on ties; null for none."""
-    return F.array_max(F.transform(fits, lambda f: F.struct(f["density"], (-f["id"]).alias("minus"), f["label"], f["id"])))
+    def rank(f: Column) -> Column:
+        return F.when(keep(f), F.struct(f["density"], (-f["id"]).alias("minus"), f["label"], f["id"]))
 
+    return F.array_max(each("fits", most, rank))
 
-def match(evaluated: DataFrame, gate: float, label: str = "label") -> DataFrame:
+
+def match(evaluated: DataFrame, params, label: str = "label") -> DataFrame:
     """Add ``situation`` and the id of the best component inside the gate.
 
     1: the best component is unlabelled; 2: none is near or its label differs;
     3: the labels agree.
     """
-    near = F.filter("fits", lambda f: f["distance"] < gate)
-    best = evaluated.withColumn("_best", densest(near))
+    p = params
+    out = p.max_components if written_out(p.max_components, p.dimension) else None
+    best = evaluated.withColumn("_best", densest(out, lambda f: f["distance"] < p.gate))
     b = F.col("_best")
     situation = (
         F.when(b.isNull(), 2).when(b["label"] == 0, 1).when(b["label"] != F.col(label).cast("int"), 2).otherwise(3)
@@ -133,35 +164,53 @@ def match(evaluated: DataFrame, gate: float, label: str = "label") -> DataFrame:
     return best.withColumn("situation", situation).withColumn("id", b["id"]).drop("_best")
 
 
-def predict_label(evaluated: DataFrame) -> DataFrame:
+def predict_label(evaluated: DataFrame, params) -> DataFrame:
     """Label of the densest labelled component, -1 where the model has none."""
-    labelled = F.filter("fits", lambda f: f["label"] != 0)
-    return evaluated.withColumn("prediction", F.coalesce(densest(labelled)["label"], F.lit(-1)).cast("double"))
+    p = params
+    out = p.max_components if written_out(p.max_components, p.dimension) else None
+    best = densest(out, lambda f: f["label"] != 0)
+    return evaluated.withColumn("prediction", F.coalesce(best["label"], F.lit(-1)).cast("double"))
 
 
-def window_stats(matched: DataFrame, d: int, gate: float, most: int) -> DataFrame:
+def window_stats(matched: DataFrame, params) -> DataFrame:
     """What one window tells each model, one row per model.
 
     Every row yields its responsibilities (situation 3), a label for its
     component (1) or a place for a new one (2).  All three kinds are summed in
     one hash aggregate that combines before the shuffle.
     """
+    d, gate, most = params.dimension, params.gate, params.max_components
+    out = most if written_out(most, d) else None
     x = F.col("features")
-    near = F.filter("fits", lambda f: (f["distance"] < gate) & (f["density"] > 0))
-    total = F.aggregate(near, F.lit(0.0), lambda s, f: s + f["tau"] * f["density"])
+
+    def pull(f: Column) -> Column:
+        return F.when((f["distance"] < gate) & (f["density"] > 0), f["tau"] * f["density"])
+
+    pulls = each("fits", out, pull)
     none = F.array_repeat(F.lit(0.0), d)
 
     def note(key: Column, q: Column, mu: Column) -> Column:
         return F.struct(key.cast("long").alias("key"), q.alias("q"), mu.alias("mu"))
 
-    shares = F.transform(near, lambda f: note(f["id"], f["tau"] * f["density"] / F.col("_total"), f["mu"]))
-    weighed = matched.withColumn("_total", total)
+    if out is None:
+        total = F.aggregate("_pulls", F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+        shares = F.zip_with(
+            "fits", "_pulls", lambda f, v: F.when(v.isNotNull(), note(f["id"], v / F.col("_total"), f["mu"]))
+        )
+    else:
+        places = [F.get("_pulls", k) for k in range(most)]
+        total = reduce(add, [F.coalesce(v, F.lit(0.0)) for v in places])
+        shares = F.array(*[
+            F.when(v.isNotNull(), note(F.get("fits", k)["id"], v / F.col("_total"), F.get("fits", k)["mu"]))
+            for k, v in enumerate(places)
+        ])
+    weighed = matched.withColumn("_pulls", pulls).withColumn("_total", total)
     own = F.when(F.col("situation") == 1, F.array(note(F.col("id"), F.lit(1.0), none)))
     new = F.when(F.col("situation") == 2, F.array(note(F.col("label"), F.lit(1.0), none)))
     notes = weighed.select(
         *KEY, "situation", "seq", F.col("label").cast("int").alias("label"), "features",
         F.explode(F.when(F.col("situation") == 3, shares).otherwise(F.coalesce(own, new))).alias("e"),
-    )
+    ).filter(F.col("e").isNotNull())
     q, mu = F.col("e.q"), F.col("e.mu")
     sums = [F.sum(q * x[i]).alias(f"s_{i}") for i in range(d)]
     sums += [F.sum(q * (x[i] - mu[i]) * (x[j] - mu[j])).alias(f"t_{i}_{j}") for i, j in triangle(d)]

@@ -36,7 +36,7 @@ def word_counts(docs: DataFrame, words: Column, keep: list[str] | None = None) -
     of equal words starts where a word differs from the one before it.
     """
     keep = keep or ["doc_id"]
-    lined = docs.select(*keep, F.array_sort(words).alias("_w")).filter(F.size("_w") > 0)
+    lined = docs.select(*keep, F.sort_array(words).alias("_w")).filter(F.size("_w") > 0)
     starts = F.filter(
         F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1))
     )

@@ -40,9 +40,8 @@ class GrowingMixture(Stage):
     def advance(self, batch: DataFrame, state: DataFrame) -> DataFrame:
         """One window of labelled rows against models that all exist."""
         p = self.params
-        matched = mx.match(mx.evaluate(batch, state, p.dimension), p.gate)
-        stats = mx.window_stats(matched, p.dimension, p.gate, p.max_components)
-        return mx.advance(state, stats, p, ALL_STEPS)
+        matched = mx.match(mx.evaluate(batch, state, p.dimension, p.max_components), p)
+        return mx.advance(state, mx.window_stats(matched, p), p, ALL_STEPS)
 
     def windowed(self, rows: DataFrame) -> DataFrame:
         need_columns(rows, self, "seq", "label", "features")
@@ -68,8 +67,8 @@ class GrowingMixture(Stage):
         return state.filter(F.col("n") > self.params.warmup)
 
     def score(self, rows: DataFrame, state: DataFrame) -> DataFrame:
-        evaluated = mx.evaluate(rows, state, self.params.dimension)
-        return mx.predict_label(evaluated).drop("fits")
+        p = self.params
+        return mx.predict_label(mx.evaluate(rows, state, p.dimension, p.max_components), p).drop("fits")
 
     def predict(self, rows: DataFrame, model: DataFrame | None = None, **override) -> DataFrame:
         """Score unlabelled rows with the newest version of each model."""
