@@ -82,8 +82,8 @@ def state(spark, sf):
     return materialize(mx.pack_components(components(spark, sf), PARAMS.max_components), "components")
 
 
-def evaluated(spark, sf):
-    return mx.evaluate(event_rows(spark, sf).drop("kind"), state(spark, sf), 2, PARAMS.max_components)
+def rows_and_matcher(spark, sf):
+    return event_rows(spark, sf).drop("kind"), mx.Matcher(state(spark, sf), PARAMS)
 
 
 def component_rows(models, digits=6):
@@ -112,8 +112,9 @@ def gmm_init(spark, sf):
 
 
 def _per_component(spark, sf, field):
-    fits = evaluated(spark, sf).select(F.col("seq").alias("event_id"), F.explode("fits").alias("f"))
-    return fits.filter("f is not null").select("event_id", F.col("f.id").alias("id"), F.round(F.col(f"f.{field}"), 6).alias("v"))
+    rows, matcher = rows_and_matcher(spark, sf)
+    fits = matcher.evaluate(rows).select(F.col("seq").alias("event_id"), F.explode("fits").alias("f"))
+    return fits.select("event_id", F.col("f.id").alias("id"), F.round(F.col(f"f.{field}"), 6).alias("v"))
 
 
 @register("gmm_density", f"WITH {FIT} SELECT event_id, id, round(dens, 6) AS v FROM fit")
@@ -128,8 +129,8 @@ def gmm_mahalanobis(spark, sf):
 
 @register("gmm_match", f"WITH {MATCH} SELECT event_id, situation, id FROM matched")
 def gmm_match(spark, sf):
-    matched = mx.match(evaluated(spark, sf), PARAMS)
-    return matched.select(F.col("seq").alias("event_id"), "situation", "id")
+    rows, matcher = rows_and_matcher(spark, sf)
+    return matcher.match(rows).select(F.col("seq").alias("event_id"), "situation", "id")
 
 
 @register("gmm_predict", f"""
@@ -138,14 +139,13 @@ best AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dens DESC, id) AS r FROM fit WHERE label <> 0) WHERE r = 1)
 SELECT ev.event_id, CAST(coalesce(best.label, -1) AS DOUBLE) AS prediction FROM ev LEFT JOIN best USING (event_id)""")
 def gmm_predict(spark, sf):
-    return mx.predict_label(evaluated(spark, sf), PARAMS).select(F.col("seq").alias("event_id"), "prediction")
+    rows, matcher = rows_and_matcher(spark, sf)
+    return matcher.predict(rows).select(F.col("seq").alias("event_id"), "prediction")
 
 
 def _after(spark, sf, *steps):
-    models = state(spark, sf)
-    rows = event_rows(spark, sf).drop("kind")
-    matched = mx.match(mx.evaluate(rows, models, 2, PARAMS.max_components), PARAMS)
-    return mx.advance(models, mx.window_stats(matched, PARAMS), PARAMS, steps)
+    rows, matcher = rows_and_matcher(spark, sf)
+    return mx.advance(matcher.state, matcher.window_stats(rows), PARAMS, steps)
 
 
 @register("gmm_adopt_label", f"""

@@ -39,9 +39,8 @@ class GrowingMixture(Stage):
 
     def advance(self, batch: DataFrame, state: DataFrame) -> DataFrame:
         """One window of labelled rows against models that all exist."""
-        p = self.params
-        matched = mx.match(mx.evaluate(batch, state, p.dimension, p.max_components), p)
-        return mx.advance(state, mx.window_stats(matched, p), p, ALL_STEPS)
+        stats = mx.Matcher(state, self.params).window_stats(batch)
+        return mx.advance(state, stats, self.params, ALL_STEPS)
 
     def windowed(self, rows: DataFrame) -> DataFrame:
         need_columns(rows, self, "seq", "label", "features")
@@ -67,8 +66,7 @@ class GrowingMixture(Stage):
         return state.filter(F.col("n") > self.params.warmup)
 
     def score(self, rows: DataFrame, state: DataFrame) -> DataFrame:
-        p = self.params
-        return mx.predict_label(mx.evaluate(rows, state, p.dimension, p.max_components), p).drop("fits")
+        return mx.Matcher(state, self.params).predict(rows)
 
     def predict(self, rows: DataFrame, model: DataFrame | None = None, **override) -> DataFrame:
         """Score unlabelled rows with the newest version of each model."""
