@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 from tidelearn.functions import gaussian as g
 from tidelearn.functions.vectors import triangle
 from tidelearn.operators.joins import salted_join
+from tidelearn.session import tasks
 
 KEY = ["model_id"]
 # Widths up to this have their quadratic form written out term by term.
@@ -45,7 +46,7 @@ def per_model(df: DataFrame, fn: Callable[[dict], list[dict]], schema: str) -> D
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.repartition(tasks(df.sparkSession), *KEY).mapInArrow(run, schema)
 
 
 def model_type(df: DataFrame) -> str:

@@ -12,12 +12,13 @@ WORD = r"[\p{L}\p{N}_]+"
 # What a whole number looks like; digits may be grouped by single underscores.
 WHOLE = r"^\p{Nd}+(_\p{Nd}+)*$"
 BLANKS = " \t\r\n"
+# A run of characters other than the space, without blanks at either end.
+PIECE = r"[^ \t\r\n](?:[^ ]*[^ \t\r\n])?"
 
 
 def space_words(text: Column) -> Column:
     """Lower case, split at single spaces, trim, drop empty pieces."""
-    pieces = F.transform(F.split(F.lower(text), " "), lambda w: F.btrim(w, F.lit(BLANKS)))
-    return F.filter(pieces, lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(PIECE), F.lit(0))
 
 
 def word_tokens(text: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidelearn.functions.special import digamma, digamma_np, lgamma_np
 from tidelearn.operators.joins import salted_join
-from tidelearn.session import materialize
+from tidelearn.session import materialize, tasks
 
 # Topic cells (K x V) that may be sent to every task: 32 MB of doubles.
 SENT_CELLS = 4_000_000
@@ -47,7 +47,8 @@ def _sent(topics: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def pack_documents(counts: DataFrame) -> DataFrame:
     """One row per document; it has at most as many entries as there are words."""
-    return counts.groupBy("doc_id").agg(F.collect_list("word_id").alias("ids"), F.collect_list("cnt").alias("cnts"))
+    placed = counts.repartition(tasks(counts.sparkSession), "doc_id")
+    return placed.groupBy("doc_id").agg(F.collect_list("word_id").alias("ids"), F.collect_list("cnt").alias("cnts"))
 
 
 def solve_documents(doc: np.ndarray, n_docs: int, cnt: np.ndarray, beta: np.ndarray, alpha: float, passes: int, tolerance: float):

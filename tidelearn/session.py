@@ -67,3 +67,9 @@ def spread(rows: DataFrame) -> DataFrame:
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores else rows
+
+
+def tasks(spark: SparkSession) -> int:
+    """Number of tasks for work that is costly for its size, where the runtime
+    merging of small shuffle partitions would leave most cores idle."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
