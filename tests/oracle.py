@@ -63,7 +63,7 @@ def main() -> None:
             took = time.time() - start
             if name in SQL:
                 start = time.time()
-                wrong = compare(got, con.execute(SQL[name]).to_arrow_table())
+                wrong = compare(got, con.sql(SQL[name]).to_arrow_table())
                 note = f"sql {time.time() - start:.2f}s"
             else:
                 wrong, note = None, "no sql"

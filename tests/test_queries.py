@@ -17,7 +17,7 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf_dir, con, name):
     got = QUERIES[name](spark, sf_dir).toArrow()
-    assert compare(got, con.execute(SQL[name]).to_arrow_table()) is None
+    assert compare(got, con.sql(SQL[name]).to_arrow_table()) is None
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))

@@ -67,7 +67,8 @@ def ridge_fit(spark, sf):
 
 AS_OF = """
 first AS (SELECT min(version) AS v0 FROM fit WHERE n > {warm}),
-wait AS (SELECT seq, window_id, x1, x2, greatest(window_id - 1, v0) AS version FROM win, first WHERE y IS NULL)"""
+wait AS (SELECT seq, window_id, x1, x2, greatest(window_id - 1, v0) AS version FROM win, first
+         WHERE y IS NULL AND v0 IS NOT NULL)"""
 
 
 @register("ridge_predict", f"""{RIDGE_FIT}, {AS_OF.format(warm=50)}

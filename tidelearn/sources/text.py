@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidelearn.functions.vectors import has_width
+from tidelearn.operators.prefix import running_total
 
 # Fixed text forms of the stream's rows and results.
 LABELED = r"^\s*LabeledVector\(\s*([^,()]+?)\s*,\s*DenseVector\(([^()]*)\)\s*\)\s*$"
@@ -144,12 +145,16 @@ def _file_lines(spark: SparkSession, path: str) -> DataFrame:
 def number_lines(lines: DataFrame, block: list[str], at: str, name: str) -> DataFrame:
     """Consecutive numbers over ``(block, at)``, counted per block.
 
-    Only the short list of blocks is put in one order; lines are numbered
-    inside their block.
+    Lines are numbered inside their block, which starts at the number of lines
+    in the blocks before it.  One integer block column may have any number of
+    values; several columns name file splits, whose list is short.
     """
-    counts = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("_lines"))
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*block, F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_first"))
+    counts = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("_first"))
+    if len(block) == 1 and dict(counts.dtypes)[block[0]] in ("int", "bigint"):
+        starts = running_total(counts, [], block[0], ["_first"], inclusive=False)
+    else:
+        before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.withColumn("_first", F.coalesce(F.sum("_first").over(before), F.lit(0)))
     inside = Window.partitionBy(*block).orderBy(at)
     numbered = lines.join(starts, block).withColumn(
         name, (F.col("_first") + F.row_number().over(inside) - 1).cast("long")
