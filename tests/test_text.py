@@ -72,7 +72,7 @@ def test_sinks_replace(spark):
 
 
 DOCS = [
-    (1, "Brocolli is good to eat. My brother likes it"), (2, "the the  the\tThe\n cat"), (3, ""), (4, "99 1_000 über x9 a"),
+    (1, "Rain is good to have. My farmer likes it"), (2, "the the  the\tThe\n cat"), (3, ""), (4, "99 1_000 über x9 a"),
 ]
 
 
