@@ -50,9 +50,10 @@ def compare(spark_table, sql_table) -> str | None:
 
 
 def main() -> None:
-    from tidelearn.catalog import QUERIES, SQL
+    from __spark_entry__ import oracle_sql, queries
     from tidelearn.session import get_session
 
+    QUERIES, SQL = queries(), oracle_sql()
     sf_dir, names = sys.argv[1], sys.argv[2:] or list(QUERIES)
     spark, con = get_session("8"), connect(sf_dir)
     failed = 0
