@@ -10,8 +10,9 @@ documents in key order and cuts the last one at the exact word.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tidelearn.llm.registry import register, table
 from tidelearn.session import materialize
 
 #: Documents of a source that are sorted together, about.
@@ -148,3 +149,9 @@ SELECT doc_id, {columns}size, source_size, target,
   CAST(epochs * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken
 FROM counted{where}
 """
+
+
+@register("op3_mix", SQL.format(documents="documents", columns="", where=""))
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of all documents mixed by the weights 5, 2, 1, at most three epochs."""
+    return mix_sources(table(spark, sf_dir, "documents")).drop("source")

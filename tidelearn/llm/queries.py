@@ -1,56 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline, with their SQL."""
+"""Importing the operators' modules fills the registry."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from tidelearn.llm import mixing, urls
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@register("op3_mix", mixing.SQL.format(documents="documents", columns="", where=""))
-def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of all documents mixed by the weights 5, 2, 1, at most three epochs."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
-
-
-@register(
-    "op4_urls",
-    """
-WITH parts AS (
-  SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-    regexp_replace(regexp_replace(coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*[?]([^#]*)', 1), ''), '(^|&)((utm_[a-z]+|ref|fbclid|gclid)=[^&]*(&|$))+', '\\1', 'g'), '&$', '') AS kept
-  FROM pages),
-rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-ruled AS (
-  SELECT a.*, b.rule, b.verdict AS own, CASE WHEN contains(url, '://') THEN host || regexp_replace(path, '/+$', '') || CASE WHEN kept = '' THEN '' ELSE '?' || kept END END AS address
-  FROM parts a LEFT JOIN LATERAL (
-    SELECT h || p AS rule, verdict FROM rules WHERE (a.host = h OR ends_with(a.host, '.' || h)) AND starts_with(a.path, p)
-    ORDER BY length(h || p) DESC, verdict LIMIT 1) b ON true),
-blocked AS (SELECT DISTINCT address FROM ruled WHERE own = 'block')
-SELECT page_id, host, path, rule, coalesce(own, CASE WHEN address IN (SELECT address FROM blocked WHERE address IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
-""",
-)
-def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on all page urls; links are those that the pages state.  The SQL leaves links out: the given pages state none."""
-    pages = table(spark, sf_dir, "pages")
-    return urls.judge(pages.select("page_id", "url"), urls.page_links(pages)).select("page_id", "host", "path", "rule", "verdict")
+from tidelearn.llm import chat, licenses, quality, rules, tokens, urls, mixing, warc  # noqa: F401
+from tidelearn.llm.registry import QUERIES, SQL  # noqa: F401

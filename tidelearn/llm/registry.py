@@ -1,0 +1,31 @@
+"""Where the operators' modules put their queries and SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidelearn.session import tasks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(fn):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is already registered")
+        QUERIES[name] = fn
+        if sql is not None:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["QUERIES", "SQL", "register", "table", "tasks"]

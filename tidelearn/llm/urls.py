@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidelearn.llm.components import components
+from tidelearn.llm.registry import register, table
 from tidelearn.session import materialize
 
 #: (verdict, host, path)
@@ -108,3 +109,27 @@ def judge(urls: DataFrame, links: DataFrame | None = None, rules: Sequence[tuple
     rows = rows.join(blocked, F.col("__address") == F.col("__blocked"), "left")
     verdict = F.coalesce(F.col("__own"), F.when(F.col("__blocked").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return rows.withColumn("verdict", verdict).drop("__own", "__address", "__blocked")
+
+
+@register(
+    "op4_urls",
+    """
+WITH parts AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    regexp_replace(regexp_replace(coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*[?]([^#]*)', 1), ''), '(^|&)((utm_[a-z]+|ref|fbclid|gclid)=[^&]*(&|$))+', '\\1', 'g'), '&$', '') AS kept
+  FROM pages),
+rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+ruled AS (
+  SELECT a.*, b.rule, b.verdict AS own, CASE WHEN contains(url, '://') THEN host || regexp_replace(path, '/+$', '') || CASE WHEN kept = '' THEN '' ELSE '?' || kept END END AS address
+  FROM parts a LEFT JOIN LATERAL (
+    SELECT h || p AS rule, verdict FROM rules WHERE (a.host = h OR ends_with(a.host, '.' || h)) AND starts_with(a.path, p)
+    ORDER BY length(h || p) DESC, verdict LIMIT 1) b ON true),
+blocked AS (SELECT DISTINCT address FROM ruled WHERE own = 'block')
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN address IN (SELECT address FROM blocked WHERE address IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
+""",
+)
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page urls; links are those that the pages state.  The SQL leaves links out: the given pages state none."""
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages.select("page_id", "url"), page_links(pages)).select("page_id", "host", "path", "rule", "verdict")
