@@ -1,4 +1,4 @@
 """Importing the operators' modules fills the registry."""
 
-from tidelearn.llm import chat, licenses, quality, rules, tokens, urls, mixing, warc  # noqa: F401
+from tidelearn.llm import chat, licenses, mixing, near_join, quality, rules, tokens, urls, warc  # noqa: F401
 from tidelearn.llm.registry import QUERIES, SQL  # noqa: F401
