@@ -155,3 +155,8 @@ FROM counted{where}
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of all documents mixed by the weights 5, 2, 1, at most three epochs."""
     return mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the documents: doc_id, source, size, source_size, target and taken, for those of which any word is taken."""
+    return mix_sources(docs).where("taken > 0")

@@ -179,8 +179,8 @@ def _bitmap(ids: DataFrame, bits: int = BITS):
     return ids.sparkSession.sparkContext.broadcast(marks)
 
 
-def _marked(rows: DataFrame, ids: DataFrame, bits: int = BITS) -> DataFrame:
-    """``rows`` with a column ``marked``: false only where ``id`` is surely not among ``ids``."""
+def _marked(rows: DataFrame, ids: DataFrame, of: str = "id", bits: int = BITS) -> DataFrame:
+    """``rows`` with a column ``marked``: false only where the id in ``of`` is surely not among ``ids``."""
     marks = _bitmap(ids, bits)
 
     @arrow_udf("boolean")
@@ -188,7 +188,7 @@ def _marked(rows: DataFrame, ids: DataFrame, bits: int = BITS) -> DataFrame:
         at = place.to_numpy(zero_copy_only=False)
         return pa.array(((marks.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool))
 
-    return rows.withColumn("marked", marked(F.pmod(F.xxhash64("id"), F.lit(bits))))
+    return rows.withColumn("marked" if of == "id" else f"{of}_marked", marked(F.pmod(F.xxhash64(of), F.lit(bits))))
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -283,3 +283,25 @@ def _across(rows: DataFrame, meet: DataFrame, groups: DataFrame, classes: DataFr
 def op2_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy components of all documents."""
     return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id.
+
+    Of rows that share an id the one with the least hash of its text stays; rows without an id all stay.
+    """
+    groups = materialize(jaccard_groups(docs, doc_id, text), "join-groups")
+    away = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    twice = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    special = materialize(away.union(twice).distinct(), "join-special")
+    away = away.select(F.col("id").alias("__id"))
+    marked = _marked(docs.withColumn("__id", F.col(doc_id).cast("bigint")), special, "__id")
+    clear = marked.where("__id is null or not __id_marked").select(*docs.columns)
+    looked_up = marked.where("__id is not null and __id_marked").join(away, "__id", "left_anti")
+    one = looked_up.groupBy("__id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(text)).alias("__row"))
+    return clear.union(one.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return keep_one(docs)

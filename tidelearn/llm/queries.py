@@ -1,4 +1,9 @@
 """Importing the operators' modules fills the registry."""
 
-from tidelearn.llm import chat, licenses, mixing, near_join, quality, rules, tokens, urls, warc  # noqa: F401
-from tidelearn.llm.registry import QUERIES, SQL  # noqa: F401
+import corpus_pipeline
+from tidelearn.llm import chat, decontaminate, licenses, mixing, near_join, quality, rules, tokens, urls, warc  # noqa: F401
+from tidelearn.llm.registry import QUERIES, SQL, register
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+__all__ = ["QUERIES", "SQL"]
