@@ -58,8 +58,9 @@ class Assembler:
         ids: list[int] = []
         at = 0
         for run in _LONG.finditer(text):
-            for a in (at, *range(run.start(), run.end(), LONGEST)):
-                ids += self.encoding.encode_ordinary(text[a : min(a + LONGEST, run.end()) if a >= run.start() else run.start()])
+            ids += self.encoding.encode_ordinary(text[at : run.start()])
+            for k in range(run.start(), run.end(), LONGEST):
+                ids += self.encoding.encode_ordinary(text[k : min(k + LONGEST, run.end())])
             at = run.end()
         return ids + self.encoding.encode_ordinary(text[at:])
 

@@ -121,7 +121,7 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
 
 def short(h: np.ndarray) -> np.ndarray:
     """One hash for a sequence of fewer words than a window has."""
-    return mix(np.array([(h * _PLACE[: len(h)]).sum() + np.uint64(len(h)) * _COUNT], np.uint64))
+    return mix((h * _PLACE[: len(h)]).sum(keepdims=True) + np.array([len(h)], np.uint64) * _COUNT)
 
 
 def distinct(h: np.ndarray) -> np.ndarray:
