@@ -6,8 +6,8 @@
    class with that pair, and exact links make the groups.
 3. The matrix keeps a (token, group) entry for every token that can matter: for a
    link, two sets must share one of their first ``n - ceil(0.8 n) + 1`` tokens in any common order,
-   and here frequent tokens come last.  A group whose texts share no such token
-   with a query's is never looked at.
+   and here tokens of crowded hash buckets come last.  A group whose texts share no such token
+   with a query's is never looked at, nor one that shares too few.
 4. For every query and group that meet in the matrix, the overlap is bounded by the group's token
    union; only groups whose bound reaches the threshold are opened, and their sets compared exactly.
 5. Links make the components.  Texts of one group are linked already, so a group is
@@ -33,8 +33,8 @@ from tidelearn.session import materialize
 WIDTH, PERCENT = 5, 80
 #: A pair of minima is a key for step 2; the ranges of hashes that the minima are taken from are twice as many.
 KEYS = 4
-#: Tokens with more than this share of all tokens come last in the order; there can be at most its inverse of them.
-FREQUENT = 1 / (1 << 17)
+#: Tokens below the cut are counted in buckets, to see which are frequent.
+BUCKETS, SLICES, CUT = 1 << 22, 16, np.uint64(7 << 60)
 #: Bits of a map of ids (4 MB).
 BITS = 1 << 25
 #: Tokens of a group that are opened together, about.
@@ -55,48 +55,60 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Ar
             yield batch.column(0).slice(first, len(bounds) - 1), list(words.shingle_sets(data, bounds, width))
 
 
-def frequent_tokens(docs: DataFrame, width: int = WIDTH, share: float = FREQUENT) -> np.ndarray:
-    """Tokens counted as frequent, sorted: an order of tokens only, so counts may be approximate.
+def frequent_buckets(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
+    """For each of ``BUCKETS`` token buckets whether it is fuller than chance explains: some of its tokens are frequent.
 
-    Each run of texts reports the tokens that several of its texts have; sums over all runs above ``share`` of all tokens
-    are frequent.  The sums cannot exceed the tokens, so no more than 1 / share tokens come to the driver.
+    Only tokens below ``CUT`` are counted, as prefixes are taken from there.  Tasks send one array of fixed size each, in
+    slices that are added up before the driver sees them.  The answer only orders tokens, so shared buckets do no harm.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        held = np.zeros(BUCKETS, np.uint32)
         for _, sets in _runs(batches, width):
-            tokens = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-            total += len(tokens)
-            begin = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
-            n = np.diff(np.append(begin, len(tokens)))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[begin[n > 1]].view(np.int64)), pa.array(n[n > 1]), pa.nulls(int((n > 1).sum()), pa.int64())], ["token", "n", "total"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([total])], ["token", "n", "total"])
+            tokens = np.concatenate([s[: np.searchsorted(s, CUT)] for s in sets]) if sets else np.zeros(0, np.uint64)
+            held += np.bincount((tokens & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+        parts = [p.tobytes() for p in np.split(held, SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "part"])
 
-    seen = materialize(docs.mapInArrow(count, "token long, n long, total long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "join-frequent")
-    total = seen.where("token is null").agg(F.sum("total")).first()[0] or 0
-    tokens = seen.where(F.col("token").isNotNull() & (F.col("n") > max(64, total * share))).select("token").toArrow()["token"].to_numpy()
-    return np.sort(tokens.astype(np.int64).view(np.uint64))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held[k] = held.get(k, 0) + np.frombuffer(part.as_py(), np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([p.tobytes() for p in held.values()], pa.binary())], ["slice", "part"])
+
+    kind = "slice int, part binary"
+    sums = docs.mapInArrow(count, kind).repartition(SLICES, "slice").mapInArrow(add, kind).toArrow()
+    held = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
+    for k, part in zip(sums["slice"].to_pylist(), sums["part"].to_pylist()):
+        held[k] = np.frombuffer(part, np.int64)
+    mean = np.median(held)
+    return (held > mean + 4 * np.sqrt(mean) + 2).ravel()
 
 
-def _prefix(tokens: np.ndarray, last: np.ndarray, percent: int) -> np.ndarray:
-    """The tokens of a sorted set one of which every set linked with it must share, in the order (frequent, hash)."""
+def _prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens of a sorted set one of which every set linked with it must share.
+
+    Any common order of tokens will do; here the counted ones that are not frequent come first, then those that
+    were not counted, then the frequent ones.
+    """
     n = len(tokens)
     length = n - -(-percent * n // 100) + 1
-    if not len(last):
-        return tokens[:length]
-    at = np.searchsorted(last, tokens)
-    often = last[np.minimum(at, len(last) - 1)] == tokens
-    rare = tokens[~often]
-    return rare[:length] if len(rare) >= length else np.concatenate((rare, tokens[often][: length - len(rare)]))
+    low = tokens[: np.searchsorted(tokens, CUT)]
+    often = frequent[(low & np.uint64(len(frequent) - 1)).astype(np.int64)]
+    rare = low[~often]
+    if len(rare) >= length:
+        return rare[:length]
+    return np.concatenate((rare, tokens[len(low) :], low[often]))[:length]
 
 
-def signatures(docs: DataFrame, last, width: int = WIDTH, percent: int = PERCENT, keys: int = KEYS) -> DataFrame:
+def signatures(docs: DataFrame, frequent, width: int = WIDTH, percent: int = PERCENT, keys: int = KEYS) -> DataFrame:
     """(id, n, a, b, k0.., prefix) per document: set size, 128 bits of the set, keys of minima, prefix tokens."""
     names = [f"k{i}" for i in range(keys)]
     edges = (np.arange(2 * keys, dtype=np.uint64)) * np.uint64((1 << 64) // (2 * keys))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = last.value
+        order = frequent.value
         for ids, sets in _runs(batches, width):
             n = np.array([len(s) for s in sets], np.int64)
             marks = np.zeros((2 + keys, len(sets)), np.uint64)
@@ -207,8 +219,8 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    last = spark.sparkContext.broadcast(frequent_tokens(rows, width))
-    signed = materialize(signatures(rows, last, width, percent), "join-signed")
+    frequent = spark.sparkContext.broadcast(frequent_buckets(rows, width))
+    signed = materialize(signatures(rows, frequent, width, percent), "join-signed")
     keys = [c for c in signed.columns if c.startswith("k")]
 
     # Classes of equal sets.
@@ -238,7 +250,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     looked_up = marked.where("marked").join(small, ["id", "a", "b"]).select(F.explode("prefix").alias("token"), F.coalesce("component", "id").alias("group"))
     matrix = alone.union(looked_up.distinct())
     one, two = matrix.select("token", F.col("group").alias("g")), matrix.select("token", F.col("group").alias("h"))
-    meet = materialize(one.join(two, "token").where("g < h").select("g", "h").distinct(), "join-meet")
+    meet = materialize(one.join(two, "token").where("g < h").groupBy("g", "h").agg(F.count("*").alias("shared")), "join-meet")
 
     final = components(links.union(_across(rows, meet, groups, classes, width, percent)))
     of_class = classes.select("a", "b", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
@@ -262,8 +274,10 @@ def _across(rows: DataFrame, meet: DataFrame, groups: DataFrame, classes: DataFr
     g, h = (sizes.select(*[F.col(c).alias(f"{s}_{c}") for c in sizes.columns]) for s in "gh")
     pairs = (
         meet.join(g, F.col("g") == F.col("g_group")).join(h, F.col("h") == F.col("h_group"))
-        # No text of one can be similar to one of the other if all are too long.
+        # No text of one can be similar to one of the other if all are too long.  Two sets can share, besides their common
+        # prefix tokens, no more than what is behind the prefix of the larger one.
         .where(f"100 * h_most >= {percent} * g_least and 100 * g_most >= {percent} * h_least")
+        .where(f"g_texts + h_texts > 2 or {100 + percent} * (shared + ({percent} * greatest(g_most, h_most) + 99) div 100 - 1) >= {percent} * (g_most + h_most)")
         .select(F.when(F.col("g_texts") <= F.col("h_texts"), F.struct(F.col("g").alias("asks"), F.col("h").alias("group"))).otherwise(F.struct(F.col("h").alias("asks"), F.col("g").alias("group"))).alias("p"))
         .select("p.asks", "p.group")
     )
