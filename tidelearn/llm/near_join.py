@@ -2,18 +2,20 @@
 
 1. Each text becomes its set of word shingles (64-bit hashes).  Texts with equal sets are
    one class, which its smallest doc_id stands for.
-2. Classes are partitioned into groups of similar texts: classes that share a pair of minima are held against the smallest
-   class with that pair, and exact links make the groups.
-3. The matrix keeps a (token, group) entry for every token that can matter: for a
+2. Classes are partitioned into groups of similar texts: classes that share a pair of minima are held against the
+   one among them with the fewest rare tokens, and chains of similar pairs make the groups.  A large group is dealt out in
+   parts of bounded size; a class without similar ones is a part of its own.
+3. The matrix keeps a (token, part) entry for every token that can matter: for a
    link, two sets must share one of their first ``n - ceil(0.8 n) + 1`` tokens in any common order,
-   and here tokens of crowded hash buckets come last.  A group whose texts share no such token
-   with a query's is never looked at, nor one that shares too few.
-4. For every query and group that meet in the matrix, the overlap is bounded by the group's token
-   union; only groups whose bound reaches the threshold are opened, and their sets compared exactly.
-5. Links make the components.  Texts of one group are linked already, so a group is
-   never joined with itself: copies are not expanded into pairs.
-
-No link between different texts is lost: step 3 is an exact filter, whatever groups step 2 finds.
+   and here tokens of crowded hash buckets come last.  Parts that share no such token, or too few, are never
+   held against each other.
+4. Every text of a part asks the parts that it meets in the matrix.  The part's token union
+   bounds the overlap; only parts whose bound reaches the threshold are opened, and their sets compared exactly.
+5. Of the links to a part's texts that are linked among themselves one is returned, so copies
+   are not expanded into pairs.  Links make the components.
+
+No link between different texts is lost: step 3 is an exact filter, whatever groups step 2 finds, and the texts of a part are
+held against each other.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -31,14 +34,16 @@ from tidelearn.llm.registry import register, table
 from tidelearn.session import materialize
 
 WIDTH, PERCENT = 5, 80
+#: Similarity in percent from which a class joins a group.
+ALIKE = 40
 #: A pair of minima is a key for step 2; the ranges of hashes that the minima are taken from are twice as many.
 KEYS = 4
-#: Tokens below the cut are counted in buckets, to see which are frequent.
-BUCKETS, SLICES, CUT = 1 << 22, 16, np.uint64(7 << 60)
+#: Tokens are counted in so many buckets, to see which are frequent.
+BUCKETS, SLICES = 1 << 23, 16
 #: Bits of a map of ids (4 MB).
 BITS = 1 << 25
-#: Tokens of a group that are opened together, about.
-GROUP_TOKENS = 32_768
+#: Tokens of a part of a group, about, and queries that one copy of a part answers, about.
+PART_TOKENS, QUERIES_EACH = 32_768, 20_000
 
 
 def _flat(sets: list[np.ndarray]) -> pa.ListArray:
@@ -55,33 +60,41 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Ar
             yield batch.column(0).slice(first, len(bounds) - 1), list(words.shingle_sets(data, bounds, width))
 
 
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(BUCKETS - 1)).astype(np.int32)
+
+
 def frequent_buckets(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     """For each of ``BUCKETS`` token buckets whether it is fuller than chance explains: some of its tokens are frequent.
 
-    Only tokens below ``CUT`` are counted, as prefixes are taken from there.  Tasks send one array of fixed size each, in
-    slices that are added up before the driver sees them.  The answer only orders tokens, so shared buckets do no harm.
+    Tasks count all tokens of all documents and send one array of fixed size each, in slices that are added up before the
+    driver sees them.  The answer only orders tokens, so buckets shared by several tokens do no harm.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(BUCKETS, np.uint32)
+        held = np.zeros(BUCKETS, np.uint16)
         for _, sets in _runs(batches, width):
-            tokens = np.concatenate([s[: np.searchsorted(s, CUT)] for s in sets]) if sets else np.zeros(0, np.uint64)
-            held += np.bincount((tokens & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-        parts = [p.tobytes() for p in np.split(held, SLICES)]
+            at = np.sort(_bucket(np.concatenate(sets))) if sets else np.zeros(0, np.int32)
+            begin = np.flatnonzero(np.diff(at, prepend=-1))
+            # A bucket that is full in one task is crowded in all.
+            held[at[begin]] = np.minimum(held[at[begin]] + np.diff(np.append(begin, len(at))), 255)
+        zstd = zstandard.ZstdCompressor(level=1)
+        parts = [zstd.compress(p.tobytes()) for p in np.split(held.astype(np.uint8), SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
+        zstd = zstandard.ZstdDecompressor()
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held[k] = held.get(k, 0) + np.frombuffer(part.as_py(), np.uint32).astype(np.int64)
+                held[k] = held.get(k, 0) + np.frombuffer(zstd.decompress(part.as_py()), np.uint8).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([p.tobytes() for p in held.values()], pa.binary())], ["slice", "part"])
 
     kind = "slice int, part binary"
     sums = docs.mapInArrow(count, kind).repartition(SLICES, "slice").mapInArrow(add, kind).toArrow()
-    held = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
+    held = np.zeros((SLICES, BUCKETS // SLICES), np.int32)
     for k, part in zip(sums["slice"].to_pylist(), sums["part"].to_pylist()):
-        held[k] = np.frombuffer(part, np.int64)
+        held[k] = np.frombuffer(part, np.int32)
     mean = np.median(held)
     return (held > mean + 4 * np.sqrt(mean) + 2).ravel()
 
@@ -89,21 +102,17 @@ def frequent_buckets(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 def _prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """The tokens of a sorted set one of which every set linked with it must share.
 
-    Any common order of tokens will do; here the counted ones that are not frequent come first, then those that
-    were not counted, then the frequent ones.
+    Any common order of tokens will do; here the frequent ones come last.
     """
     n = len(tokens)
     length = n - -(-percent * n // 100) + 1
-    low = tokens[: np.searchsorted(tokens, CUT)]
-    often = frequent[(low & np.uint64(len(frequent) - 1)).astype(np.int64)]
-    rare = low[~often]
-    if len(rare) >= length:
-        return rare[:length]
-    return np.concatenate((rare, tokens[len(low) :], low[often]))[:length]
+    often = frequent[_bucket(tokens)]
+    rare = tokens[~often]
+    return rare[:length] if len(rare) >= length else np.concatenate((rare, tokens[often][: length - len(rare)]))
 
 
 def signatures(docs: DataFrame, frequent, width: int = WIDTH, percent: int = PERCENT, keys: int = KEYS) -> DataFrame:
-    """(id, n, a, b, k0.., prefix) per document: set size, 128 bits of the set, keys of minima, prefix tokens."""
+    """(id, n, a, b, rare, k0.., prefix) per document: set size, 128 bits of the set, tokens that are not frequent, keys of minima, prefix tokens."""
     names = [f"k{i}" for i in range(keys)]
     edges = (np.arange(2 * keys, dtype=np.uint64)) * np.uint64((1 << 64) // (2 * keys))
 
@@ -111,20 +120,21 @@ def signatures(docs: DataFrame, frequent, width: int = WIDTH, percent: int = PER
         order = frequent.value
         for ids, sets in _runs(batches, width):
             n = np.array([len(s) for s in sets], np.int64)
-            marks = np.zeros((2 + keys, len(sets)), np.uint64)
+            marks, rare = np.zeros((2 + keys, len(sets)), np.uint64), np.zeros(len(sets), np.int64)
             for d, s in enumerate(sets):
                 if len(s):
                     marks[0, d] = words.mix(s * np.uint64(3)).sum()
                     marks[1, d] = np.bitwise_xor.reduce(words.mix(s ^ np.uint64(0x5BD1E995)))
+                    rare[d] = len(s) - order[_bucket(s)].sum()
                     at = np.searchsorted(s, edges)
                     low = s[np.where(at < len(s), at, 0)]  # an empty last range takes the smallest of all
                     marks[2:, d] = words.mix(low[0::2] * np.uint64(5) + low[1::2] + np.arange(keys, dtype=np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n), *[pa.array(m.view(np.int64)) for m in marks], _flat([_prefix(s, order, percent) if len(s) else s for s in sets])],
-                ["id", "n", "a", "b", *names, "prefix"],
+                [ids, pa.array(n), *[pa.array(m.view(np.int64)) for m in marks[:2]], pa.array(rare), *[pa.array(m.view(np.int64)) for m in marks[2:]], _flat([_prefix(s, order, percent) if len(s) else s for s in sets])],
+                ["id", "n", "a", "b", "rare", *names, "prefix"],
             )
 
-    return docs.mapInArrow(sign, f"id long, n long, a long, b long, {', '.join(f'{k} long' for k in names)}, prefix array<long>")
+    return docs.mapInArrow(sign, f"id long, n long, a long, b long, rare long, {', '.join(f'{k} long' for k in names)}, prefix array<long>")
 
 
 def token_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -146,39 +156,108 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def opened(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) from rows (q, q_tokens, members, group_tokens): the query's set and a group's ids and sets.
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets have a similarity of ``percent`` or more."""
 
-    The union of the group's sets bounds the overlap: a group that has too few of the query's tokens stays shut.
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+                both = _overlap(x, y)
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
+    two = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+class Part:
+    """Sets that queries are held against together."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int):
+        self.ids, self.sets, self.percent = ids, sets, percent
+        self.sizes = np.array([len(s) for s in sets])
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        tokens, self.owner = tokens[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+        begin = np.empty(len(tokens), bool)
+        begin[0] = True
+        np.not_equal(tokens[1:], tokens[:-1], out=begin[1:])
+        self.first = np.flatnonzero(begin)
+        self.union, self.count = tokens[self.first], np.diff(np.append(self.first, len(tokens)))
+        self.root = list(range(len(sets)))
+
+    def find(self, k: int) -> int:
+        while self.root[k] != k:
+            self.root[k] = self.root[self.root[k]]
+            k = self.root[k]
+        return k
+
+    def linked(self, own: np.ndarray) -> np.ndarray:
+        """Which sets are linked with ``own``; the part stays shut if its union has too few of the tokens."""
+        at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
+        at = at[self.union[at] == own]
+        if 100 * len(at) < self.percent * len(own):
+            return at[:0]
+        count = self.count[at]
+        places = np.repeat(self.first[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(self.owner[places], minlength=len(self.sizes))
+        return np.flatnonzero((both > 0) & (100 * both >= self.percent * (len(own) + self.sizes - both)))
+
+    def inside(self) -> list[tuple[int, int]]:
+        """Links that join what is linked within the part."""
+        out = []
+        for k, own in enumerate(self.sets):
+            for j in self.linked(own).tolist() if len(self.sets) > 1 else ():
+                x, y = self.find(k), self.find(j)
+                if x != y:
+                    self.root[x] = y
+                    out.append((self.ids[k], self.ids[j]))
+        return out
+
+    def links(self, q: int, own: np.ndarray) -> list[tuple[int, int]]:
+        """One link of the query for each of the part's linked sets of texts."""
+        return [(q, self.ids[j]) for j in {self.find(j): j for j in self.linked(own).tolist()}.values()]
+
+
+def _answered(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) from rows (part, copy, asks, id, tokens): the texts of a part (asks 0) and then its queries (asks 1).
+
+    A task holds one part at a time; queries stream past it.
     """
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets, part = None, [], [], None
+
+        def ready() -> tuple[Part | None, list[tuple[int, int]]]:
+            if part is not None or not ids:
+                return part, []
+            made = Part(ids, sets, percent)
+            return made, made.inside()
+
         for batch in batches:
-            left: list[int] = []
-            right: list[int] = []
-            for q, own, ids, sets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
-                own = own.values.to_numpy().view(np.uint64)
-                ids = ids.values.to_numpy()
-                members = [s.values.to_numpy().view(np.uint64) for s in sets.values] if len(ids) else []
-                if len(members) > 1 and 100 * _overlap(own, words.distinct(np.concatenate(members))) < percent * len(own):
-                    continue
-                for other, s in zip(ids.tolist(), members):
-                    if 100 * min(len(own), len(s)) >= percent * max(len(own), len(s)):
-                        both = _overlap(own, s)
-                        if both and 100 * both >= percent * (len(own) + len(s) - both):
-                            left.append(q)
-                            right.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    return pairs.select("q", "q_tokens", "members", "group_tokens").mapInArrow(check, "a long, b long")
-
-
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among pairs (a, b) of ids."""
-    one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("q_tokens"))
-    two = sets.select(F.col("id").alias("b"), F.array("id").alias("members"), F.array("tokens").alias("group_tokens"))
-    rows = pairs.join(one, "a").join(two, "b").withColumnRenamed("a", "q")
-    return opened(rows, percent)
+            out: list[tuple[int, int]] = []
+            for p, copy, asks, i, tokens in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                tokens = tokens.values.to_numpy().view(np.uint64)
+                if (p, copy) != key:
+                    out += ready()[1]
+                    key, ids, sets, part = (p, copy), [], [], None
+                if not asks:
+                    ids.append(i)
+                    sets.append(tokens.copy())
+                else:
+                    part, more = ready()
+                    out += more
+                    if part is not None:
+                        out += part.links(i, tokens)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+        out = ready()[1]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    placed = rows.select("part", "copy", "asks", "id", "tokens").repartition("part", "copy").sortWithinPartitions("part", "copy", "asks", "id")
+    return placed.mapInArrow(run, "a long, b long")
 
 
 def _bitmap(ids: DataFrame, bits: int = BITS):
@@ -225,72 +304,84 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # Classes of equal sets.
     full = signed.where("id is not null and n > 0")
-    classes = materialize(full.groupBy("a", "b", "n").agg(F.min("id").alias("rep"), *[F.first(k).alias(k) for k in keys]), "join-classes")
+    classes = materialize(full.groupBy("a", "b", "n").agg(F.min("id").alias("rep"), F.first("rare").alias("rare"), *[F.first(k).alias(k) for k in keys]), "join-classes")
 
-    # Groups of similar classes: each against the smallest one with the same pair of minima.
-    paired = classes.select(F.explode(F.array(*keys)).alias("key"), "rep", "n")
-    leaders = paired.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
+    # Groups of similar classes, and their parts.
+    paired = classes.select(F.explode(F.array(*keys)).alias("key"), "rep", "n", "rare")
+    leaders = paired.groupBy("key").agg(F.min(F.struct("rare", "rep", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
     near = (
         paired.join(leaders, "key").select(F.col("rep").alias("a"), F.col("first.rep").alias("b"), "n", F.col("first.n").alias("m"))
-        .where(f"a <> b and 100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b").distinct()
+        .where(f"a <> b and 100 * least(n, m) >= {ALIKE} * greatest(n, m)").select("a", "b").distinct()
     )
     near = materialize(near, "join-near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = materialize(_links(near, materialize(_sets_of(rows, wanted, width), "join-sets"), percent), "join-links")
-    groups = materialize(components(links), "join-groups")
-
-    # The matrix: tokens that two groups share.  A class on its own has each token once and needs no lookup;
-    # copies and texts of larger groups do, and the latters' entries have repeats to take out.
+    alike = _alike(near, materialize(_sets_of(rows, wanted, width), "join-sets"), ALIKE)
+    groups = components(alike).join(classes.select(F.col("rep").alias("node"), "n"), "node")
+    sizes = groups.groupBy("component").agg(F.sum("n").alias("tokens"))
+    # A part is named by its smallest member.
+    deal = F.pmod(F.xxhash64("node"), F.expr(f"tokens div {PART_TOKENS} + 1"))
+    dealt = materialize(groups.join(sizes, "component").select("node", "component", deal.alias("deal")), "join-dealt")
+    names = dealt.groupBy("component", "deal").agg(F.min("node").alias("part"))
+    parts = materialize(dealt.join(names, ["component", "deal"]).select("node", "part"), "join-parts")
+
+    # The matrix: tokens that two parts share.  A class on its own has each token once and needs no lookup;
+    # copies and texts of larger parts do, and the latters' entries have repeats to take out.
     named = full.select("id", "a", "b", "n").join(classes.select("a", "b", "n", "rep"), ["a", "b", "n"])
-    grouped = groups.select(F.col("node").alias("rep"), "component")
-    small = named.where("id = rep").select("id", "a", "b").distinct().join(grouped.withColumnRenamed("rep", "id"), "id", "left")
-    special = materialize(named.where("id <> rep").select("id").union(groups.select(F.col("node").alias("id"))).distinct(), "join-special")
+    small = named.where("id = rep").select("id", "a", "b").distinct().join(parts.withColumnRenamed("node", "id"), "id", "left")
+    special = materialize(named.where("id <> rep").select("id").union(parts.select(F.col("node").alias("id"))).distinct(), "join-special")
     marked = _marked(full.select("id", "a", "b", "prefix"), special)
-    alone = marked.where("not marked").select(F.explode("prefix").alias("token"), F.col("id").alias("group"))
-    looked_up = marked.where("marked").join(small, ["id", "a", "b"]).select(F.explode("prefix").alias("token"), F.coalesce("component", "id").alias("group"))
+    alone = marked.where("not marked").select(F.explode("prefix").alias("token"), F.col("id").alias("part"))
+    looked_up = marked.where("marked").join(small, ["id", "a", "b"]).select(F.explode("prefix").alias("token"), F.coalesce("part", "id").alias("part"))
     matrix = alone.union(looked_up.distinct())
-    one, two = matrix.select("token", F.col("group").alias("g")), matrix.select("token", F.col("group").alias("h"))
-    meet = materialize(one.join(two, "token").where("g < h").groupBy("g", "h").agg(F.count("*").alias("shared")), "join-meet")
+    one, two = matrix.select("token", F.col("part").alias("g")), matrix.select("token", F.col("part").alias("h"))
+    meet = one.join(two, "token").where("g < h").groupBy("g", "h").agg(F.count("*").alias("shared"))
 
-    final = components(links.union(_across(rows, meet, groups, classes, width, percent)))
+    final = components(_links(rows, materialize(meet, "join-meet"), parts, classes, width, percent))
     of_class = classes.select("a", "b", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     linked = full.select("id", "n", "a", "b").join(of_class.select("a", "b", "n", F.coalesce("component", "rep").alias("component_id")), ["a", "b", "n"])
     rest = signed.where("id is null or n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).alias("component_id"))
     return linked.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id").union(rest)
 
 
-def _across(rows: DataFrame, meet: DataFrame, groups: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between texts of different groups that meet in the matrix.
-
-    The texts of the smaller group are the queries.  The larger one is dealt out in parts of about ``GROUP_TOKENS`` tokens, so
-    that no row holds a group of any size.
-    """
-    members = classes.select(F.col("rep").alias("id"), "n").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
-    members = members.select(F.coalesce("component", "id").alias("group"), "id", "n")
-    met = meet.select(F.explode(F.array("g", "h")).alias("group")).distinct()
-    members = materialize(members.join(met, "group"), "join-members")
-    sizes = members.groupBy("group").agg(F.sum("n").alias("tokens"), F.count("*").alias("texts"), F.min("n").alias("least"), F.max("n").alias("most"))
-    sizes = materialize(sizes, "join-sizes")
+def _links(rows: DataFrame, meet: DataFrame, parts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links within parts of several texts, and between parts that meet in the matrix."""
+    members = classes.select(F.col("rep").alias("id"), "n").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    members = members.select(F.coalesce("part", "id").alias("part"), "id", "n", F.col("part").isNotNull().alias("several"))
+    met = meet.select(F.explode(F.array("g", "h")).alias("part")).distinct().withColumn("meets", F.lit(True))
+    members = materialize(members.join(met, "part", "left").where("several or meets"), "join-members")
+    sizes = materialize(members.groupBy("part").agg(F.count("*").alias("texts"), F.min("n").alias("least"), F.max("n").alias("most")), "join-sizes")
     g, h = (sizes.select(*[F.col(c).alias(f"{s}_{c}") for c in sizes.columns]) for s in "gh")
+    both = 100 + percent
     pairs = (
-        meet.join(g, F.col("g") == F.col("g_group")).join(h, F.col("h") == F.col("h_group"))
-        # No text of one can be similar to one of the other if all are too long.  Two sets can share, besides their common
-        # prefix tokens, no more than what is behind the prefix of the larger one.
+        meet.join(g, F.col("g") == F.col("g_part")).join(h, F.col("h") == F.col("h_part"))
+        # No text of one can be similar to one of the other if all are too long.
         .where(f"100 * h_most >= {percent} * g_least and 100 * g_most >= {percent} * h_least")
-        .where(f"g_texts + h_texts > 2 or {100 + percent} * (shared + ({percent} * greatest(g_most, h_most) + 99) div 100 - 1) >= {percent} * (g_most + h_most)")
-        .select(F.when(F.col("g_texts") <= F.col("h_texts"), F.struct(F.col("g").alias("asks"), F.col("h").alias("group"))).otherwise(F.struct(F.col("h").alias("asks"), F.col("g").alias("group"))).alias("p"))
-        .select("p.asks", "p.group")
+        # Two sets can share, besides their common prefix tokens, no more than what is behind the prefix of the larger one.
+        # Between parts the best case counts: the smallest text, and one as much larger as a link allows.
+        .withColumn("small", F.least("g_least", "h_least"))
+        .withColumn("large", F.expr(f"least(greatest(g_most, h_most), 100 * small div {percent})"))
+        .where(
+            f"case when g_texts + h_texts = 2 then {both} * (shared + ({percent} * greatest(g_most, h_most) + 99) div 100 - 1) >= {percent} * (g_most + h_most) "
+            f"else {both} * (shared + ({percent} * large + 99) div 100) >= {percent} * (small + large) end"
+        )
+        # The part of fewer texts asks.
+        .withColumn("turn", F.col("g_texts") <= F.col("h_texts"))
+        .select(F.when(F.col("turn"), F.col("g")).otherwise(F.col("h")).alias("asking"), F.when(F.col("turn"), F.col("h")).otherwise(F.col("g")).alias("part"))
     )
     pairs = materialize(pairs, "join-pairs")
-    used = pairs.select(F.col("asks").alias("group")).union(pairs.select("group")).distinct()
-    members = members.join(used, "group", "left_semi").join(sizes.select("group", F.col("tokens").alias("group_size")), "group")
-    part = F.pmod(F.xxhash64("id"), F.expr(f"group_size div {GROUP_TOKENS} + 1"))
-    members = materialize(members.select("group", "id", part.alias("part")), "join-parts")
+    several = members.where("several").select("part")
+    used = pairs.select(F.col("asking").alias("part")).union(pairs.select("part")).union(several).distinct()
+    members = members.join(used, "part", "left_semi").select("part", "id")
     sets = materialize(_sets_of(rows, members.select("id"), width).join(members, "id"), "join-open")
-    opened_parts = sets.groupBy("group", "part").agg(F.collect_list(F.struct("id", "tokens")).alias("all"))
-    opened_parts = opened_parts.select("group", F.col("all.id").alias("members"), F.col("all.tokens").alias("group_tokens"))
-    queries = sets.select(F.col("group").alias("asks"), F.col("id").alias("q"), F.col("tokens").alias("q_tokens"))
-    return materialize(opened(pairs.join(queries, "asks").join(opened_parts, "group"), percent), "join-across")
+    # A part that many texts ask is copied, so that its queries spread over tasks.
+    texts = sizes.select(F.col("part").alias("asking"), "texts")
+    copies = pairs.join(texts, "asking").groupBy("part").agg(F.expr(f"cast(sum(texts) div {QUERIES_EACH} + 1 as int)").alias("copies"))
+    copies = materialize(copies, "join-copies")
+    last = F.coalesce("copies", F.lit(1)) - 1
+    texts_of = sets.join(copies, "part", "left").select("part", F.explode(F.sequence(F.lit(0), last)).alias("copy"), F.lit(0).alias("asks"), "id", "tokens")
+    queries = pairs.join(sets.withColumnRenamed("part", "asking"), "asking").join(copies, "part")
+    queries = queries.select("part", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("asks"), "id", "tokens")
+    return materialize(_answered(texts_of.union(queries), percent), "join-links")
 
 
 @register("op2_near_join")
