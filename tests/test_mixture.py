@@ -89,11 +89,16 @@ def test_loop(spark, monkeypatch, d, models, limit):
 def test_learns_clusters_and_scores_waiting_rows(spark):
     x, label = clusters(600)
     hidden = np.where(np.arange(600) % 5 == 4, -1, label)
-    learner = GrowingMixture(MixtureParams(dimension=2, window=100, max_components=10))
+    learner = GrowingMixture(MixtureParams(dimension=2, window=100, max_components=10, warmup=150))
     rows = frame(spark, x, hidden)
-    scored = learner.predict(rows, learner.fit(rows)).collect()
+    versions = learner.fit(rows)
+    scored = learner.predict(rows, versions).collect()
     assert len(scored) == 120
     assert np.mean([r.prediction == label[r.seq] for r in scored]) > 0.9
+    # The version before a row's window of labelled rows, or the first of more than 150 rows.
+    assert all(r.version == max((r.seq - r.seq // 5) // 100 - 1, 1) for r in scored)
+    cold = learner.predict(rows, versions, warmup=1000).collect()
+    assert len(cold) == 120 and {(r.version, r.prediction) for r in cold} == {(None, None)}
 
 
 def test_model_without_labels_predicts_minus_one(spark):

@@ -6,9 +6,8 @@ from pyspark.sql import Window, functions as F
 
 from tidelearn.functions.noise import normal_pair, uniform
 from tidelearn.operators import moments as mo, routing
-from tidelearn.operators.joins import salted_join
 from tidelearn.operators.prefix import running_total
-from tidelearn.operators.windows import count_windows, drop_tail, number_rows, window_size
+from tidelearn.operators.windows import count_windows, drop_tail, labelled_windows, number_rows
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +39,6 @@ def test_tail_is_kept_or_dropped(rows):
     sizes = {r.window_id: r["count"] for r in windows.groupBy("window_id").count().collect()}
     assert sizes == {0: 300, 1: 300, 2: 300, 3: 100}
     assert drop_tail(windows, 300).count() == 900
-    assert window_size(1000, 16, 10) == 63 and window_size(10, 16, 100) == 100
 
 
 @pytest.mark.parametrize("inclusive", [True, False])
@@ -50,11 +48,21 @@ def test_running_total_in_blocks(rows, inclusive):
     assert running_total(df, ["model_id"], "seq", ["v"], block=64, inclusive=inclusive).filter("v <> want").count() == 0
 
 
-def test_salted_join_keeps_every_row_once(rows, spark):
-    models = spark.createDataFrame([(0, "a"), (1, "b")], "model_id int, name string")
-    assert salted_join(rows, models, ["model_id"], "seq").count() == 1000
-    left = salted_join(rows, models.filter("model_id = 1"), ["model_id"], "seq", "left")
-    assert left.count() == 1000 and left.filter("name is null").count() == rows.filter("model_id = 0").count()
+def test_sparse_keys_leave_a_short_top_list(spark):
+    """Ids far apart: positions are right, and blocks of blocks keep every group short."""
+    far = spark.range(3000).select((F.col("id") * 10**12).alias("seq"))
+    got = number_rows(far)
+    assert got.filter("position <> seq div 1000000000000").count() == 0 and got.count() == 3000
+    top = far.select(F.expr("(seq div 131072) div 4096 div 4096").alias("b")).distinct().count()
+    assert top < 3000
+    assert running_total(far.withColumn("v", F.lit(1)), [], "seq", ["v"], block=16, levels=3).filter("v <> seq div 1000000000000 + 1").count() == 0
+
+
+def test_labelled_windows(spark):
+    df = spark.range(20).select(F.col("id").alias("seq"), F.when(F.col("id") % 4 < 2, F.lit(1.0)).alias("label"))
+    got = {r.seq: r.window_id for r in labelled_windows(df, 3).collect()}
+    want = {i: sum(j % 4 < 2 for j in range(i)) // 3 for i in range(20)}
+    assert got == want
 
 
 def test_masks_and_splits(rows):

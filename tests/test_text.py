@@ -184,6 +184,23 @@ def test_e_step_both_ways(spark, corpus, limit):
     assert math.isclose(step.document_bound(counts).agg(F.sum("bound")).first()[0], want, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("limit", [tp.SENT_CELLS, 0])
+def test_unknown_words_and_tiny_priors(spark, corpus, limit):
+    """Documents without known words keep alpha; products below the range of doubles do not become nulls."""
+    counts, _ = corpus
+    p = TopicParams(topics=3, alpha=0.0005, eta=0.0005)
+    cells = [(k, w, 5.0 if w % 3 == k else p.eta) for k in range(3) for w in range(30)]
+    topics = spark.createDataFrame(cells, "topic int, word_id long, weight double")
+    more = counts.select("doc_id", F.col("word_id").cast("long"), F.col("cnt").cast("long")).union(spark.createDataFrame([(900, 77, 3), (901, 78, 1)], "doc_id long, word_id long, cnt long"))
+    step = tp.EStep(topics, p.alpha, p.passes, p.tolerance, limit)
+    got = {(r.doc_id, r.topic): r.gamma for r in step.gamma(more).collect()}
+    assert len({d for d, _ in got}) == 62 and got[(900, 0)] == pytest.approx(p.alpha)
+    assert all(v is not None and math.isfinite(v) for v in got.values())
+    bounds = {r.doc_id: r.bound for r in step.document_bound(more).collect()}
+    assert len(bounds) == 62 and all(math.isfinite(b) for b in bounds.values())
+    assert all(math.isfinite(r.s) for r in step.sstats(more).collect())
+
+
 def test_topic_fit_and_bound(spark, corpus):
     counts, vocab = corpus
     p = TopicParams(topics=3, documents=60, offset=1.0)

@@ -24,6 +24,13 @@ def windowed(size: str, name: str = "win") -> str:
   SELECT *, CAST((row_number() OVER (ORDER BY seq) - 1) // ({size}) AS BIGINT) AS window_id FROM ord)"""
 
 
+def labelled_windows(size: int, name: str = "win", source: str = "ord") -> str:
+    """Windows of ``size`` labelled rows; a row without a label is in the window that is open when it arrives."""
+    return f"""
+{name} AS (
+  SELECT *, CAST((count(y) OVER (ORDER BY seq) - CASE WHEN y IS NULL THEN 0 ELSE 1 END) // {size} AS BIGINT) AS window_id FROM {source})"""
+
+
 def ord_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.col("o_orderstatus")
     return table(spark, sf_dir, "orders").select(

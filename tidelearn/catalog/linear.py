@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelearn.catalog.fixtures import LINES, ORD, SENTINEL, line_rows, ord_rows, windowed
+from tidelearn.catalog.fixtures import LINES, ORD, SENTINEL, labelled_windows, line_rows, ord_rows, windowed
 from tidelearn.catalog.registry import register, table
 from tidelearn.catalog.rows import rounded
 from tidelearn.functions.vectors import clamp_at_zero
 from tidelearn.operators import metrics
 from tidelearn.operators.hinge import sign_of, decision, svm_step
 from tidelearn.operators.routing import unlabel, with_model
-from tidelearn.operators.windows import count_windows, window_size
+from tidelearn.operators.windows import count_windows
 from tidelearn.params import LassoParams, RidgeParams, SgdParams, SvmParams
 from tidelearn.plans.learner import Chain, Standardize
 from tidelearn.plans.moment_learners import Ridge, ShrinkageLasso
@@ -22,9 +22,8 @@ from tidelearn.session import materialize
 RIDGE = Ridge(RidgeParams(dimension=2, window=1000, penalty=1.0, warmup=50, sentinel=SENTINEL))
 LASSO = ShrinkageLasso(LassoParams(dimension=2, window=1000, penalty=20.0, warmup=2000, sentinel=SENTINEL))
 
-# Sequential learners take at most this many windows, each of at least 1,000 rows.
-WINDOWS = 8
-SEQ_SIZE = f"SELECT greatest(1000, CAST(ceil(count(*) / {WINDOWS}e0) AS BIGINT)) FROM ord"
+# Labelled rows per window of the sequential learner: one distributed job each.
+SVM_WINDOW = 5000
 
 
 def flat(df, *keep, digits=6, names=("w1", "w2")):
@@ -33,14 +32,11 @@ def flat(df, *keep, digits=6, names=("w1", "w2")):
 
 # Running moments of two features, one row per version.
 MOM2 = f"""
-{ORD}, {windowed('1000')},
+{ORD}, {labelled_windows(1000)},
 per AS (
-  SELECT window_id AS version, count(y) AS m,
-         coalesce(sum(CASE WHEN y IS NOT NULL THEN x1 * x1 END), 0) AS a11,
-         coalesce(sum(CASE WHEN y IS NOT NULL THEN x1 * x2 END), 0) AS a12,
-         coalesce(sum(CASE WHEN y IS NOT NULL THEN x2 * x2 END), 0) AS a22,
-         coalesce(sum(y * x1), 0) AS r1, coalesce(sum(y * x2), 0) AS r2
-  FROM win GROUP BY 1),
+  SELECT window_id AS version, count(y) AS m, sum(x1 * x1) AS a11, sum(x1 * x2) AS a12, sum(x2 * x2) AS a22,
+         sum(y * x1) AS r1, sum(y * x2) AS r2
+  FROM win WHERE y IS NOT NULL GROUP BY 1),
 mom AS (
   SELECT version, CAST(sum(m) OVER o AS BIGINT) AS n, sum(a11) OVER o AS a11, sum(a12) OVER o AS a12,
          sum(a22) OVER o AS a22, sum(r1) OVER o AS r1, sum(r2) OVER o AS r2
@@ -67,12 +63,12 @@ def ridge_fit(spark, sf):
 
 AS_OF = """
 first AS (SELECT min(version) AS v0 FROM fit WHERE n > {warm}),
-wait AS (SELECT seq, window_id, x1, x2, greatest(window_id - 1, v0) AS version FROM win, first
-         WHERE y IS NULL AND v0 IS NOT NULL)"""
+wait AS (SELECT seq, window_id, x1, x2, CASE WHEN v0 IS NOT NULL THEN greatest(window_id - 1, v0) END AS version
+         FROM win, first WHERE y IS NULL)"""
 
 
 @register("ridge_predict", f"""{RIDGE_FIT}, {AS_OF.format(warm=50)}
-SELECT seq, version, round(w1 * x1 + w2 * x2, 5) AS prediction FROM wait JOIN fit USING (version)""")
+SELECT seq, version, round(w1 * x1 + w2 * x2, 5) AS prediction FROM wait LEFT JOIN fit USING (version)""")
 def ridge_predict(spark, sf):
     versions = materialize(_ridge_versions(spark, sf), "ridge-models")
     scored = RIDGE.predict(ord_rows(spark, sf), versions)
@@ -80,13 +76,13 @@ def ridge_predict(spark, sf):
 
 
 @register("warmup_asof", f"""{RIDGE_FIT}, {AS_OF.format(warm=2000)}
-SELECT seq, window_id, version, n FROM wait JOIN fit USING (version)""")
+SELECT seq, window_id, version, n FROM wait LEFT JOIN fit USING (version)""")
 def warmup_asof(spark, sf):
     me = RIDGE.with_params(warmup=2000)
     versions = materialize(me.fit(ord_rows(spark, sf)), "ridge-models")
     scored = me.predict(ord_rows(spark, sf), versions)
     return scored.select("model_id", "seq", "window_id", "version").join(
-        versions.select("model_id", "version", "n"), ["model_id", "version"]
+        versions.select("model_id", "version", "n"), ["model_id", "version"], "left"
     ).select("seq", "window_id", "version", "n")
 
 
@@ -120,7 +116,7 @@ STANDARD = f"""
 WITH {ORD}, st AS (
   SELECT avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2 FROM ord)"""
 STANDARD_FIT = (RIDGE_FIT.replace("WITH", "WITH", 1)
-                .replace("SELECT *, CAST((row_number()", "SELECT seq, (x1 - m1) / s1 AS x1, (x2 - m2) / s2 AS x2, label, y, CAST((row_number()")
+                .replace("SELECT *, CAST((count(y)", "SELECT seq, (x1 - m1) / s1 AS x1, (x2 - m2) / s2 AS x2, label, y, CAST((count(y)")
                 .replace("AS window_id FROM ord)", "AS window_id FROM ord, (SELECT avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2 FROM ord))"))
 
 
@@ -160,7 +156,7 @@ def slog_fit(spark, sf):
 
 
 @register("slog_predict", f"""{SLOG_FIT}, {AS_OF.format(warm=2000)}
-SELECT seq, round(w1 * x1 + w2 * x2, 4) AS prediction FROM wait JOIN fit USING (version)""")
+SELECT seq, round(w1 * x1 + w2 * x2, 4) AS prediction FROM wait LEFT JOIN fit USING (version)""")
 def slog_predict(spark, sf):
     versions = materialize(LASSO.fit(ord_rows(spark, sf)), "slog-models")
     scored = LASSO.predict(ord_rows(spark, sf), versions)
@@ -201,13 +197,8 @@ def svm_predict(spark, sf):
     return OnlineSvm(SvmParams(dimension=2)).score(rows, state).select("seq", "prediction")
 
 
-def _svm(rows, **changes):
-    size = window_size(rows.count(), WINDOWS, 1000)
-    return OnlineSvm(SvmParams(dimension=2, window=size, sentinel=SENTINEL, **changes))
-
-
 @register("svm_fit", f"""
-WITH RECURSIVE {ORD}, {windowed(SEQ_SIZE)},
+WITH RECURSIVE {ORD}, {labelled_windows(SVM_WINDOW)},
 it AS (
   SELECT CAST(-1 AS BIGINT) AS version, CAST(0 AS BIGINT) AS n, 0.1e0 AS w1, 0.1e0 AS w2, 0.1e0 AS b
   UNION ALL
@@ -218,13 +209,14 @@ it AS (
     SELECT it.version, it.n, it.w1, it.w2, it.b, CAST(count(y) AS DOUBLE) AS m,
            coalesce(sum(CASE WHEN v THEN s * x1 END), 0) AS s1, coalesce(sum(CASE WHEN v THEN s * x2 END), 0) AS s2,
            coalesce(sum(CASE WHEN v THEN s END), 0) AS sy
-    FROM it JOIN (SELECT *, 2 * y - 1 AS s FROM win) r ON r.window_id = it.version + 1
+    FROM it JOIN (SELECT *, 2 * y - 1 AS s FROM win WHERE y IS NOT NULL) r ON r.window_id = it.version + 1
     CROSS JOIN LATERAL (SELECT r.s * (it.w1 * r.x1 + it.w2 * r.x2 + it.b) < 1 AS v) t
     GROUP BY ALL) g)
 SELECT version, n, round(w1, 6) AS w1, round(w2, 6) AS w2, round(b, 6) AS b FROM it WHERE version >= 0""")
 def svm_fit(spark, sf):
     rows = ord_rows(spark, sf)
-    versions = _svm(rows, step=0.5, step_intercept=0.5).fit(rows)
+    learner = OnlineSvm(SvmParams(dimension=2, window=SVM_WINDOW, step=0.5, step_intercept=0.5, sentinel=SENTINEL))
+    versions = learner.fit(rows)
     return flat(versions.withColumn("b", F.round("intercept", 6)), "version", "n", "b")
 
 
@@ -237,14 +229,13 @@ def svm_local_sgd(spark, sf):
 
 
 def _sgd_sql(update1: str, update2: str) -> str:
-    """Recursion over (window, step): five steps on each window's moments."""
+    """Recursion over (window, step): fifty steps on each window's moments."""
     return f"""
-WITH RECURSIVE {ORD}, {windowed(SEQ_SIZE)},
-per AS (
-  SELECT window_id AS version, CAST(count(y) AS DOUBLE) AS m, sum(CASE WHEN y IS NOT NULL THEN x1 * x1 END) AS a11,
-         sum(CASE WHEN y IS NOT NULL THEN x1 * x2 END) AS a12, sum(CASE WHEN y IS NOT NULL THEN x2 * x2 END) AS a22,
+WITH RECURSIVE {ORD}, {labelled_windows(1000)},
+per AS MATERIALIZED (
+  SELECT window_id AS version, CAST(count(y) AS DOUBLE) AS m, sum(x1 * x1) AS a11, sum(x1 * x2) AS a12, sum(x2 * x2) AS a22,
          sum(y * x1) AS r1, sum(y * x2) AS r2
-  FROM win GROUP BY 1),
+  FROM win WHERE y IS NOT NULL GROUP BY 1),
 it AS (
   SELECT 0 AS k, 0e0 AS w1, 0e0 AS w2
   UNION ALL
@@ -252,16 +243,13 @@ it AS (
   FROM (
     SELECT k, w1, w2, rate, w1 - rate * (a11 * w1 + a12 * w2 - r1) / m AS u1,
            w2 - rate * (a12 * w1 + a22 * w2 - r2) / m AS u2
-    FROM (SELECT *, 0.1e0 / sqrt(CAST(k % 5 + 1 AS DOUBLE)) AS rate FROM it) it JOIN per ON per.version = k // 5) s)
-SELECT CAST(k // 5 - 1 AS BIGINT) AS version, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM it WHERE k > 0 AND k % 5 = 0"""
+    FROM (SELECT *, 0.1e0 / sqrt(CAST(k % 50 + 1 AS DOUBLE)) AS rate FROM it) it JOIN per ON per.version = k // 50) s)
+SELECT CAST(k // 50 - 1 AS BIGINT) AS version, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM it WHERE k > 0 AND k % 50 = 0"""
 
 
 def _sgd(spark, sf, penalty):
-    rows = unlabel(ord_rows(spark, sf), SENTINEL)
-    learner = SgdRegression(
-        SgdParams(dimension=2, iterations=5, penalty=penalty, reg=0.1), window_size(rows.count(), WINDOWS, 1000)
-    )
-    return flat(learner.fit(rows), "version")
+    learner = SgdRegression(SgdParams(dimension=2, penalty=penalty, sentinel=SENTINEL))
+    return flat(learner.fit(ord_rows(spark, sf)), "version")
 
 
 @register("sgd_ridge", _sgd_sql("u1 - rate * 0.1e0 * w1", "u2 - rate * 0.1e0 * w2"))

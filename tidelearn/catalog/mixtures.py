@@ -8,7 +8,6 @@ from tidelearn.catalog.fixtures import EMB2, EVENT_LIST, emb2_rows, event_rank
 from tidelearn.catalog.registry import register, spread_table, table
 from tidelearn.catalog.rows import rounded
 from tidelearn.operators import mixture as mx
-from tidelearn.operators.windows import window_size
 from tidelearn.params import MixtureParams
 from tidelearn.plans.mixture import GrowingMixture
 from tidelearn.session import materialize
@@ -275,8 +274,7 @@ def gmm_split(spark, sf):
 @register("gmm_fit")
 def gmm_fit(spark, sf):
     rows = emb2_rows(spark, sf).withColumn("label", F.col("label") + 1.0)
-    size = window_size(rows.count(), 4, 50)
-    learner = GrowingMixture(MixtureParams(dimension=2, window=size, max_components=10))
+    learner = GrowingMixture(MixtureParams(dimension=2, window=250, max_components=10))
     versions = learner.fit(rows)
     flat = versions.select("version", "n", F.explode("comps").alias("c"))
     mu = F.col("c.mu")

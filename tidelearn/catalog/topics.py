@@ -11,7 +11,6 @@ from tidelearn.catalog.words import BY_DF, SPACE, VOCAB, by_df, documents, doc_t
 from tidelearn.operators import text as tx, topics as tp
 from tidelearn.operators.routing import unlabel
 from tidelearn.operators.sax import Sax, SaxDictionary, breakpoints, majority_class
-from tidelearn.operators.windows import window_size
 from tidelearn.params import TopicParams
 from tidelearn.plans import baselines
 from tidelearn.plans.learner import Chain
@@ -118,7 +117,7 @@ RATE = (50.0 + 1) ** (-0.7)
 @register("lda_update", f"""
 WITH {ESTEP}, s AS (SELECT topic, word_id, sum(cnt * phi) AS s FROM p5 GROUP BY 1, 2)
 SELECT CAST(topic AS INTEGER) AS topic, word_id,
-       round((1 - {RATE!r}) * weight + {RATE!r} * (0.01e0 + 1500e0 / (SELECT count(DISTINCT doc_id) FROM counts) * coalesce(s, 0)), 4) AS weight
+       round((1 - {RATE!r}) * weight + {RATE!r} * (0.01e0 + coalesce(s, 0)), 4) AS weight
 FROM topics LEFT JOIN s USING (topic, word_id)""")
 def lda_update(spark, sf):
     """One window: all documents update the language topics once."""
@@ -143,9 +142,8 @@ def lda_bound(spark, sf):
 
 @register("lda_fit")
 def lda_fit(spark, sf):
-    vocab, counts, _ = topic_inputs(spark, sf)
-    size = window_size(table(spark, sf, "documents").count(), 4, 100)
-    versions = TopicModel(PARAMS).fit(counts, vocab, size)
+    vocab = materialize(vocabulary(spark, sf), "vocabulary")
+    versions = TopicModel(PARAMS).fit(tx.encode(space_counts(spark, sf), vocab), vocab, 1000)
     return versions.select("version", "topic", "word_id", F.round("weight", 6).alias("weight"))
 
 
@@ -288,8 +286,10 @@ def frequent(spark, sf):
 
 @register("batch_lda")
 def batch_lda(spark, sf):
-    docs = documents(spark, sf).select("doc_id", tx.word_tokens(F.col("text")).alias("words"))
-    topics = baselines.batch_lda(docs, frequent(spark, sf))
+    counts = materialize(token_counts(spark, sf), "token-counts")
+    # At most 1,000 words.
+    vocab = spark.createDataFrame(list(enumerate(frequent(spark, sf))), "word_id int, word string")
+    topics = baselines.batch_lda(materialize(tx.encode(counts, vocab), "counts"), vocab)
     return rounded(tx.top_words(topics, 20), 6, "share")
 
 

@@ -19,22 +19,22 @@ def dot(x: Column, w: Column, d: int | None = None) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
 
 
-def vector(*cols) -> Column:
-    return F.array(*[F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in cols])
-
-
 def clamp_at_zero(w: Column) -> Column:
     """Every coefficient below zero becomes zero."""
     return F.transform(w, lambda c: F.greatest(c, F.lit(0.0)))
 
 
 def densify(size: Column | int, indices: Column, values: Column) -> Column:
-    """Sparse ``(size, indices, values)`` to a dense vector; absent entries are 0."""
+    """Sparse ``(size, indices, values)`` to a dense vector; absent entries are 0.
+
+    An index outside ``0 .. size - 1`` makes the vector null, so that width checks reject the row.
+    """
     size = F.lit(size) if isinstance(size, int) else size
     lookup = F.map_from_arrays(indices, values)
-    return F.transform(
+    dense = F.transform(
         F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0))
     )
+    return F.when(~F.exists(indices, lambda i: (i < 0) | (i >= size)), dense)
 
 
 def has_width(x: Column, d: int) -> Column:

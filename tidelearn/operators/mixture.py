@@ -19,7 +19,6 @@ from pyspark.sql.types import StructType
 
 from tidelearn.functions import gaussian as g
 from tidelearn.functions.vectors import triangle
-from tidelearn.operators.joins import salted_join
 from tidelearn.session import tasks
 
 KEY = ["model_id"]
@@ -301,7 +300,7 @@ class Matcher:
                 F.sqrt(dist).alias("distance"), F.exp(-0.5 * (dist + c["logdet"] + const)).alias("density"),
             )
 
-        joined = salted_join(rows, self.state.select(*KEY, "comps"), KEY, "seq")
+        joined = rows.join(self.state.select(*KEY, "comps"), KEY)
         return joined.withColumn("fits", F.transform("comps", fit)).drop("comps")
 
     def _matched_joined(self, rows: DataFrame) -> DataFrame:
@@ -309,7 +308,7 @@ class Matcher:
         best = self._joined(rows).withColumn("_best", _densest(F.filter("fits", lambda f: f["distance"] < gate)))
         b = F.col("_best")
         situation = (
-            F.when(b.isNull(), 2).when(b["label"] == 0, 1).when(b["label"] != F.col("label").cast("int"), 2).otherwise(3)
+            F.when(b.isNull(), 2).when(b["label"] == 0, 1).when(b["label"].eqNullSafe(F.col("label").cast("int")), 3).otherwise(2)
         )
         return best.withColumn("situation", situation).withColumn("id", b["id"]).drop("_best")
 

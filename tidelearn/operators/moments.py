@@ -25,11 +25,11 @@ def cell_names(d: int) -> list[str]:
 def moments(df: DataFrame, d: int, keys: list[str], features: str = "features", label: str = "label") -> DataFrame:
     """One row per key with the labelled count and one column per moment.
 
-    Rows without a label add nothing, but their key still gets a row.
+    Rows without a label, or with NaN, add nothing, but their key still gets a row.
     """
     if d > FLAT:
         raise ValueError(f"flat moments are for at most {FLAT} features; use moments_long")
-    y = F.col(label)
+    y = F.nullif(F.col(label).cast("double"), F.lit(float("nan")))
     x = F.when(y.isNotNull(), F.col(features))
 
     def total(cell: Column, name: str) -> Column:
@@ -141,10 +141,3 @@ def merge_by_count(df: DataFrame, keys: list[str], weights: list[str], n: str =
     means = [(F.sum(F.col(n) * F.col(w)) / total).alias(w) for w in weights]
     return df.groupBy(*keys).agg(total.alias(n), *means)
 
-
-def sum_vectors(df: DataFrame, keys: list[str], vec: str, d: int, extra: list[Column] | None = None) -> DataFrame:
-    """Element-wise sum of an array column per key, as one array."""
-    sums = [F.sum(F.col(vec)[i]).alias(f"_v{i}") for i in range(d)]
-    out = df.groupBy(*keys).agg(*(extra or []), *sums)
-    kept = [c for c in out.columns if not c.startswith("_v")]
-    return out.select(*kept, F.array(*[F.col(f"_v{i}") for i in range(d)]).alias(vec))

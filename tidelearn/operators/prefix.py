@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK = 4096
+# Levels of blocks: with two of them any 64-bit order that counts ranges of 2^17 keys (see ``windows.RANGE``)
+# leaves a top list of at most 2^22 entries, however sparse the keys.
+LEVELS = 2
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: str, values: list[str], block: int = BLOCK, inclusive: bool = True
+    df: DataFrame, keys: list[str], order: str, values: list[str], block: int = BLOCK, inclusive: bool = True, levels: int = LEVELS
 ) -> DataFrame:
     """Replace each column of ``values`` by its running total along ``order``.
 
     ``order`` is an integer, unique per key.  Totals are taken per
-    block of ``block`` positions, the short list of blocks is summed in order,
-    and each block then runs on its own.  A key of N positions gives groups of
-    at most ``block`` and ``N / block`` rows, never one group of N.
+    block of ``block`` positions, the list of blocks is summed in order (itself in
+    blocks, ``levels`` times), and each block then runs on its own.  A key of N positions gives
+    groups of at most ``block`` rows, never one group of N.
     """
     blocked = df.withColumn("_block", F.expr(f"cast(`{order}` as bigint) div {block}L"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        blocked.groupBy(*keys, "_block")
-        .agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-        .select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.col("_block").alias("_start"),
-            *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_s_{v}") for v in values],
-        )
+    totals = blocked.groupBy(*keys, "_block").agg(*[F.sum(v).alias(v) for v in values])
+    if levels > 1:
+        # The name of this level's block is free again one level down.
+        inner = totals.withColumnRenamed("_block", "_order")
+        totals = running_total(inner, keys, "_order", values, block, False, levels - 1).withColumnRenamed("_order", "_block")
+    else:
+        before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select(*keys, "_block", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(v) for v in values])
+    starts = totals.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_start"), *[F.col(v).alias(f"_s_{v}") for v in values]
     )
     # Null-safe, so that no filter is pushed into one of two equal subplans and
     # Spark can reuse the shuffle of the other.

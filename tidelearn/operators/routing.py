@@ -29,6 +29,18 @@ def of_width(df: DataFrame, d: int, features: str = "features") -> tuple[DataFra
     return df.filter(good), df.filter(~good)
 
 
+def sound(df: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that a learner of width ``d`` may use, and the rejected rest.
+
+    A vector must have width ``d`` without nulls or NaN, a label must not be NaN, and the order key must be there.
+    """
+    good = has_width(F.col("features"), d) & F.coalesce(~F.isnan("label"), F.lit(True))
+    if "seq" in df.columns:
+        good = good & F.col("seq").isNotNull()
+    good = F.coalesce(good, F.lit(False))
+    return df.filter(good), df.filter(~good)
+
+
 def shard_of(n: int, key: str = "seq", by: Column | None = None) -> Column:
     """Repeatable shard number: a hash of the order key, or a user's integer column."""
     return F.pmod(by if by is not None else F.xxhash64(F.col(key)), F.lit(n)).cast("int")

@@ -9,7 +9,6 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidelearn.operators.joins import salted_join
 from tidelearn.operators.windows import number_rows
 from tidelearn.plans.learner import Stage, need_columns
 
@@ -52,7 +51,7 @@ class Sax(Stage):
         pieces = placed.groupBy("series", F.expr(f"_at div {f * w}L").alias("pos")).agg(
             F.count(F.lit(1)).alias("_n"), *[F.avg(F.when(slot == i, F.col("value"))).alias(f"_f{i}") for i in range(w)]
         )
-        scaled = salted_join(pieces.filter(F.col("_n") == f * w), model, ["series"], "pos")
+        scaled = pieces.filter(F.col("_n") == f * w).join(model, ["series"])
 
         def z(i: int) -> Column:
             flat = F.coalesce(F.col("scale"), F.lit(0.0)) <= 0
@@ -99,7 +98,7 @@ class SaxDictionary(Stage):
         # A window has at most ``number`` distinct words.
         whole = Window.partitionBy("series", "win")
         normed = counts.withColumn("_norm", F.sqrt(F.sum(F.col("n") * F.col("n")).over(whole).cast("double")))
-        hits = salted_join(normed, model.filter("weight > 0"), ["word"], "series", "left")
+        hits = normed.join(model.filter("weight > 0"), ["word"], "left")
         scores = hits.groupBy("series", "win", "class").agg(
             F.sum(F.col("n") / F.col("_norm") * F.coalesce("weight", F.lit(0.0))).alias("score")
         )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidelearn.operators.joins import salted_join
 from tidelearn.session import materialize
 
 # Letters, digits and the underscore of any script.
@@ -89,7 +88,7 @@ def encode(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
     A common word occurs in most documents, so the join key is salted.
     """
-    return salted_join(counts, vocab.select("word", "word_id"), ["word"], "doc_id").select("doc_id", "word_id", "cnt")
+    return counts.join(vocab.select("word", "word_id"), ["word"]).select("doc_id", "word_id", "cnt")
 
 
 def unknown_words(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -100,7 +99,7 @@ def unknown_words(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
 def known_documents(docs: DataFrame, words: Column, vocab: DataFrame) -> DataFrame:
     """Ids of documents with at least one vocabulary word."""
     distinct = explode_words(docs, F.array_distinct(words))
-    return salted_join(distinct, vocab.select("word"), ["word"], "doc_id").select("doc_id").distinct()
+    return distinct.join(vocab.select("word"), ["word"]).select("doc_id").distinct()
 
 
 def empty_documents(docs: DataFrame, words: Column, vocab: DataFrame) -> DataFrame:
@@ -122,7 +121,7 @@ def vocabulary_by_df(counts: DataFrame, n_docs: DataFrame, least: int = 2, share
 def tfidf(counts: DataFrame, words: DataFrame, n_docs: DataFrame) -> DataFrame:
     """``cnt * (ln((1+N)/(1+df)) + 1)``, scaled so that each document has length one."""
     idf = words.select("word", (F.ln((1.0 + n_docs.scalar()) / (1.0 + F.col("df"))) + 1.0).alias("_idf"))
-    raw = salted_join(counts, idf, ["word"], "doc_id").select("doc_id", "word", (F.col("cnt") * F.col("_idf")).alias("_t"))
+    raw = counts.join(idf, ["word"]).select("doc_id", "word", (F.col("cnt") * F.col("_idf")).alias("_t"))
     # A document has at most as many rows here as the vocabulary has words.
     whole = Window.partitionBy("doc_id")
     return raw.select("doc_id", "word", (F.col("_t") / F.sqrt(F.sum(F.col("_t") * F.col("_t")).over(whole))).alias("tfidf"))

@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidelearn.functions.special import digamma, digamma_np, lgamma_np
-from tidelearn.operators.joins import salted_join
 from tidelearn.session import materialize, tasks
 
 # Topic cells (K x V) that may be sent to every task: 32 MB of doubles.
 SENT_CELLS = 4_000_000
+# Entries times topics that a task works on at a time (32 MB an array).
+BATCH_CELLS = 4_000_000
 
 
 def dirichlet_expectation(weights: DataFrame, keys: list[str], value: str = "weight", name: str = "e") -> DataFrame:
@@ -51,32 +52,42 @@ def pack_documents(counts: DataFrame) -> DataFrame:
     return placed.groupBy("doc_id").agg(F.collect_list("word_id").alias("ids"), F.collect_list("cnt").alias("cnts"))
 
 
-def solve_documents(doc: np.ndarray, n_docs: int, cnt: np.ndarray, beta: np.ndarray, alpha: float, passes: int, tolerance: float):
+def solve_documents(doc: np.ndarray, n_docs: int, cnt: np.ndarray, logs: np.ndarray, alpha: float, passes: int, tolerance: float):
     """Gamma of a batch of documents, and the responsibilities it implies.
 
-    ``doc`` gives the document of each entry, ``beta`` its ``exp(E[ln beta])``.
-    Each document stops on its own when its mean change is small.
+    ``doc`` gives the document of each entry, in order, and ``logs`` its ``E[ln beta]``.
+    Each document stops on its own when its mean change is small; one without entries keeps ``alpha``.
     """
-    k = beta.shape[1]
+    k = logs.shape[1]
+    beta = np.exp(logs - logs.max(axis=1, keepdims=True, initial=-np.inf)) if len(logs) else logs
+    starts = np.flatnonzero(np.diff(doc, prepend=-1))
     length = np.bincount(doc, weights=cnt, minlength=n_docs)
     gamma = np.repeat(alpha + length[:, None] / k, k, axis=1)
     live = np.ones(n_docs, dtype=bool)
     for _ in range(passes):
-        phi = _phi(gamma, doc, beta)
+        phi = _phi(gamma, doc, beta, logs)
         new = np.full_like(gamma, alpha)
-        np.add.at(new, doc, cnt[:, None] * phi)
+        if len(doc):
+            new[doc[starts]] += np.add.reduceat(cnt[:, None] * phi, starts)
         moved = np.abs(new - gamma).mean(axis=1)
         gamma[live] = new[live]
         live &= moved > tolerance
         if not live.any():
             break
-    return gamma, _phi(gamma, doc, beta)
+    return gamma, _phi(gamma, doc, beta, logs)
 
 
-def _phi(gamma: np.ndarray, doc: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    theta = np.exp(digamma_np(gamma) - digamma_np(gamma.sum(axis=1))[:, None])
-    phi = theta[doc] * beta
-    return phi / phi.sum(axis=1)[:, None]
+def _phi(gamma: np.ndarray, doc: np.ndarray, beta: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    theta = digamma_np(gamma) - digamma_np(gamma.sum(axis=1))[:, None]
+    phi = np.exp(theta)[doc] * beta
+    total = phi.sum(axis=1)
+    lost = np.flatnonzero(total < 1e-280)
+    if len(lost):
+        # Products too small for a double: add logs and take the largest out before ``exp``.
+        z = theta[doc[lost]] + logs[lost]
+        phi[lost] = np.exp(z - z.max(axis=1, keepdims=True))
+        total[lost] = phi[lost].sum(axis=1)
+    return phi / total[:, None]
 
 
 def _flatten(pdf: pd.DataFrame, words: np.ndarray):
@@ -90,6 +101,18 @@ def _flatten(pdf: pd.DataFrame, words: np.ndarray):
     return doc[known], at[known], cnt[known]
 
 
+def _batches(batches: Iterator[pd.DataFrame], topics: int) -> Iterator[pd.DataFrame]:
+    """Arrow batches cut to at most ``BATCH_CELLS`` entries times topics, or one document."""
+    for pdf in batches:
+        cells = np.cumsum(pdf["ids"].map(len).to_numpy()) * topics
+        at = 0
+        while at < len(pdf):
+            done = cells[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(cells, done + BATCH_CELLS, "right")))
+            yield pdf.iloc[at:end]
+            at = end
+
+
 class EStep:
     """E-step of many documents against fixed topics."""
 
@@ -98,7 +121,7 @@ class EStep:
         self.sent = sendable(topics, limit)
         if self.sent:
             words, logs = _sent(topics)
-            self.packet = topics.sparkSession.sparkContext.broadcast((words, np.exp(logs), logs))
+            self.packet = topics.sparkSession.sparkContext.broadcast((words, logs))
 
     # Both ways return the same three tables.
 
@@ -123,10 +146,10 @@ class EStep:
         packet, alpha, passes, tolerance = self.packet, self.alpha, self.passes, self.tolerance
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words, beta, _ = packet.value
-            for pdf in batches:
+            words, logs = packet.value
+            for pdf in _batches(batches, logs.shape[1]):
                 doc, at, cnt = _flatten(pdf, words)
-                gamma, _ = solve_documents(doc, len(pdf), cnt, beta[at], alpha, passes, tolerance)
+                gamma, _ = solve_documents(doc, len(pdf), cnt, logs[at], alpha, passes, tolerance)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "g": list(gamma)})
 
         return pack_documents(counts).mapInPandas(run, "doc_id long, g array<double>")
@@ -135,12 +158,16 @@ class EStep:
         packet, alpha, passes, tolerance = self.packet, self.alpha, self.passes, self.tolerance
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words, beta, _ = packet.value
-            total, seen = np.zeros_like(beta), np.zeros(len(words), dtype=bool)
-            for pdf in batches:
+            words, logs = packet.value
+            total, seen = np.zeros_like(logs), np.zeros(len(words), dtype=bool)
+            for pdf in _batches(batches, logs.shape[1]):
                 doc, at, cnt = _flatten(pdf, words)
-                _, phi = solve_documents(doc, len(pdf), cnt, beta[at], alpha, passes, tolerance)
-                np.add.at(total, at, cnt[:, None] * phi)
+                if not len(at):
+                    continue
+                _, phi = solve_documents(doc, len(pdf), cnt, logs[at], alpha, passes, tolerance)
+                order = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.diff(at[order], prepend=-1))
+                total[at[order][first]] += np.add.reduceat((cnt[:, None] * phi)[order], first)
                 seen[at] = True
             # One partial sum per task and word, so the shuffle does not grow with the documents.
             yield pd.DataFrame({"word_id": words[seen], "s": list(total[seen])})
@@ -153,13 +180,13 @@ class EStep:
         packet, alpha, passes, tolerance = self.packet, self.alpha, self.passes, self.tolerance
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words, beta, logs = packet.value
-            for pdf in batches:
+            words, logs = packet.value
+            for pdf in _batches(batches, logs.shape[1]):
                 doc, at, cnt = _flatten(pdf, words)
-                gamma, _ = solve_documents(doc, len(pdf), cnt, beta[at], alpha, passes, tolerance)
+                gamma, _ = solve_documents(doc, len(pdf), cnt, logs[at], alpha, passes, tolerance)
                 theta = digamma_np(gamma) - digamma_np(gamma.sum(axis=1))[:, None]
                 z = theta[doc] + logs[at]
-                top = z.max(axis=1)
+                top = z.max(axis=1, initial=-np.inf)
                 likely = np.bincount(doc, weights=cnt * (top + np.log(np.exp(z - top[:, None]).sum(axis=1))), minlength=len(pdf))
                 k = gamma.shape[1]
                 prior = ((alpha - gamma) * theta + lgamma_np(gamma) - lgamma_np(np.array(alpha))).sum(axis=1)
@@ -172,20 +199,22 @@ class EStep:
 
     def _joined(self, counts: DataFrame) -> DataFrame:
         vectors = log_topics(self.topics)
-        return salted_join(counts, vectors, ["word_id"], "doc_id").select("doc_id", "word_id", "cnt", "lb")
+        return counts.join(vectors, ["word_id"]).select("doc_id", "word_id", "cnt", "lb")
 
     def _gamma_joined(self, counts: DataFrame) -> DataFrame:
         k = self.topics.agg(F.max("topic")).first()[0] + 1
         entries = materialize(self._joined(counts), "topic-entries")
         length = entries.groupBy("doc_id").agg(F.sum("cnt").cast("double").alias("len"))
-        start = F.array_repeat(F.lit(self.alpha) + F.col("len") / k, k)
+        # A document none of whose words is in the topics keeps ``alpha``.
+        length = counts.select("doc_id").distinct().join(length, "doc_id", "left")
+        start = F.array_repeat(F.lit(self.alpha) + F.coalesce("len", F.lit(0.0)) / k, k)
         state = length.select("doc_id", start.alias("g"), F.lit(True).alias("live"))
         for i in range(self.passes):
             phi = self._phi_column(self._with_theta(entries, state))
             sums = [F.sum(F.col("cnt") * F.col("phi")[j]).alias(f"_{j}") for j in range(k)]
             new = phi.groupBy("doc_id").agg(*sums)
-            joined = state.join(new, "doc_id")
-            fresh = F.array(*[F.col(f"_{j}") + F.lit(self.alpha) for j in range(k)])
+            joined = state.join(new, "doc_id", "left")
+            fresh = F.array(*[F.coalesce(f"_{j}", F.lit(0.0)) + F.lit(self.alpha) for j in range(k)])
             moved = F.aggregate(F.zip_with(fresh, "g", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v) / k
             state = joined.select(
                 "doc_id",
@@ -199,11 +228,12 @@ class EStep:
         total = F.aggregate("g", F.lit(0.0), lambda s, v: s + v)
         summed = state.withColumn("_psi", digamma(total))
         theta = summed.select("doc_id", F.transform("g", lambda v: digamma(v) - F.col("_psi")).alias("lt"))
-        return salted_join(entries, theta, ["doc_id"], "word_id")
+        return entries.join(theta, ["doc_id"])
 
     @staticmethod
     def _phi_column(entries: DataFrame) -> DataFrame:
-        z = entries.withColumn("_z", F.transform(F.zip_with("lt", "lb", lambda a, b: a + b), F.exp))
+        z = entries.withColumn("_z", F.zip_with("lt", "lb", lambda a, b: a + b)).withColumn("_top", F.array_max("_z"))
+        z = z.withColumn("_z", F.transform("_z", lambda v: F.exp(v - F.col("_top"))))
         total = z.withColumn("_t", F.aggregate("_z", F.lit(0.0), lambda s, v: s + v))
         return total.withColumn("phi", F.transform("_z", lambda v: v / F.col("_t")))
 
@@ -217,8 +247,9 @@ class EStep:
         alpha = self.alpha
         state = self._gamma_joined(counts)
         entries = self._with_theta(self._joined(counts), state)
-        total = F.aggregate(F.zip_with("lt", "lb", lambda a, b: F.exp(a + b)), F.lit(0.0), lambda s, v: s + v)
-        likely = entries.groupBy("doc_id").agg(F.sum(F.col("cnt") * F.ln(total)).alias("likely"))
+        entries = entries.withColumn("_z", F.zip_with("lt", "lb", lambda a, b: a + b)).withColumn("_top", F.array_max("_z"))
+        total = F.aggregate("_z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("_top")))
+        likely = entries.groupBy("doc_id").agg(F.sum(F.col("cnt") * (F.col("_top") + F.ln(total))).alias("likely"))
 
         @F.pandas_udf("double")
         def prior(g: pd.Series) -> pd.Series:
@@ -230,7 +261,7 @@ class EStep:
             out = ((alpha - gamma) * theta + lgamma_np(gamma) - lgamma_np(np.array(alpha))).sum(axis=1)
             return pd.Series(out + lgamma_np(np.array(alpha * k)) - lgamma_np(gamma.sum(axis=1)))
 
-        return likely.join(state, "doc_id").select("doc_id", (F.col("likely") + prior("g")).alias("bound"))
+        return state.join(likely, "doc_id", "left").select("doc_id", (F.coalesce("likely", F.lit(0.0)) + prior("g")).alias("bound"))
 
 
 def topic_bound(topics: DataFrame, eta: float) -> DataFrame:

@@ -64,6 +64,13 @@ def drop_tail(df: DataFrame, size: int, keys: list[str] | None = None, name: str
     return df.join(full.drop("_n"), [*keys, name], "left_semi")
 
 
-def window_size(rows: int, windows: int, least: int) -> int:
-    """Window length that gives at most ``windows`` windows of at least ``least`` rows."""
-    return max(least, -(-rows // windows))
+def labelled_windows(
+    df: DataFrame, size: int, order: str = "seq", keys: list[str] | None = None, label: str = "label", name: str = "window_id"
+) -> DataFrame:
+    """Count windows of ``size`` labelled rows.
+
+    Only labelled rows fill a window.  A row without a label falls into the window that is open when
+    it arrives, so the windows before its own are complete; the tail may open one more window, which holds no label.
+    """
+    marked = df.withColumn("_labelled", F.col(label).isNotNull())
+    return count_windows(marked, size, order, keys, "_labelled", name=name).drop("_labelled")

@@ -56,9 +56,11 @@ class SvmParams(Params):
 class SgdParams(Params):
     dimension: int = 2
     step: float = 0.1
+    window: int = 1000
     iterations: int = 50
     reg: float = 0.1
     penalty: str = "l2"
+    sentinel: float = -9.0
 
 
 @dataclass(frozen=True)
@@ -86,5 +88,6 @@ class TopicParams(Params):
     tolerance: float = 0.001
     offset: float = 50.0
     decay: float = 0.7
-    documents: int = 1500
+    # Documents of the whole corpus; None: those given to ``fit``.  A stream must state it.
+    documents: int | None = None
     seed: int = 0

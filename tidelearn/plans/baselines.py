@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from tidelearn.functions.noise import uniform
+from tidelearn.operators import topics as tp
+from tidelearn.params import TopicParams
+from tidelearn.plans.topics import TopicModel
 from tidelearn.session import materialize
 
 
@@ -48,17 +50,17 @@ def linear_regression(rows: DataFrame, penalty: float, l1: bool, intercept: bool
     return _weights(rows.sparkSession, model.coefficients, model.intercept)
 
 
-def batch_lda(docs: DataFrame, vocab: list[str], topics: int = 10, passes: int = 5, offset: float = 50.0, seed: int = 0) -> DataFrame:
-    """Online LDA of Spark ML over documents ``(doc_id, words)``: ``(topic, word, weight)``."""
-    counted = CountVectorizerModel.from_vocabulary(vocab, "words", "features").transform(docs)
-    model = LDA(
-        k=topics, maxIter=passes, optimizer="online", learningOffset=offset, subsamplingRate=0.5, seed=seed
-    ).fit(counted)
-    cells = model.describeTopics(len(vocab)).select(
-        "topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("c")
-    )
-    words = F.array(*[F.lit(w) for w in vocab])
-    return cells.select("topic", F.get(words, F.col("c.termIndices")).alias("word"), F.col("c.termWeights").alias("weight"))
+def batch_lda(counts: DataFrame, vocab: DataFrame, topics: int = 10, passes: int = 5, seed: int = 0) -> DataFrame:
+    """Topics of ``(doc_id, word_id, cnt)`` after whole passes: ``(topic, word, weight)``.
+
+    Every pass solves every document against the topics of the pass before and builds the topics anew from all of them.
+    """
+    model = TopicModel(TopicParams(topics=topics, seed=seed))
+    state = materialize(model.start(vocab), "lda-start")
+    for k in range(passes):
+        sstats = model.e_step(state).sstats(counts)
+        state = materialize(tp.blend(state, sstats, 1.0, model.params.eta, 1.0), f"lda-{k}")
+    return state.join(vocab, "word_id").select("topic", "word", "weight")
 
 
 def _refine(part: np.ndarray, cross: np.ndarray, gram: np.ndarray, l1: float, l2: float, steps: int) -> np.ndarray:
@@ -69,13 +71,15 @@ def _refine(part: np.ndarray, cross: np.ndarray, gram: np.ndarray, l1: float, l2
 
 
 def batch_nmf(
-    weights: DataFrame, vocab: list[str], topics: int = 10, passes: int = 10, alpha: float = 0.1, l1_ratio: float = 0.5, seed: int = 1
+    weights: DataFrame, vocab: list[str], topics: int = 10, passes: int = 100, alpha: float = 0.1, l1_ratio: float = 0.5, seed: int = 1,
+    tolerance: float = 1e-3,
 ) -> DataFrame:
     """Non-negative factors of ``(doc_id, word, tfidf)``: ``(topic, word, weight)``.
 
     The word factors (topics x vocabulary, both bounded) travel to the tasks;
     document factors are solved where the documents lie.  A pass sends back one
-    partial sum per task, so nothing grows with the number of documents.
+    partial sum per task, so nothing grows with the number of documents.  Passes end
+    when the squared error falls by less than ``tolerance`` of itself; after ``passes`` without that a warning is given.
     """
     spark = weights.sparkSession
     l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
@@ -88,6 +92,8 @@ def batch_nmf(
     unit = uniform(F.concat_ws("-", F.col("topic").cast("string"), F.col("w").cast("string")), seed, 0)
     start = draws.select("topic", "w", unit.alias("u")).orderBy("topic", "w").collect()
     h = np.array([r["u"] for r in start]).reshape(topics, len(vocab))
+    norm = docs.select(F.sum(F.aggregate("vals", F.lit(0.0), lambda s, v: s + v * v))).first()[0] or 0.0
+    last = None
     for _ in range(passes):
         packet = spark.sparkContext.broadcast(h)
 
@@ -100,9 +106,12 @@ def batch_nmf(
                 ids = np.concatenate(pdf["ids"].to_list())
                 vals = np.concatenate(pdf["vals"].to_list())
                 xh = np.zeros((len(pdf), topics))
-                np.add.at(xh, doc, vals[:, None] * h.T[ids])
+                starts = np.flatnonzero(np.diff(doc, prepend=-1))
+                xh[doc[starts]] = np.add.reduceat(vals[:, None] * h.T[ids], starts)
                 w = _refine(np.full_like(xh, 0.1), xh, gram, l1, l2, 50)
-                np.add.at(cross.T, ids, vals[:, None] * w[doc])
+                order = np.argsort(ids, kind="stable")
+                first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+                cross.T[ids[order][first]] += np.add.reduceat((vals[:, None] * w[doc])[order], first)
                 square += w.T @ w
             out = np.concatenate([cross, square], axis=1)
             yield pd.DataFrame({"topic": range(topics), "v": list(out)})
@@ -111,7 +120,13 @@ def batch_nmf(
         sums = parts.groupBy("topic", "i").agg(F.sum("v").alias("v")).orderBy("topic", "i").collect()
         both = np.array([r["v"] for r in sums]).reshape(topics, len(vocab) + topics)
         cross, square = both[:, : len(vocab)], both[:, len(vocab):]
+        error = norm - 2 * (cross * h).sum() + (square * (h @ h.T)).sum()
+        if last is not None and last - error <= tolerance * last:
+            break
+        last = error
         h = _refine(h.T, cross.T, square, l1, l2, 1).T
         packet.unpersist()
+    else:
+        warnings.warn(f"factors still moved after {passes} passes", stacklevel=2)
     out = [(k, w, float(h[k, i])) for k in range(topics) for i, w in enumerate(vocab)]
     return spark.createDataFrame(out, "topic int, word string, weight double")

@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidelearn.operators.joins import salted_join
 from tidelearn.operators.routing import with_model
 from tidelearn.params import Params
 
@@ -51,6 +50,10 @@ class Stage:
     def predict(self, rows: DataFrame, model: DataFrame | None = None, **override) -> DataFrame:
         raise TypeError(f"{type(self).__name__} cannot predict columns {', '.join(rows.columns)}")
 
+    def no_parameters(self, override: dict) -> None:
+        if override:
+            raise TypeError(f"{type(self).__name__} has no parameter {', '.join(sorted(override))}")
+
     def chain(self, right: "Stage") -> "Chain":
         return Chain([self, right])
 
@@ -58,6 +61,8 @@ class Stage:
 class Chain(Stage):
     """Transformers in order, ending in a transformer or a predictor.
 
+    Call-time parameters are those of the last stage; an unknown name raises a ``TypeError``.
+
     Fitting trains the first stage, transforms the rows with it, and goes on
     with the next stage; the result is one model table per stage.
     """
@@ -71,21 +76,22 @@ class Chain(Stage):
     def fit(self, rows: DataFrame, **override) -> list[DataFrame | None]:
         models: list[DataFrame | None] = []
         for i, stage in enumerate(self.stages):
-            models.append(stage.fit(rows))
+            models.append(stage.fit(rows, **(override if i == len(self.stages) - 1 else {})))
             if i < len(self.stages) - 1:
                 rows = stage.transform(rows, models[-1])
         return models
 
     def transform(self, rows: DataFrame, model=None, **override) -> DataFrame:
-        for stage, m in zip(self.stages, model or [None] * len(self.stages)):
+        models = model or [None] * len(self.stages)
+        for stage, m in zip(self.stages[:-1], models[:-1]):
             rows = stage.transform(rows, m)
-        return rows
+        return self.stages[-1].transform(rows, models[-1], **override)
 
     def predict(self, rows: DataFrame, model=None, **override) -> DataFrame:
         models = model or [None] * len(self.stages)
         for stage, m in zip(self.stages[:-1], models[:-1]):
             rows = stage.transform(rows, m)
-        return self.stages[-1].predict(rows, models[-1])
+        return self.stages[-1].predict(rows, models[-1], **override)
 
 
 class Standardize(Stage):
@@ -95,6 +101,7 @@ class Standardize(Stage):
         self.dimension = dimension
 
     def fit(self, rows: DataFrame, **override) -> DataFrame:
+        self.no_parameters(override)
         need_columns(rows, self, "features")
         x = F.col("features")
         d = range(self.dimension)
@@ -108,10 +115,11 @@ class Standardize(Stage):
         )
 
     def transform(self, rows: DataFrame, model: DataFrame | None = None, **override) -> DataFrame:
+        self.no_parameters(override)
         need_columns(rows, self, "features", "seq")
         if model is None:
             raise TypeError("Standardize must be fitted before it transforms")
-        joined = salted_join(keyed(rows), model, KEY, "seq")
+        joined = keyed(rows).join(model, KEY)
         x, m, s = F.col("features"), F.col("mean"), F.col("scale")
         scaled = [
             F.when(s[i] > 0, (x[i] - m[i]) / F.nullif(s[i], F.lit(0.0))).otherwise(F.lit(0.0))
@@ -143,10 +151,12 @@ class RowFunction(Stage):
         return rows.withColumn(self.output, udf("features"))
 
     def fit(self, rows: DataFrame, **override) -> None:
-        return None
+        self.no_parameters(override)
 
     def transform(self, rows: DataFrame, model=None, **override) -> DataFrame:
+        self.no_parameters(override)
         return self._apply(rows)
 
     def predict(self, rows: DataFrame, model=None, **override) -> DataFrame:
+        self.no_parameters(override)
         return self._apply(rows)

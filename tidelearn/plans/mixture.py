@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidelearn.operators import mixture as mx
-from tidelearn.operators.routing import split_labelled, unlabel
-from tidelearn.operators.windows import count_windows
+from tidelearn.operators.routing import sound, split_labelled, unlabel
+from tidelearn.operators.windows import labelled_windows
 from tidelearn.params import MixtureParams
 from tidelearn.plans.learner import KEY, Stage, keyed, need_columns
 from tidelearn.session import materialize, new_path
@@ -44,7 +44,11 @@ class GrowingMixture(Stage):
 
     def windowed(self, rows: DataFrame) -> DataFrame:
         need_columns(rows, self, "seq", "label", "features")
-        return count_windows(unlabel(keyed(rows), self.params.sentinel), self.params.window, keys=KEY)
+        return labelled_windows(unlabel(sound(keyed(rows), self.params.dimension)[0], self.params.sentinel), self.params.window, keys=KEY)
+
+    def rejects(self, rows: DataFrame) -> DataFrame:
+        """Rows of another width, with nulls or NaN, or without an order key: they neither train nor are scored."""
+        return sound(rows, self.params.dimension)[1]
 
     def fit(self, rows: DataFrame, **override) -> DataFrame:
         """Versions ``(model_id, version, n, comps)``, one per window."""
@@ -56,7 +60,8 @@ class GrowingMixture(Stage):
         if last is None:
             raise ValueError("no rows to fit")
         store = ModelStore(spark, new_path(spark, "mixture-models"))
-        state = materialize(me.start(windows), "mixture-start")
+        # A model starts from its first rows, which are in its first window.
+        state = materialize(me.start(windows.filter("window_id = 0")), "mixture-start")
         for t in range(last + 1):
             store.write(me.advance(windows.filter(F.col("window_id") == t), state), t)
             state = store.read(t)
@@ -69,8 +74,20 @@ class GrowingMixture(Stage):
         return mx.Matcher(state, self.params).predict(rows)
 
     def predict(self, rows: DataFrame, model: DataFrame | None = None, **override) -> DataFrame:
-        """Score unlabelled rows with the newest version of each model."""
+        """Score unlabelled rows of a bounded table with the model of their time.
+
+        A row in window t uses version t-1, or the first later one of more than ``warmup`` rows.  Each
+        version scores its own rows, so one version's components are at hand at a time.  Rows of models that never
+        warm up have a null version and prediction.
+        """
         me = self.with_params(**override)
-        newest = model.groupBy(*KEY).agg(F.max_by("comps", "version").alias("comps"))
-        waiting = split_labelled(unlabel(keyed(rows), me.params.sentinel))[1]
-        return me.score(waiting, newest)
+        waiting = split_labelled(me.windowed(rows))[1]
+        first = me.ready(model).groupBy(*KEY).agg(F.min("version").alias("_first"))
+        at = F.when(F.col("_first").isNotNull(), F.greatest(F.col("window_id") - 1, F.col("_first")))
+        placed = materialize(waiting.join(first, KEY, "left").withColumn("version", at).drop("_first"), "mixture-waiting")
+        out = placed.filter("version is null").withColumn("prediction", F.lit(None).cast("double"))
+        for r in placed.select("version").filter("version is not null").distinct().orderBy("version").toLocalIterator():
+            own = model.filter(F.col("version") == r["version"]).select(*KEY, "comps")
+            scored = me.score(placed.filter(F.col("version") == r["version"]), own)
+            out = out.unionByName(scored.select(*out.columns))
+        return out

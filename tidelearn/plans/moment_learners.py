@@ -7,10 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelearn.functions.vectors import dot
-from tidelearn.operators.joins import salted_join
 from tidelearn.operators.moments import FLAT, cell_names, moments, moments_long, pack, pack_long, prefix_moments, unpack_np
-from tidelearn.operators.routing import split_labelled, unlabel
-from tidelearn.operators.windows import count_windows
+from tidelearn.operators.routing import sound, split_labelled, unlabel
+from tidelearn.operators.windows import labelled_windows
 from tidelearn.params import LassoParams, RidgeParams
 from tidelearn.plans.learner import KEY, Stage, keyed, need_columns
 
@@ -26,10 +25,14 @@ class MomentLearner(Stage):
         raise NotImplementedError
 
     def windowed(self, rows: DataFrame) -> DataFrame:
-        """Rows with null for hidden labels and their count window."""
+        """Sound rows with null for hidden labels and their window of labelled rows; ``rejects`` has the others."""
         need_columns(rows, self, "seq", "label", "features")
         p = self.params
-        return count_windows(unlabel(keyed(rows), p.sentinel), p.window, keys=KEY)
+        return labelled_windows(unlabel(sound(keyed(rows), p.dimension)[0], p.sentinel), p.window, keys=KEY)
+
+    def rejects(self, rows: DataFrame) -> DataFrame:
+        """Rows of another width, with nulls or NaN, or without an order key: they neither train nor are scored."""
+        return sound(rows, self.params.dimension)[1]
 
     def fit(self, rows: DataFrame, **override) -> DataFrame:
         """All model versions ``(model_id, version, n, weights)``; version t includes window t."""
@@ -37,7 +40,7 @@ class MomentLearner(Stage):
         return me.fit_windows(me.windowed(rows))
 
     def fit_windows(self, rows: DataFrame, order: str = "window_id") -> DataFrame:
-        total = prefix_moments(rows, self.params.dimension, KEY, order)
+        total = prefix_moments(rows.filter("label is not null"), self.params.dimension, KEY, order)
         return total.select(
             *KEY, F.col(order).alias("version"), F.col("n").cast("long").alias("n"), self.weights().alias("weights")
         )
@@ -58,7 +61,9 @@ class MomentLearner(Stage):
 
         A row in window t uses version t-1, or the first later version that is
         warm.  The count never falls, so the first warm version is one number
-        per model and the as-of join becomes an equi-join.
+        per model and the as-of join becomes an equi-join.  All rows up to the first warm version share it: they
+        get it with their model's record and do not meet on one version key.  Rows of a
+        model that never warms up have a null version and prediction.
         """
         me = self.with_params(**override)
         return me.predict_windows(me.windowed(rows), model)
@@ -67,17 +72,20 @@ class MomentLearner(Stage):
         d = self.params.dimension
         _, waiting = split_labelled(rows)
         warm = versions.filter(F.col("n") > self.params.warmup)
-        first = warm.groupBy(*KEY).agg(F.min("version").alias("_first"))
-        placed = salted_join(waiting, first, KEY, "seq").withColumn(
-            "version", F.greatest(F.col("window_id") - 1, F.col("_first"))
-        )
-        scored = placed.join(versions.select(*KEY, "version", "weights"), [*KEY, "version"])
+        first = warm.groupBy(*KEY).agg(F.min("version").alias("_first"), F.min_by("weights", "version").alias("_weights"))
+        placed = waiting.join(first, KEY, "left")
+        late = F.col("window_id") - 1 > F.col("_first")
+        early = placed.filter(~F.coalesce(late, F.lit(False))).withColumn("version", F.col("_first")).withColumnRenamed("_weights", "weights")
+        later = placed.filter(late).drop("_weights").withColumn("version", F.col("window_id") - 1)
+        later = later.join(versions.select(*KEY, "version", "weights"), [*KEY, "version"])
+        scored = early.unionByName(later)
         return scored.withColumn("prediction", dot(F.col("features"), F.col("weights"), d)).drop("weights", "_first")
 
     # One micro-batch at a time: the state is the moment sums per model.
 
     def update(self, batch: DataFrame, state: DataFrame | None) -> DataFrame:
         d = self.params.dimension
+        batch = sound(batch, d)[0]
         if d <= FLAT:
             cells = moments(batch, d, KEY)
             if state is not None:
@@ -99,7 +107,7 @@ class MomentLearner(Stage):
 
     def score(self, rows: DataFrame, state: DataFrame) -> DataFrame:
         """Score rows with one given state."""
-        joined = salted_join(rows, state.select(*KEY, "weights"), KEY, "seq")
+        joined = rows.join(state.select(*KEY, "weights"), KEY)
         return joined.withColumn("prediction", dot(F.col("features"), F.col("weights"), self.params.dimension)).drop("weights")
 
 

@@ -7,15 +7,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidelearn.functions.vectors import dot
-from tidelearn.operators.joins import salted_join
 from tidelearn.operators.moments import FLAT, moments, moments_long, pack, pack_long, unpack_np
-from tidelearn.operators.windows import count_windows
+from tidelearn.operators.routing import sound, unlabel
+from tidelearn.operators.windows import labelled_windows
 from tidelearn.params import SgdParams
 from tidelearn.plans.learner import KEY, Stage, keyed, need_columns
-from tidelearn.session import materialize
+from tidelearn.session import materialize, new_path
+from tidelearn.streaming.store import ModelStore
 
-# Windows whose moments one task may step through before the state is written.
-PASS = 4096
+# Moments that one task may hold while it steps through a model's windows, before the state is written.
+HELD_CELLS = 4_000_000
 
 
 def descend(w: np.ndarray, gram: np.ndarray, r: np.ndarray, n: float, p: SgdParams) -> np.ndarray:
@@ -37,9 +38,12 @@ def descend(w: np.ndarray, gram: np.ndarray, r: np.ndarray, n: float, p: SgdPara
 class SgdRegression(Stage):
     """Linear least squares with an L1 threshold or an L2 shrink after each step."""
 
-    def __init__(self, params: SgdParams = SgdParams(), window: int = 1000):
+    def __init__(self, params: SgdParams = SgdParams()):
         self.params = params
-        self.window = window
+
+    def rejects(self, rows: DataFrame) -> DataFrame:
+        """Rows of another width, with nulls or NaN, or without an order key: they neither train nor are scored."""
+        return sound(rows, self.params.dimension)[1]
 
     def window_moments(self, rows: DataFrame, keys: list[str]) -> DataFrame:
         d = self.params.dimension
@@ -48,7 +52,7 @@ class SgdRegression(Stage):
         return pack_long(moments_long(rows, d, keys), d, keys)
 
     def _walk(self, sums: DataFrame, state: DataFrame | None) -> DataFrame:
-        """Step through at most ``PASS`` windows of each model in window order."""
+        """Step through the given windows of each model in order."""
         p = self.params
         start = F.array_repeat(F.lit(0.0), p.dimension)
         if state is None:
@@ -84,23 +88,29 @@ class SgdRegression(Stage):
         """All versions; one distributed job for the moments, then a walk over windows."""
         me = self.with_params(**override)
         need_columns(rows, me, "seq", "label", "features")
-        windows = count_windows(keyed(rows), me.window, keys=KEY, name="version")
+        rows = unlabel(sound(keyed(rows), me.params.dimension)[0], me.params.sentinel)
+        windows = labelled_windows(rows, me.params.window, keys=KEY, name="version").filter("label is not null")
         sums = materialize(me.window_moments(windows, [*KEY, "version"]), "sgd-moments")
         last = sums.agg(F.max("version")).first()[0]
         if last is None:
             raise ValueError("no rows to fit")
-        out, state = None, None
-        for first in range(0, last + 1, PASS):
-            part = me._walk(sums.filter(F.col("version").between(first, first + PASS - 1)), state)
-            if last >= PASS:
-                part = materialize(part, "sgd-models")
-                newest = F.max_by(F.struct("version", "n", "weights"), "version").alias("s")
-                done = part.unionByName(state.select(*part.columns)) if state is not None else part
-                state = materialize(done.groupBy(*KEY).agg(newest).select(*KEY, "s.*"), "sgd-state")
-            out = part if out is None else out.unionByName(part)
-        return out
+        step = max(1, HELD_CELLS // me.params.dimension**2)
+        if last < step:
+            return me._walk(sums, None)
+        # Versions of each pass are written; only the newest of each model goes on to the next.
+        store, state = ModelStore(rows.sparkSession, new_path(rows.sparkSession, "sgd-models")), None
+        for k, first in enumerate(range(0, last + 1, step)):
+            part = me._walk(sums.filter(F.col("version").between(first, first + step - 1)), state)
+            store.write(part.withColumnRenamed("version", "window_id"), k)
+            part = store.read(k).withColumnRenamed("window_id", "at").select(*KEY, "at", "n", "weights")
+            if state is not None:
+                part = part.unionByName(state.select(*KEY, F.lit(-1).cast("long").alias("at"), "n", "weights"))
+            newest = part.groupBy(*KEY).agg(F.max_by(F.struct("n", "weights"), "at").alias("s")).select(*KEY, "s.*")
+            state = materialize(newest, "sgd-state")
+        return store.all().select(*KEY, F.col("window_id").alias("version"), "n", "weights")
 
     def update(self, batch: DataFrame, state: DataFrame | None) -> DataFrame:
+        batch = sound(batch, self.params.dimension)[0]
         sums = self.window_moments(batch, KEY).withColumn("version", F.lit(0).cast("long"))
         moved = self._walk(sums, state).drop("version")
         if state is None:
@@ -112,7 +122,7 @@ class SgdRegression(Stage):
         return state
 
     def score(self, rows: DataFrame, state: DataFrame) -> DataFrame:
-        joined = salted_join(rows, state.select(*KEY, "weights"), KEY, "seq")
+        joined = rows.join(state.select(*KEY, "weights"), KEY)
         return joined.withColumn("prediction", dot(F.col("features"), F.col("weights"), self.params.dimension)).drop(
             "weights"
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,17 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidelearn.functions.vectors import UNROLL
 from tidelearn.operators.hinge import decision, hinge_columns, hinge_sums, sign_of, svm_step
-from tidelearn.operators.joins import salted_join
 from tidelearn.operators.moments import merge_by_count
-from tidelearn.operators.routing import shard_of, split_labelled, unlabel
-from tidelearn.operators.windows import count_windows
+from tidelearn.operators.routing import shard_of, sound, split_labelled, unlabel
+from tidelearn.operators.windows import labelled_windows
 from tidelearn.params import SvmParams
 from tidelearn.plans.learner import KEY, Stage, keyed, need_columns
 from tidelearn.session import materialize, new_path
 from tidelearn.streaming.store import ModelStore
 
-# Numbers of model state that may pass through the driver between two windows.
-HELD = 100_000
+# Files that hold one window's rows, at most.
+WINDOW_FILES = 16
 STATE = [*KEY, "n", "weights", "intercept"]
 
 
@@ -40,7 +39,7 @@ class OnlineSvm(Stage):
         start = start or self._start()
         if state is None:
             return rows.withColumns(start)
-        joined = salted_join(rows, state.select(*STATE), KEY, "seq", "left")
+        joined = rows.join(state.select(*STATE), KEY, "left")
         return joined.withColumns({c: F.coalesce(F.col(c), first) for c, first in start.items()})
 
     def _start(self) -> dict[str, Column]:
@@ -84,6 +83,7 @@ class OnlineSvm(Stage):
 
     def update(self, batch: DataFrame, state: DataFrame | None, columns: dict | None = None) -> DataFrame:
         """The state after one window; models without rows keep theirs."""
+        batch = sound(batch, self.params.dimension)[0]
         moved = self.advance(batch, state, columns)
         if state is None:
             return moved
@@ -92,37 +92,26 @@ class OnlineSvm(Stage):
 
     def windowed(self, rows: DataFrame) -> DataFrame:
         need_columns(rows, self, "seq", "label", "features")
-        return count_windows(unlabel(keyed(rows), self.params.sentinel), self.params.window, keys=KEY)
+        return labelled_windows(unlabel(sound(keyed(rows), self.params.dimension)[0], self.params.sentinel), self.params.window, keys=KEY)
+
+    def rejects(self, rows: DataFrame) -> DataFrame:
+        """Rows of another width, with nulls or NaN, or without an order key: they neither train nor are scored."""
+        return sound(rows, self.params.dimension)[1]
 
     def fit(self, rows: DataFrame, **override) -> DataFrame:
         """All versions ``(model_id, version, n, weights, intercept)``."""
         me = self.with_params(**override)
         spark = rows.sparkSession
-        windows = materialize(me.windowed(rows), "svm-windows", ["window_id"])
-        last, models = windows.agg(F.max("window_id"), F.approx_count_distinct(*KEY)).first()
+        spread = F.pmod(F.xxhash64("seq"), F.lit(WINDOW_FILES))
+        labelled = me.windowed(rows).filter("label is not null").repartition("window_id", spread)
+        windows = materialize(labelled, "svm-windows", ["window_id"])
+        last = windows.agg(F.max("window_id")).first()[0]
         if last is None:
             raise ValueError("no rows to fit")
-        steps = ((t, windows.filter(F.col("window_id") == t)) for t in range(last + 1))
-        small = models * (me.params.dimension + 2) <= HELD
-        return me._walk_held(steps) if small else me._walk_stored(spark, steps)
-
-    def _walk_held(self, steps: Iterable[tuple[int, DataFrame]]) -> DataFrame:
-        """Windows in order; the few model rows pass through the driver between them."""
-        columns, state, held, out = self.columns(), None, {}, []
-        for t, batch in steps:
-            spark = batch.sparkSession
-            new = self.advance(batch, state, columns)
-            held.update({r["model_id"]: tuple(r) for r in new.collect()})
-            out += [(*r, t) for r in held.values()]
-            state = spark.createDataFrame(list(held.values()), new.schema)
-        return spark.createDataFrame(out, new.schema.add("version", "long"))
-
-    def _walk_stored(self, spark: SparkSession, steps: Iterable[tuple[int, DataFrame]]) -> DataFrame:
-        """Windows in order; any number of model rows pass through a version table."""
-        columns, state = self.columns(), None
+        columns, state = me.columns(), None
         store = ModelStore(spark, new_path(spark, "svm-models"))
-        for t, batch in steps:
-            store.write(self.update(batch, state, columns), t)
+        for t in range(last + 1):
+            store.write(me.update(windows.filter(F.col("window_id") == t), state, columns), t)
             state = store.read(t)
         return store.all()
 
@@ -135,13 +124,13 @@ class OnlineSvm(Stage):
         """
         me = self.with_params(**override)
         p, spark = me.params, rows.sparkSession
-        numbered = count_windows(unlabel(keyed(rows), p.sentinel), p.window, keys=KEY)
+        numbered = me.windowed(rows).filter("label is not null")
         last = numbered.groupBy(*KEY).agg((F.max("window_id") + 1).alias("_windows"))
-        sharded = salted_join(numbered, last, KEY, "seq").select(
+        sharded = numbered.join(last, KEY).select(
             *KEY, "seq", "label", "features", shard_of(p.shards).alias("shard"),
             F.expr(f"(window_id * {int(rounds)}) div _windows").alias("round"),
         )
-        table = materialize(split_labelled(sharded)[0], "svm-shards", ["round"])
+        table = materialize(sharded, "svm-shards", ["round"])
         store = ModelStore(spark, new_path(spark, "svm-sharded"))
         state = None
         for r in range(rounds):
@@ -220,12 +209,12 @@ class OnlineSvm(Stage):
 
     def score(self, rows: DataFrame, state: DataFrame) -> DataFrame:
         """+1 where ``w.x + b > 0``, else -1."""
-        joined = salted_join(rows, state.select(*KEY, "weights", "intercept"), KEY, "seq")
+        joined = rows.join(state.select(*KEY, "weights", "intercept"), KEY)
         score = decision(F.col("features"), F.col("weights"), F.col("intercept"), self.params.dimension)
         return joined.withColumn("prediction", sign_of(score)).drop("weights", "intercept")
 
     def predict(self, rows: DataFrame, model: DataFrame | None = None, **override) -> DataFrame:
-        """Score unlabelled rows of a bounded table with the version before their window."""
+        """Score unlabelled rows of a bounded table with the version before their window, those of the first window with the first."""
         me = self.with_params(**override)
         waiting = split_labelled(me.windowed(rows))[1]
         placed = waiting.withColumn("version", F.greatest(F.col("window_id") - 1, F.lit(0)))

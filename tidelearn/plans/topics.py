@@ -34,15 +34,17 @@ class TopicModel(Stage):
         """Weight of window ``t`` (from 0) against the topics learned so far."""
         return (self.params.offset + t + 1) ** (-self.params.decay)
 
-    def update_topics(self, counts: DataFrame, topics: DataFrame, t: int, n_docs: int | None = None) -> DataFrame:
-        """The topics after one window of documents."""
+    def update_topics(
+        self, counts: DataFrame, topics: DataFrame, t: int, n_docs: int | None = None, corpus: int | None = None
+    ) -> DataFrame:
+        """The topics after one window of documents; ``corpus`` is the number of all documents (default: the window's own)."""
         p = self.params
         if n_docs is None:
             n_docs = counts.select("doc_id").distinct().count()
         if n_docs == 0:
             return topics
         sstats = self.e_step(topics).sstats(counts)
-        return tp.blend(topics, sstats, self.rate(t), p.eta, p.documents / n_docs)
+        return tp.blend(topics, sstats, self.rate(t), p.eta, (p.documents or corpus or n_docs) / n_docs)
 
     def fit(self, counts: DataFrame, vocab: DataFrame, window: int, start: DataFrame | None = None, **override) -> DataFrame:
         """Versions ``(version, n, topic, word_id, weight)``, one per window of documents."""
@@ -53,12 +55,13 @@ class TopicModel(Stage):
         docs = count_windows(counts.select("doc_id").distinct(), window, order="doc_id")
         placed = materialize(counts.join(docs, "doc_id"), "topic-windows", ["window_id"])
         sizes = {r[0]: r[1] for r in docs.groupBy("window_id").count().collect()}
+        corpus = sum(sizes.values())
         store = ModelStore(spark, new_path(spark, "topic-models"))
         topics, seen = materialize(start if start is not None else me.start(vocab), "topic-start"), 0
         for t in sorted(sizes):
             batch = placed.filter(F.col("window_id") == t).select("doc_id", "word_id", "cnt")
             seen += sizes[t]
-            new = me.update_topics(batch, topics, t, sizes[t])
+            new = me.update_topics(batch, topics, t, sizes[t], corpus)
             store.write(new.withColumn("n", F.lit(seen).cast("long")), t)
             topics = store.read(t).select("topic", "word_id", "weight")
         return store.all()

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelearn.operators.routing import split_labelled, unlabel
+from tidelearn.operators.routing import sound, split_labelled, unlabel
 from tidelearn.plans.learner import KEY, keyed, need_columns
 from tidelearn.streaming.store import ModelStore
 
@@ -25,6 +25,7 @@ class StreamRun:
         self.spark, self.learner, self.path = spark, learner, path.rstrip("/")
         self.models = ModelStore(spark, f"{self.path}/models")
         self.scored = ModelStore(spark, f"{self.path}/predictions", "batch_id")
+        self.rejected = ModelStore(spark, f"{self.path}/rejects", "batch_id")
         self.pending = ModelStore(spark, f"{self.path}/pending", "batch_id")
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
@@ -32,6 +33,9 @@ class StreamRun:
         need_columns(batch, self.learner, "seq", "label", "features")
         sentinel = getattr(self.learner.params, "sentinel", None)
         rows = keyed(batch).select(*ROW)
+        if hasattr(self.learner, "rejects"):
+            rows, rejected = sound(rows, self.learner.params.dimension)
+            self.rejected.write(rejected, batch_id)
         if sentinel is not None:
             rows = unlabel(rows, sentinel)
         # Read three times below; lost blocks are recomputed from the source.
