@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidelearn.llm import words
+from tidelearn.llm import near_join, words
 from tidelearn.llm.components import components
 from tidelearn.llm.near_join import jaccard_groups, keep_one
 
@@ -99,6 +99,41 @@ def test_hot_groups(make):
     assert len(out) == 600 and {r.component_id for r in out} == {0}
 
 
+def test_small_parts_and_copies(make, monkeypatch):
+    """Groups dealt out in many parts, parts copied for their queries: the same links."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts = [[rng.choice(vocabulary) for _ in range(90)]]
+    for _ in range(150):
+        w = list(rng.choice(texts))
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(90)] = rng.choice(vocabulary)
+        texts.append(w)
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)] + list(enumerate(corpus(7, 60), 1000))
+    want = brute(rows)
+    assert 1 < len({c for _, d, _, c in want if d < 1000}) < 150
+    assert got(jaccard_groups(make(rows))) == want
+    monkeypatch.setattr(near_join, "PART_TOKENS", 400)
+    monkeypatch.setattr(near_join, "QUERIES_EACH", 3)
+    assert got(jaccard_groups(make(rows))) == want
+    monkeypatch.setattr(near_join, "ALIKE", 95)
+    assert got(jaccard_groups(make(rows))) == want
+
+
+def test_prefixes_of_linked_sets_meet():
+    """Whatever the order, two sets at the threshold share a prefix token."""
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = words.distinct(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        drop = int(rng.integers(0, len(a)))
+        b = words.distinct(np.concatenate((a[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, 12)), dtype=np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if both and 100 * both >= 80 * (len(a) + len(b) - both):
+            frequent = rng.random(near_join.BUCKETS) < 0.4
+            assert np.intersect1d(near_join._prefix(a, frequent, 80), near_join._prefix(b, frequent, 80)).size
+
+
 def test_keep_one(make):
     same = "one two three four five six seven eight nine ten"
     rows = [(5, same), (7, same.upper()), (7, "other words"), (None, same), (8, ""), (9, None), (11, "alone"), (11, "alone")]
