@@ -43,7 +43,9 @@ BUCKETS, SLICES = 1 << 23, 16
 #: Bits of a map of ids (4 MB).
 BITS = 1 << 25
 #: Tokens of a part of a group, about, and queries that one copy of a part answers, about.
-PART_TOKENS, QUERIES_EACH = 32_768, 20_000
+PART_TOKENS, QUERIES_EACH = 32_768, 2_000
+#: Bytes of text that a task has as sets at a time, about.
+RUN = 1 << 20
 
 
 def _flat(sets: list[np.ndarray]) -> pa.ListArray:
@@ -56,7 +58,7 @@ def _flat(sets: list[np.ndarray]) -> pa.ListArray:
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """(ids, sets) for runs of (id, text) rows."""
     for batch in batches:
-        for first, data, bounds in words.chunks(batch.column(1)):
+        for first, data, bounds in words.chunks(batch.column(1), RUN):
             yield batch.column(0).slice(first, len(bounds) - 1), list(words.shingle_sets(data, bounds, width))
 
 
@@ -137,40 +139,15 @@ def signatures(docs: DataFrame, frequent, width: int = WIDTH, percent: int = PER
     return docs.mapInArrow(sign, f"id long, n long, a long, b long, rare long, {', '.join(f'{k} long' for k in names)}, prefix array<long>")
 
 
-def token_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, tokens) with the whole sorted sets."""
+def token_sets(width: int):
+    """A column function: the sorted set of a text column."""
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _runs(batches, width):
-            yield pa.RecordBatch.from_arrays([ids, _flat(sets)], ["id", "tokens"])
-
-    return docs.mapInArrow(sets_of, "id long, tokens array<long>")
-
-
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sets, sorted as unsigned numbers."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets have a similarity of ``percent`` or more."""
+    @arrow_udf("array<bigint>")
+    def tokens(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in text:
+            yield _flat([t for _, data, bounds in words.chunks(column, RUN) for t in words.shingle_sets(data, bounds, width)])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
-                both = _overlap(x, y)
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return tokens
 
 
 class Part:
@@ -282,10 +259,26 @@ def _marked(rows: DataFrame, ids: DataFrame, of: str = "id", bits: int = BITS) -
     return rows.withColumn("marked" if of == "id" else f"{of}_marked", marked(F.pmod(F.xxhash64(of), F.lit(bits))))
 
 
-def _sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Whole sets of the wanted ids.  Most other rows are dropped by the bitmap before their texts are shuffled."""
-    likely = _marked(rows, wanted).where("marked").drop("marked")
-    return token_sets(likely.join(wanted, "id", "left_semi"), width)
+def _with_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``wanted`` (one row per id) with the whole sets.  Most other rows are dropped by the bitmap before their texts are shuffled."""
+    likely = _marked(rows, wanted.select("id")).where("marked").drop("marked")
+    return likely.join(wanted, "id").withColumn("tokens", token_sets(width)("text")).drop("text")
+
+
+def _copies(asked: DataFrame, texts) -> DataFrame:
+    """(part, copies): a part that many texts ask is copied, so that its queries spread over tasks."""
+    return materialize(asked.groupBy("part").agg(F.expr(f"cast({texts} div {QUERIES_EACH} + 1 as int)").alias("copies")), "join-copies")
+
+
+def _alike(rows: DataFrame, near: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``near`` whose sets have a similarity of ``percent`` or more: each b is a part that its a ask."""
+    copies = _copies(near.select(F.col("b").alias("part")), "count(1)")
+    asks = near.join(copies, F.col("b") == F.col("part")).select(F.col("a").alias("id"), "part", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("asks"))
+    own = copies.select(F.col("part").alias("id"), "part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("asks"))
+    # A text asks one part per key at most.
+    wanted = asks.union(own).groupBy("id").agg(F.collect_list(F.struct("part", "copy", "asks")).alias("to"))
+    sets = _with_sets(rows, wanted, width).select(F.explode("to").alias("to"), "id", "tokens")
+    return materialize(_answered(sets.select("to.part", "to.copy", "to.asks", "id", "tokens"), percent), "join-alike")
 
 
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -314,9 +307,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .where(f"a <> b and 100 * least(n, m) >= {ALIKE} * greatest(n, m)").select("a", "b").distinct()
     )
     near = materialize(near, "join-near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    alike = _alike(near, materialize(_sets_of(rows, wanted, width), "join-sets"), ALIKE)
-    groups = components(alike).join(classes.select(F.col("rep").alias("node"), "n"), "node")
+    groups = components(_alike(rows, near, width, ALIKE)).join(classes.select(F.col("rep").alias("node"), "n"), "node")
     sizes = groups.groupBy("component").agg(F.sum("n").alias("tokens"))
     # A part is named by its smallest member.
     deal = F.pmod(F.xxhash64("node"), F.expr(f"tokens div {PART_TOKENS} + 1"))
@@ -372,11 +363,8 @@ def _links(rows: DataFrame, meet: DataFrame, parts: DataFrame, classes: DataFram
     several = members.where("several").select("part")
     used = pairs.select(F.col("asking").alias("part")).union(pairs.select("part")).union(several).distinct()
     members = members.join(used, "part", "left_semi").select("part", "id")
-    sets = materialize(_sets_of(rows, members.select("id"), width).join(members, "id"), "join-open")
-    # A part that many texts ask is copied, so that its queries spread over tasks.
-    texts = sizes.select(F.col("part").alias("asking"), "texts")
-    copies = pairs.join(texts, "asking").groupBy("part").agg(F.expr(f"cast(sum(texts) div {QUERIES_EACH} + 1 as int)").alias("copies"))
-    copies = materialize(copies, "join-copies")
+    sets = materialize(_with_sets(rows, members.select("id", "part"), width), "join-open")
+    copies = _copies(pairs.join(sizes.select(F.col("part").alias("asking"), "texts"), "asking"), "sum(texts)")
     last = F.coalesce("copies", F.lit(1)) - 1
     texts_of = sets.join(copies, "part", "left").select("part", F.explode(F.sequence(F.lit(0), last)).alias("copy"), F.lit(0).alias("asks"), "id", "tokens")
     queries = pairs.join(sets.withColumnRenamed("part", "asking"), "asking").join(copies, "part")
