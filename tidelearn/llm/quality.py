@@ -191,7 +191,8 @@ def training_rows(labels: DataFrame, label: str = "quality", doc_id: str = "doc_
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether a row is never learnt from: one fifth of all ids.  A null id is not held out, nor learnt from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Trees:

@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidelearn.llm.registry import register, table
 from tidelearn.session import materialize, new_path
 
-#: Records in one archive, at most.
-RECORDS = 2000
+#: Records in one archive and their bytes, at most; a longer record makes an archive of its own.
+RECORDS, ARCHIVE_BYTES = 2000, 64 << 20
 #: Records with equal payloads of at least so many bytes are revisits of one of them.
 LEAST_BYTES = 0
 RECORD_END = "\r\n\r\n"
@@ -44,17 +44,20 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*letters)
 
 
-def with_revisits(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+def with_revisits(records: DataFrame, least: int = LEAST_BYTES) -> tuple[DataFrame, int]:
     """``records`` (id, url, payload) with bytes, digest and refers_to: the id of the response that a revisit stands for.
+    Also the bytes of the longest payload.
 
     Only ids and digests are shuffled.  Those that revisit are a table of their own, so payloads move only if it is large.
     """
     told = records.withColumn("bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", base32_sha1(F.col("payload")))
-    keys = materialize(told.where(F.col("bytes") >= least).select("id", "digest", "bytes"), "warc-digests")
+    every = materialize(told.select("id", "digest", "bytes"), "warc-digests")
+    longest = every.agg(F.max("bytes")).first()[0] or 0
+    keys = every.where(F.col("bytes") >= least)
     first = keys.groupBy("digest", "bytes").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1")
     revisits = keys.join(first, ["digest", "bytes"]).where("id < response").select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), F.col("response").alias("refers_to"))
     revisits = materialize(revisits.distinct(), "warc-revisits")
-    return told.join(revisits, (F.col("id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left").drop("rid", "rdigest")
+    return told.join(revisits, (F.col("id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left").drop("rid", "rdigest"), longest
 
 
 def record_text(date: str) -> Column:
@@ -82,15 +85,16 @@ def write_archives(
     pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_BYTES,
     date: str = "2024-01-01T00:00:00Z", compression: str = "none",
 ) -> None:
-    """Write a WARC record per row to archives of at most ``RECORDS`` records under ``path``.
+    """Write a WARC record per row under ``path``, to archives of at most ``RECORDS`` records and about ``ARCHIVE_BYTES``.
 
     A null payload is written as an empty one, a null url as an empty one, a null id as an empty name.
     Of repeated rows with the largest id all are responses; rows with a null id are always responses.
     An empty table makes archives without records.  Other columns are not read.
     """
     records = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("payload"))
-    out = with_revisits(records, least).select(record_text(date))
-    out.write.option("lineSep", RECORD_END).option("compression", compression).option("maxRecordsPerFile", RECORDS).text(path)
+    told, longest = with_revisits(records, least)
+    each = max(1, min(RECORDS, ARCHIVE_BYTES // (longest + 1024)))
+    told.select(record_text(date)).write.option("lineSep", RECORD_END).option("compression", compression).option("maxRecordsPerFile", each).text(path)
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
