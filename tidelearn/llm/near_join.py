@@ -21,6 +21,7 @@ held against each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,8 @@ BUCKETS, SLICES = 1 << 23, 16
 BITS = 1 << 25
 #: Tokens of a part of a group, about, and queries that one copy of a part answers, about.
 PART_TOKENS, QUERIES_EACH = 32_768, 2_000
-#: Bytes of text that a task has as sets at a time, about.
-RUN = 1 << 20
+#: Bytes of text that a task has as sets at a time, about, and rows that it is sent at a time.
+RUN, ROWS = 1 << 20, 1000
 
 
 def _flat(sets: list[np.ndarray]) -> pa.ListArray:
@@ -60,6 +61,19 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Ar
     for batch in batches:
         for first, data, bounds in words.chunks(batch.column(1), RUN):
             yield batch.column(0).slice(first, len(bounds) - 1), list(words.shingle_sets(data, bounds, width))
+    pa.default_memory_pool().release_unused()
+
+
+@contextmanager
+def _few_rows(spark: SparkSession):
+    """Batches of ``ROWS`` rows for the jobs that run meanwhile: rows hold texts and sets, several tasks share an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(ROWS, int(before)) if int(before) > 0 else ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -289,6 +303,12 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     their component is their own id.  Repeated rows are copies; texts that share an id count as one document
     where it stands for them.  A row without an id has a null component.  An empty table gives no rows.  Other columns are not read.
     """
+    # All jobs with Python run inside; what is returned joins written tables.
+    with _few_rows(docs.sparkSession):
+        return _jaccard_groups(docs, doc_id, text, width, percent)
+
+
+def _jaccard_groups(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_buckets(rows, width))

@@ -14,7 +14,7 @@ import pyarrow as pa
 #: Bytes of text worked on at a time; a longer text makes a run of its own.
 CHUNK = 4 << 20
 #: Bytes hashed at a time within a run.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _RANDOM = np.random.default_rng(20240229)
 _ODD = (_RANDOM.integers(0, 1 << 63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
