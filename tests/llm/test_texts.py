@@ -126,6 +126,35 @@ def test_clean_documents_stay(spark):
     assert out.where("quality = 1 and not rules.base_failed and not rules.kept").count() == 0
 
 
+def test_noise_and_templates_are_rejected(make):
+    """Base64, random words and templated text of every length go; other scripts and prose stay."""
+    import base64
+    import random
+
+    rng = random.Random(8)
+
+    def words_of(letters, n, size=8):
+        return " ".join("".join(rng.choice(letters) for _ in range(size)) for _ in range(n // (size + 1) + 1))[:n]
+
+    printable, alnum = "".join(map(chr, range(33, 127))), "".join(map(chr, (*range(48, 58), *range(65, 91), *range(97, 123))))
+    bad, good = [], []
+    for n in (300, 600, 1000, 1500, 3000, 5000, 20_000, 100_000):
+        code = base64.b64encode(rng.randbytes(n)).decode()
+        bad += [words_of(printable, n), words_of(alnum, n), "\n".join(code[k : k + 20] for k in range(0, n, 20))]
+    bad += [words_of(alnum[36:], n) for n in (20_000, 100_000)]
+    for n in (1500, 5000, 20_000, 100_000):
+        bad.append(" ".join(f"Product {rng.randrange(10**6)} is in stock today and costs {rng.randrange(1000)} dollars, order number {rng.randrange(10**6)} now." for _ in range(n // 80)))
+    # Words by Zipf's law, in Latin and in Hangul letters.
+    for letters in ("etaoinshrdlucmwfgypbvkxjqz", [chr(0xAC00 + k) for k in rng.sample(range(11_000), 2000)]):
+        weights = [1 / (k + 2) for k in range(len(letters))]
+        own = ["".join(rng.choices(letters, weights, k=rng.choice((2, 2, 3) if len(letters) > 99 else (2, 3, 4, 5, 7, 9)))) for _ in range(20_000)]
+        often = [1 / (k + 3) for k in range(len(own))]
+        good += [" ".join(rng.choices(own, often, k=n)) for n in (60, 130, 400, 1500, 6000, 30_000)]
+    docs = make([(k, t) for k, t in enumerate(bad + good)])
+    kept = {r.doc_id for r in rules.apply_rules(docs).where("rules.kept").select("doc_id").collect()}
+    assert kept == set(range(len(bad), len(bad) + len(good)))
+
+
 # Tokens
 
 

@@ -35,26 +35,36 @@ class Bands:
 
     ``whole`` has (bytes from, least, most); a text under the first length is not judged.  Full chunks
     of ``chunk`` bytes have the limits ``of_chunk``; a text fails if more than ``most_bad`` of its
-    full chunks are outside them.
+    full chunks are outside them.  The upper limits hold for ASCII and lie above the ratios of clean texts
+    and below base64 and random letters of that length; scripts of several bytes a
+    letter compress worse, so ``scripts`` times the share of bytes beyond ASCII is added.
     """
 
-    whole: tuple[tuple[int, float, float], ...] = ((128, 0.30, 2.0), (256, 0.33, 1.1), (512, 0.33, 0.90), (1024, 0.25, 0.85), (4096, 0.18, 0.80), (32768, 0.12, 0.80))
+    whole: tuple[tuple[int, float, float], ...] = (
+        (128, 0.30, 0.99), (192, 0.30, 0.92), (256, 0.33, 0.86), (384, 0.33, 0.81), (512, 0.33, 0.77), (768, 0.33, 0.73),
+        (1024, 0.25, 0.69), (2048, 0.25, 0.64), (4096, 0.18, 0.59), (16384, 0.18, 0.56), (32768, 0.18, 0.55),
+    )
     chunk: int = 4096
-    of_chunk: tuple[float, float] = (0.20, 0.85)
+    of_chunk: tuple[float, float] = (0.20, 0.59)
     most_bad: float = 0.3
     level: int = 3
+    scripts: float = 0.12
+
+    def ratio(self, text: memoryview, zstd: zstandard.ZstdCompressor, low: float, high: float) -> tuple[float, bool]:
+        """The ratio and whether it is inside the limits."""
+        ratio = len(zstd.compress(text)) / len(text)
+        return ratio, low <= ratio <= high + self.scripts * np.count_nonzero(np.frombuffer(text, np.uint8) >= 128) / len(text)
 
     def verdict(self, text: memoryview, zstd: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
         """Whole ratio, share of bad chunks, and whether the text is inside its bands."""
         n = len(text)
         if not n:
             return 0.0, 0.0, True
-        ratio = len(zstd.compress(text)) / n
-        band = [b for b in self.whole if b[0] <= n][-1:]
+        ratio, fine = self.ratio(text, zstd, *([b[1:] for b in self.whole if b[0] <= n] or [(0.0, np.inf)])[-1])
         full = n // self.chunk
-        bad = sum(not self.of_chunk[0] <= len(zstd.compress(text[k * self.chunk : (k + 1) * self.chunk])) / self.chunk <= self.of_chunk[1] for k in range(full))
+        bad = sum(not self.ratio(text[k * self.chunk : (k + 1) * self.chunk], zstd, *self.of_chunk)[1] for k in range(full))
         share = bad / full if full else 0.0
-        return ratio, share, share <= self.most_bad and all(low <= ratio <= high for _, low, high in band)
+        return ratio, share, fine and share <= self.most_bad
 
 
 def covered(h: np.ndarray, width: int) -> int:
