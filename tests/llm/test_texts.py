@@ -155,6 +155,30 @@ def test_noise_and_templates_are_rejected(make):
     assert kept == set(range(len(bad), len(bad) + len(good)))
 
 
+def test_stretches_show(make):
+    """A bad stretch of two chunks shows wherever it stands and however long the text is, and so does one at the end."""
+    import random
+
+    rng = random.Random(9)
+    own = ["".join(rng.choices("etaoinshrdlucmwfgypbvk", range(22, 0, -1), k=rng.choice((2, 3, 4, 5, 7, 9)))) for _ in range(20_000)]
+    often = [1 / (k + 3) for k in range(len(own))]
+
+    def prose(n):
+        return " ".join(rng.choices(own, often, k=n // 4))[:n]
+
+    def noise(n):
+        return " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(8)) for _ in range(n // 9 + 1))[:n]
+
+    good = [prose(n) for n in (4096, 4097, 6143, 8191, 8200, 100_000, 1_000_000)] + [prose(20_000) + noise(500) + prose(20_000)]
+    bad = [prose(4200) + " " + noise(4000), noise(4000) + " " + prose(4200), prose(4200) + " " + "again and again " * 250]
+    for at in (0, 1000, 2047, 2049, 4095, 30_000, 91_809):
+        bad += [prose(at) + " " + stretch + " " + prose(100_000 - at) for stretch in (noise(8192), "again and again " * 512)]
+    bad += [prose(500_000) + noise(8192) + prose(500_000), prose(350_000) + noise(290_000) + prose(360_000)]
+    docs = make([(k, t) for k, t in enumerate(good + bad)])
+    got = {r.doc_id for r in rules.apply_rules(docs).where("rules.in_bands").select("doc_id").collect()}
+    assert got == set(range(len(good)))
+
+
 # Tokens
 
 

@@ -2,8 +2,8 @@
 
 Repetitive text compresses far better than prose, noise far worse.  Each whole text is
 compressed with zstandard and its ratio held against the band of its length (short
-texts compress badly whatever they say); then each fixed chunk is, so that a long
-repetitive or random stretch shows in an otherwise ordinary text.
+texts compress badly whatever they say); then overlapping chunks of fixed size are, to the
+last byte, so that a long repetitive or random stretch shows in an otherwise ordinary text.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ INNER[128:192] = True
 class Bands:
     """Limits of the ratio compressed / raw.
 
-    ``whole`` has (bytes from, least, most); a text under the first length is not judged.  Full chunks
-    of ``chunk`` bytes have the limits ``of_chunk``; a text fails if more than ``most_bad`` of its
-    full chunks are outside them.  The upper limits hold for ASCII and lie above the ratios of clean texts
+    ``whole`` has (bytes from, least, most); a text under the first length is not judged.  Chunks
+    of ``chunk`` bytes, one from every half chunk on and one that ends with the text, have the limits ``of_chunk``; a text fails if more than ``most_bad`` of
+    its chunks are outside them or bad chunks cover ``bad_run`` bytes on end, as they do in any bad stretch of two chunks' length.  The upper limits hold for ASCII and lie above the ratios of clean texts
     and below base64 and random letters of that length; scripts of several bytes a
     letter compress worse, so ``scripts`` times the share of bytes beyond ASCII is added.
     """
@@ -47,6 +47,7 @@ class Bands:
     chunk: int = 4096
     of_chunk: tuple[float, float] = (0.20, 0.59)
     most_bad: float = 0.3
+    bad_run: int = 6144
     level: int = 3
     scripts: float = 0.12
 
@@ -61,10 +62,20 @@ class Bands:
         if not n:
             return 0.0, 0.0, True
         ratio, fine = self.ratio(text, zstd, *([b[1:] for b in self.whole if b[0] <= n] or [(0.0, np.inf)])[-1])
-        full = n // self.chunk
-        bad = sum(not self.ratio(text[k * self.chunk : (k + 1) * self.chunk], zstd, *self.of_chunk)[1] for k in range(full))
-        share = bad / full if full else 0.0
-        return ratio, share, fine and share <= self.most_bad
+        starts = list(range(0, n - self.chunk + 1, self.chunk // 2))
+        if starts and starts[-1] + self.chunk < n:
+            starts.append(n - self.chunk)
+        bad = run = 0
+        since = -1
+        for start in starts:
+            if self.ratio(text[start : start + self.chunk], zstd, *self.of_chunk)[1]:
+                since = -1
+                continue
+            bad += 1
+            since = start if since < 0 else since
+            run = max(run, start + self.chunk - since)
+        share = bad / len(starts) if starts else 0.0
+        return ratio, share, fine and share <= self.most_bad and run < self.bad_run
 
 
 def covered(h: np.ndarray, width: int) -> int:
