@@ -106,6 +106,26 @@ def test_decontamination_edges(spark, make, planted):
     assert found(spark, make(rows), [(1, None)]) == set()
 
 
+def test_long_items(spark, make):
+    """Items longer than the largest window are found whole, edited and quoted in part, and nowhere else."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 8))) for _ in range(5000)]
+    often = [1 / (k + 3) for k in range(len(vocabulary))]
+
+    def prose(n):
+        return rng.choices(vocabulary, often, k=n)
+
+    items = [(k, prose(n)) for k, n in enumerate((500, 513, 903, 1000, 1280, 1281, 2000, 5000))]
+    docs, want = [], set()
+    for k, own in items:
+        edited = [x if rng.random() > 0.1 else rng.choice(vocabulary) for x in own]
+        paraphrase = [x if rng.random() > 0.3 else rng.choice(vocabulary) for x in own[:-5]] + own[-5:]
+        for way, text in enumerate((own, edited, paraphrase, own[: len(own) // 2], prose(len(own)))):
+            docs.append((10 * k + way, " ".join(prose(rng.randint(0, 700)) + text + prose(rng.randint(0, 700)))))
+            want |= {(10 * k + way, k)} if way < 3 else set()
+    assert found(spark, make(docs), [(k, " ".join(own)) for k, own in items]) == want
+
+
 def test_common_subsequence():
     rng = random.Random(3)
     for _ in range(200):
