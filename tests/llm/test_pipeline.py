@@ -126,6 +126,47 @@ def test_long_items(spark, make):
     assert found(spark, make(docs), [(k, " ".join(own)) for k, own in items]) == want
 
 
+@pytest.fixture(scope="module")
+def edited():
+    """More passages than the latent space is fitted on, items of 6 to 14 words and copies with 30 to 40% other words."""
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 8))) for _ in range(20_000)]
+    total = np.cumsum([1 / (k + 3) for k in range(len(vocabulary))]).tolist()
+
+    def prose(n):
+        return rng.choices(vocabulary, cum_weights=total, k=n)
+
+    items = [(k, prose(6 + k % 9)) for k in range(90)]
+    docs, exact = [], set()
+    for d in range(360):
+        i = d % 90
+        own, share = items[i][1], (0, 0.3, 0.35, 0.4)[d // 90]
+        if share:
+            gone = set(rng.sample(range(len(own)), int(share * len(own))))
+            own = [rng.choice(vocabulary) if j in gone else x for j, x in enumerate(own)]
+        else:
+            exact.add((d, i))
+        w = prose(rng.randint(30, 120))
+        at = rng.randrange(len(w))
+        docs.append((d, " ".join(w[:at] + own + w[at:])))
+    rest = [(1000 + d, " ".join(prose(3200))) for d in range(340)]
+    return docs, rest, [(k, " ".join(x)) for k, x in items], exact
+
+
+def test_edited_short_items(spark, make, edited):
+    docs, rest, items, exact = edited
+    assert sum(-(-len(t.split()) // dc.PASSAGE) for _, t in docs + rest) > dc.SAMPLE
+    want = brute(docs, items)
+    assert exact <= want and len(want) > 200
+    assert want <= found(spark, make(docs + rest), items)
+
+
+def test_items_of_few_words(spark, make):
+    docs = [(1, "Here: one two, THREE four five six."), (2, "one two four three five"), (3, "one two"), (4, "three four"), (5, "zero one two three"), (5, "four five six one two three")]
+    items = [(3, "one two three"), (4, "two three four five"), (5, "One two-three, four five!"), (6, "six seven eight"), (7, "one two three"), (8, "three four")]
+    assert found(spark, make(docs), items) == {(1, 3), (1, 4), (1, 5), (1, 7), (5, 3), (5, 7)}
+
+
 def test_common_subsequence():
     rng = random.Random(3)
     for _ in range(200):
