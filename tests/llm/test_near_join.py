@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelearn.llm import near_join, words
 from tidelearn.llm.components import components
-from tidelearn.llm.near_join import jaccard_groups, keep_one
+from tidelearn.llm.near_join import jaccard_groups, keep_one, keep_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -144,6 +144,24 @@ def test_keep_one(make):
     assert keep_one(docs.where("false")).count() == 0
 
 
+def test_keep_texts(make):
+    """One row of every group of texts stays, also where texts share ids."""
+    a, b, c = ("one two three four five six seven eight nine ten", "red green blue black white grey pink brown cyan lime", "alpha beta gamma delta epsilon zeta eta theta iota kappa")
+    for rows in (
+        [(5, a), (7, a), (5, b), (3, b)],
+        [(5, a), (3, a.upper()), (5, c), (5, c), (8, b)],
+        [(1, a), (1, b), (1, c), (1, a)],
+        [(1, a), (2, b), (2, b.title()), (3, c)],
+    ):
+        docs = make(rows)
+        kept = keep_texts(docs)
+        assert kept.columns == docs.columns
+        assert sorted(r.text.lower() for r in kept.collect()) == sorted({t for _, t in rows if t.islower()})
+    edges = make([(None, a), (None, a), (8, ""), (9, None), (8, None), (4, c), (4, c)])
+    assert sorted((r.doc_id or 0, r.text or "") for r in keep_texts(edges).collect()) == [(0, a), (0, a), (4, c), (8, ""), (8, ""), (9, "")]
+    assert keep_texts(edges.where("false")).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5), (None, 3), (3, None)]

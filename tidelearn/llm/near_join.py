@@ -415,6 +415,27 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return clear.union(one.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
 
 
+def keep_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of similar texts, whatever ids they have.
+
+    Of several texts under one id the one with the least hash is judged by the id, the others by numbers of their
+    own behind it: each stays unless a text like it does.  Copies of a row are one; rows without an id all stay.
+    """
+    rows = docs.withColumns({"__key": F.col(doc_id).cast("bigint"), "__hash": F.xxhash64(text)})
+    texts = rows.where("__key is not null").groupBy(F.col("__key").alias("id")).agg(F.min("__hash").alias("__least"), F.max("__hash").alias("__most"))
+    several = materialize(texts.where("__least <> __most").select("id", "__least"), "join-several")
+    if several.isEmpty():
+        return keep_one(docs, doc_id, text)
+    marked = _marked(rows, several.select("id"), "__key")
+    clear = marked.where("__key is null or not __key_marked").select(*docs.columns, "__key")
+    least = several.select(F.col("id").alias("__of"), "__least")
+    looked_up = marked.where("__key is not null and __key_marked").join(least, F.col("__key") == F.col("__of"), "left")
+    own = F.xxhash64("__key", "__hash").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    key = F.when(F.col("__hash") > F.col("__least"), own).otherwise(F.col("__key"))
+    keyed = materialize(clear.union(looked_up.select(*docs.columns, key.alias("__key"))), "join-keyed")
+    return keep_one(keyed, "__key", text).select(*docs.columns)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return keep_one(docs)
+    return keep_texts(docs)
