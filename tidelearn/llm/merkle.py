@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tidelearn.llm.order import in_order
 from tidelearn.llm.registry import register, table
 from tidelearn.session import materialize
 
@@ -80,13 +81,6 @@ def _above(rows: DataFrame, level: int, fan: int) -> DataFrame:
     return _linked(groups.withColumn("digest", F.sha2("children", 256)), level, fan).select(*NODE)
 
 
-def _in_order(rows: DataFrame, by: list[str], label: str) -> DataFrame:
-    """Rows in ranges sorted by ``by`` (nulls first), written with their range and place in it."""
-    order = [F.col(c).asc_nulls_first() for c in by]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    return materialize(placed.withColumn("part", F.expr("shiftright(at, 33)")), label)
-
-
 def build(leaves: DataFrame, fan: int = FAN) -> Manifest:
     """Builds all levels over ``leaves`` (lang, doc_id, leaf, found).
 
@@ -94,7 +88,7 @@ def build(leaves: DataFrame, fan: int = FAN) -> Manifest:
     repeated ids and rows have one order.  ``found`` is the digest a leaf has now where it was changed,
     else null; it decides nothing here.  An empty table gives empty tables.
     """
-    placed = _in_order(leaves, ["lang", "doc_id", "leaf"], "merkle-leaves")
+    placed = in_order(leaves, ["lang", "doc_id", "leaf"], "merkle-leaves")
     # Leaves of a group in each range, and in the ranges before it.
     counts = placed.groupBy("lang", "part").agg(F.min("at").alias("first"), F.count("*").alias("rows"))
     group = Window.partitionBy("lang")
@@ -103,7 +97,7 @@ def build(leaves: DataFrame, fan: int = FAN) -> Manifest:
         counts.select("lang", "part", "first", F.coalesce(before, F.lit(0)).alias("before"), F.sum("rows").over(group).alias("width")), "merkle-counts"
     )
     # Groups are numbered the same way; the windows without a key run over one row per range.
-    groups = _in_order(counts.groupBy("lang").agg(F.max("width").alias("width")), ["lang"], "merkle-groups")
+    groups = in_order(counts.groupBy("lang").agg(F.max("width").alias("width")), ["lang"], "merkle-groups")
     ranges = groups.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("rows"))
     every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("part", "first", F.coalesce(F.sum("rows").over(every), F.lit(0)).alias("before"), F.sum("rows").over(Window.partitionBy()).alias("trees"))
