@@ -82,10 +82,8 @@ class StreamRun:
 
     def finish(self) -> None:
         """End of stream: waiting rows whose model is warm by now get the newest version."""
-        known = self.pending.versions()
-        state = self.models.newest()
-        if known and state is not None:
-            last = known[-1]
+        last, state = self.pending.newest_number(), self.models.newest()
+        if last is not None and state is not None:
             waiting = self.pending.read(last).select(*ROW)
             self._score(waiting, state, last + 1)
 
