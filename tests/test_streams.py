@@ -1,5 +1,7 @@
 """Streams against the same rows in one table, replays and late rows."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,8 +15,9 @@ from tidelearn.plans.svm import OnlineSvm
 from tidelearn.session import new_path
 from tidelearn.streaming.driver import StreamRun
 from tidelearn.streaming.event_time import window_models, window_moments
-from tidelearn.streaming.exact_windows import exact_windows
-from tidelearn.streaming.store import ModelStore, model_snapshots
+from tidelearn.streaming.exact_windows import exact_windows, open_windows, start_windows
+from tidelearn.streaming.store import FAN, ModelStore, model_snapshots
+from tidelearn.streaming.window_run import WindowRun
 
 SCHEMA = "seq long, model_id int, label double, features array<double>"
 
@@ -103,11 +106,38 @@ def test_new_model_in_a_later_batch(spark):
 
 def test_store_ignores_uncommitted_versions(spark):
     store = ModelStore(spark, new_path(spark, "store"))
-    assert store.versions() == [] and store.newest() is None and store.all() is None
+    assert store.versions() == [] and store.newest() is None and store.all() is None and store.before(3) is None
     store.write(spark.range(3), 2)
     store.write(spark.range(5), 10)
-    (spark.range(7).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(store.folder(11)))
+    spark.range(7).write.parquet(store.folder(11))
     assert store.versions() == [2, 10] and store.newest().count() == 5 and store.all().count() == 8
+    assert store.vacuum() == 1 and store.all().count() == 8
+    again = ModelStore(spark, store.path)
+    assert again.newest_number() == 10 and again.before(10).count() == 3 and again.before(2) is None
+
+
+def test_store_merges_old_versions_and_finds_all(spark):
+    store = ModelStore(spark, new_path(spark, "log"))
+    calls = []
+    for v in range(2 * FAN + 9):
+        before = store.calls
+        store.write(spark.createDataFrame([(v, v * 10)], "model_id int, n long").coalesce(1), v)
+        calls.append(store.calls - before)
+    assert len(set(calls[1:])) == 1  # the same number of file calls however many versions there are
+    runs, _ = store._runs()
+    assert sorted({r.level for r in runs}) == [0, 1] and len(runs) < 2 * FAN
+    last = 2 * FAN + 8
+    store.write(spark.createDataFrame([(5, -1)], "model_id int, n long"), 5)  # in a merged run
+    store.write(spark.createDataFrame([(last, -2)], "model_id int, n long"), last)
+    want = {v: v * 10 for v in range(last)} | {5: -1, last: -2}
+    assert store.versions() == list(range(last + 1))
+    assert {r.version: r.n for r in store.all().collect()} == want
+    for v in (0, 4, 5, 6, FAN - 1, FAN, last - 1, last):
+        assert [r.n for r in store.read(v).collect()] == [want[v]]
+        assert v == 0 or [r.version for r in store.before(v).collect()] == [v - 1]
+    assert sorted(r.version for r in store.since(3, 20).collect()) == list(range(3, 21))
+    store.vacuum()
+    assert {r.version: r.n for r in ModelStore(spark, store.path).all().collect()} == want
 
 
 def test_snapshots(spark):
@@ -120,20 +150,94 @@ def test_exact_windows(spark):
     stream = files_of(spark, rows, 60).withColumn("label", F.nullif("label", F.lit(-9.0)))
     path = new_path(spark, "exact")
     store = ModelStore(spark, path, "batch_id")
-    query = (
-        exact_windows(stream, 20, 2, 2, by=F.col("seq"))
-        .writeStream.outputMode("append").foreachBatch(lambda b, i: store.write(b, i))
-        .option("checkpointLocation", path + "-c").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    got = store.all().collect()
-    assert all(r.n == 20 for r in got) and len({(r.shard, r.window_id) for r in got}) == len(got)
+    start_windows(exact_windows(stream, 20, 2, 2, by=F.col("seq")), store.write, path + "-c").awaitTermination()
+    closed, opened = store.all().collect(), open_windows(spark, path + "-c").collect()
+    assert all(r.n == 20 for r in closed) and len({(r.shard, r.window_id) for r in closed}) == len(closed)
     for s in (0, 1):
         x = np.array([r[3] for r in rows if r[0] % 2 == s and r[2] != -9.0])
-        mine = [r for r in got if r.shard == s]
-        assert len(mine) == len(x) // 20
-        total = sum(np.array(r.xx) for r in mine)
-        assert total[0] <= (x[:, 0] ** 2).sum() + 1e-9
+        mine = [r for r in closed if r.shard == s]
+        last = [r for r in opened if r.shard == s]
+        assert len(mine) == len(x) // 20 and [r.n for r in last] == [len(x) % 20] and last[0].window_id == len(mine)
+        # No row is lost between the closed windows and the open one.
+        assert np.isclose(sum(r.xx[0] for r in mine + last), (x[:, 0] ** 2).sum())
+        y = np.array([r[2] for r in rows if r[0] % 2 == s and r[2] != -9.0])
+        assert np.allclose(sum(np.array(r.xy) for r in mine + last), x.T @ y)
+
+
+def test_idle_worker_closes_its_window(spark):
+    path, rows = new_path(spark, "idle"), [r for r in rows_of(60) if r[2] != -9.0]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(path)
+    store = ModelStore(spark, path + "-w", "batch_id")
+    stream = spark.readStream.schema(SCHEMA).parquet(path)
+    query = start_windows(exact_windows(stream, 40, 2, 1, idle=1000), store.write, path + "-c", every="1 second")
+    try:
+        for _ in range(120):
+            got = store.all()
+            if got is not None and got.count() == 2:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert sorted((r.window_id, r.n) for r in store.all().collect()) == [(0, 40), (1, 8)]
+    assert open_windows(spark, path + "-c").count() == 0
+
+
+def pulls(rows, size, warm):
+    """Version that serves each unlabelled row: the oldest ``size`` in line at each closing, the rest at the end."""
+    line, out, seen, version = [], {}, 0, -1
+    for seq, _, label, _ in rows:
+        if label == -9.0:
+            line.append(seq)
+            continue
+        seen += 1
+        if seen % size == 0:
+            version += 1
+            if seen > warm:
+                out |= dict.fromkeys(line[:size], version)
+                line = line[size:]
+    last = version + (seen % size > 0)
+    return out | dict.fromkeys(line, last)
+
+
+@pytest.mark.parametrize("cuts", [(0, 200), (0, 33, 150, 160, 200)])
+def test_windows_and_pulls_do_not_follow_batches(spark, cuts):
+    """Versions equal those of the table, and lines are served alike, for several arrival splits."""
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, -9.0 if rng.random() < (0.9 if 60 < i < 120 else 0.2) else 1.0 + i % 3, [float(v) for v in rng.normal(size=2)]) for i in range(200)]
+    learner = Ridge(RidgeParams(dimension=2, window=12, warmup=20))
+    run = WindowRun(spark, learner, new_path(spark, "windows"))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        run.handle(spark.createDataFrame(rows[a:b], SCHEMA), k)
+        if k == 1:
+            run.handle(spark.createDataFrame(rows[a:b], SCHEMA), k)  # a replay
+    run.close()
+    want = {r.version: r for r in learner.fit(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.version: r for r in run.versions().collect()}
+    assert sorted(got) == sorted(want)
+    assert all(got[t].n == want[t].n and np.allclose(got[t].weights, want[t].weights) for t in want)
+    served = {r.seq: (r.version, r.prediction) for r in run.predictions().collect()}
+    assert {s: v for s, (v, _) in served.items()} == pulls(rows, 12, 20)
+    x = {r[0]: np.array(r[3]) for r in rows}
+    assert all(np.isclose(p, x[s] @ np.array(want[v].weights)) for s, (v, p) in served.items())
+
+
+def test_wide_windows_several_models_and_bad_rows(spark):
+    rng = np.random.default_rng(4)
+    d = 33
+    rows = [(i, i % 2, -9.0 if i % 7 == 0 else float(i % 3), [float(v) for v in rng.normal(size=d)]) for i in range(120)]
+    bad = [(1000, 0, 1.0, [1.0]), (None, 1, 1.0, rows[0][3])]
+    learner = Ridge(RidgeParams(dimension=d, window=25, warmup=10))
+    run = WindowRun(spark, learner, new_path(spark, "wide"))
+    run.close()
+    for k, part in enumerate((rows[:30] + bad, rows[30:90], [], [(r[0], 0, *r[2:]) for r in rows[90:]])):
+        run.handle(spark.createDataFrame(part, SCHEMA), k)
+    run.close()
+    table = spark.createDataFrame(rows[:90] + [(r[0], 0, *r[2:]) for r in rows[90:]], SCHEMA)
+    want = {(r.model_id, r.version): r for r in learner.fit(table).collect()}
+    got = {(r.model_id, r.version): r for r in run.versions().collect()}
+    assert sorted(got) == sorted(want) and all(np.allclose(got[k].weights, want[k].weights) for k in want)
+    assert run.rejected.all().count() == 2
+    assert run.predictions().count() == sum(r[2] == -9.0 for r in rows)
 
 
 def test_late_rows_add_to_their_window(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelearn.catalog.fixtures import ORD, SENTINEL, ord_rows
-from tidelearn.catalog.linear import flat, solve2
+from tidelearn.catalog.linear import RIDGE_FIT, flat, solve2
 from tidelearn.catalog.registry import register, table
 from tidelearn.operators.routing import unlabel, with_model
 from tidelearn.params import RidgeParams
@@ -13,8 +13,9 @@ from tidelearn.plans.moment_learners import Ridge
 from tidelearn.session import new_path
 from tidelearn.streaming.driver import StreamRun
 from tidelearn.streaming.event_time import window_models, window_moments
-from tidelearn.streaming.exact_windows import exact_windows
+from tidelearn.streaming.exact_windows import exact_windows, open_windows, start_windows
 from tidelearn.streaming.store import ModelStore
+from tidelearn.streaming.window_run import WindowRun
 
 RIDGE = Ridge(RidgeParams(dimension=2, sentinel=SENTINEL))
 
@@ -92,11 +93,11 @@ def ridge_stream(spark, sf):
 
 
 @register("stream_count_windows", f"""
-WITH {ORD}, s AS (SELECT seq % 8 AS shard, count(*) // 50 AS k FROM ord WHERE y IS NOT NULL GROUP BY 1)
-SELECT CAST(0 AS INTEGER) AS model_id, CAST(shard AS INTEGER) AS shard, CAST(w AS BIGINT) AS window_id, CAST(50 AS BIGINT) AS n
-FROM s, LATERAL (SELECT unnest(range(k)) AS w) t""")
+WITH {ORD}, s AS (SELECT seq % 8 AS shard, count(*) AS m FROM ord WHERE y IS NOT NULL GROUP BY 1)
+SELECT CAST(0 AS INTEGER) AS model_id, CAST(shard AS INTEGER) AS shard, CAST(w AS BIGINT) AS window_id, CAST(least(50, m - 50 * w) AS BIGINT) AS n
+FROM s, LATERAL (SELECT unnest(range((m + 49) // 50)) AS w) t""")
 def stream_count_windows(spark, sf):
-    """Windows of exactly 50 labelled rows per shard, closed as rows arrive."""
+    """Windows of exactly 50 labelled rows per shard, closed as rows arrive; the last ones are closed at the end of the stream."""
     orders = _file_stream(spark, sf, "orders")
     status = F.col("o_orderstatus")
     rows = with_model(orders.select(
@@ -106,13 +107,52 @@ def stream_count_windows(spark, sf):
     ))
     path = new_path(spark, "exact-windows")
     store = ModelStore(spark, f"{path}/windows", "batch_id")
-    query = (
-        exact_windows(rows, 50, 1, 8, by=F.col("seq"))
-        .writeStream.outputMode("append")
-        .foreachBatch(lambda batch, batch_id: store.write(batch, batch_id))
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    query = start_windows(exact_windows(rows, 50, 1, 8, by=F.col("seq")), store.write, f"{path}/checkpoint")
     query.awaitTermination()
-    return store.all().select("model_id", "shard", "window_id", "n")
+    closed = store.all().select("model_id", "shard", "window_id", "n")
+    return closed.union(open_windows(spark, f"{path}/checkpoint").select(*closed.columns))
+
+
+PARTS = 3
+PULL_RIDGE = Ridge(RidgeParams(dimension=2, window=1000, warmup=2000, sentinel=SENTINEL))
+
+
+def _arriving(spark, sf):
+    """The orders as a stream that arrives in ``PARTS`` files, one micro-batch each, cut by the order key and not by windows."""
+    rows, path = ord_rows(spark, sf), new_path(spark, "arriving")
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    part = F.expr(f"cast((seq - {low}) * {PARTS} div ({high} - {low} + 1) as int)") if low is not None else F.lit(0)
+    for k in range(PARTS):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _window_run(spark, sf):
+    run = WindowRun(spark, PULL_RIDGE, new_path(spark, "window-run"))
+    run.run(_arriving(spark, sf))
+    return run
+
+
+@register("stream_window_ridge", f"{RIDGE_FIT} SELECT version, n, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM fit")
+def stream_window_ridge(spark, sf):
+    """Ridge versions of the orders stream: windows of exactly 1,000 labelled rows, whatever micro-batches cut it; same models as ``ridge_fit``."""
+    return flat(_window_run(spark, sf).versions(), "version", "n")
+
+
+# Version p serves up to 1,000 rows that arrived by its closing; what is left at the end goes to the newest.
+@register("stream_pulls", f"""
+{RIDGE_FIT.replace("WITH", "WITH RECURSIVE", 1)},
+line AS (SELECT seq, window_id, x1, x2, row_number() OVER (ORDER BY seq) - 1 AS place FROM win WHERE y IS NULL),
+full_fit AS (SELECT * FROM fit WHERE n = 1000 * (version + 1)),
+came AS (SELECT f.version, (SELECT count(*) FROM line WHERE window_id <= f.version) AS a FROM full_fit f WHERE n > 2000),
+pull AS (
+  SELECT version, CAST(0 AS BIGINT) AS low, CAST(least(1000, a) AS BIGINT) AS high FROM came WHERE version = (SELECT min(version) FROM came)
+  UNION ALL
+  SELECT came.version, pull.high, CAST(least(pull.high + 1000, a) AS BIGINT) FROM pull JOIN came ON came.version = pull.version + 1),
+served AS (SELECT seq, x1, x2, coalesce(p.version, (SELECT max(version) FROM fit WHERE n > 2000)) AS version
+           FROM line LEFT JOIN pull p ON place >= low AND place < high)
+SELECT seq, version, round(w1 * x1 + w2 * x2, 5) AS prediction FROM served JOIN fit USING (version)""")
+def stream_pulls(spark, sf):
+    """Predictions of the orders stream: each new version serves the 1,000 rows that have waited longest."""
+    scored = _window_run(spark, sf).predictions()
+    return scored.select("seq", "version", F.round("prediction", 5).alias("prediction"))
