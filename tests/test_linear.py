@@ -123,34 +123,34 @@ def test_wide_hinge_sums(spark, monkeypatch):
 
 
 def test_svm_shards(spark):
-    x, y, m = data(n=600)
+    x, y, m = data(n=630)
     y = np.sign(y)
     p = SvmParams(dimension=3, window=40, step=0.3, step_intercept=0.3, shards=3)
     rows = frame(spark, x, y, m)
-    got = OnlineSvm(p).fit_sharded(rows, rounds=2).orderBy("version").collect()
-    from tidelearn.operators.routing import shard_of
-
-    shard = np.zeros(600, dtype=int)
-    for r in rows.select("seq", shard_of(3).alias("s")).collect():
-        shard[r.seq] = r.s
+    got = OnlineSvm(p).fit_sharded(rows, steps=2).orderBy("version").collect()
     w, b, n = np.full(3, 0.1), 0.1, 0
-    for t in range(2):
-        # 15 windows of 40 rows in two rounds.
-        span = [i for i in range(600) if (i // 40) * 2 // 15 == t]
+    for t in range(3):
+        # 16 windows, the last with 30 rows, in rounds of 3 x 2.
         parts = [(n, w, b)] if n else []
         for s in range(3):
-            ids = [i for i in span if shard[i] == s]
             lw, lb, ln = w, b, 0
-            for k in range(0, len(ids), 40):
-                a, c = x[ids[k : k + 40]], y[ids[k : k + 40]]
+            for k in range(t * 6 + 2 * s, t * 6 + 2 * s + 2):
+                a, c = x[40 * k : 40 * k + 40], y[40 * k : 40 * k + 40]
+                if not len(c):
+                    continue
                 hit = c * (a @ lw + lb) < 1
                 rate = len(c) / (ln + len(c))
                 gw, gb = lw - (c[hit] @ a[hit]) / len(c), -c[hit].sum() / len(c)
                 lw, lb, ln = lw - 0.3 * rate * gw, lb - 0.3 * rate * gb, ln + len(c)
-            parts.append((ln, lw, lb))
+            parts += [(ln, lw, lb)] if ln else []
         n = sum(q[0] for q in parts)
         w, b = sum(q[0] * q[1] for q in parts) / n, sum(q[0] * q[2] for q in parts) / n
         assert got[t].n == n and np.allclose(got[t].weights, w) and np.isclose(got[t].intercept, b)
+    assert len(got) == 3
+    # A shorter table has the same first versions.
+    short = OnlineSvm(p).fit_sharded(rows.where("seq < 480"), steps=2).orderBy("version").collect()
+    assert [(r.version, r.n) for r in short] == [(0, 240), (1, 480)]
+    assert all(np.allclose(a.weights, c.weights) for a, c in zip(short, got))
 
 
 @pytest.mark.parametrize("penalty", ["l1", "l2"])

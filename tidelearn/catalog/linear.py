@@ -220,11 +220,40 @@ def svm_fit(spark, sf):
     return flat(versions.withColumn("b", F.round("intercept", 6)), "version", "n", "b")
 
 
-@register("svm_local_sgd")
+# Rounds of 48 shards with 2 windows each; within a round both steps start from the model of the round before.
+@register("svm_local_sgd", f"""
+WITH RECURSIVE {ORD}, {labelled_windows(100)},
+r AS (SELECT *, 2 * y - 1 AS s FROM win WHERE y IS NOT NULL),
+it AS (
+  SELECT CAST(-1 AS BIGINT) AS version, CAST(0 AS BIGINT) AS n, 0.1e0 AS w1, 0.1e0 AS w2, 0.1e0 AS b
+  UNION ALL
+  SELECT version + 1, CAST(n + sum(k) AS BIGINT), (n * w1 + sum(k * v1)) / (n + sum(k)), (n * w2 + sum(k * v2)) / (n + sum(k)), (n * b + sum(k * vb)) / (n + sum(k))
+  FROM (
+    SELECT version, n, w1, w2, b, m + m2 AS k,
+      CASE WHEN m2 = 0 THEN u1 ELSE u1 - 0.5e0 * (m2 / (m + m2)) * (u1 - s1 / m2) END AS v1,
+      CASE WHEN m2 = 0 THEN u2 ELSE u2 - 0.5e0 * (m2 / (m + m2)) * (u2 - s2 / m2) END AS v2,
+      CASE WHEN m2 = 0 THEN ub ELSE ub + 0.5e0 * (m2 / (m + m2)) * sy / m2 END AS vb
+    FROM (
+      SELECT a.version, a.n, a.w1, a.w2, a.b, a.m, a.u1, a.u2, a.ub, CAST(count(r.y) AS DOUBLE) AS m2,
+        coalesce(sum(CASE WHEN r.s * (u1 * r.x1 + u2 * r.x2 + ub) < 1 THEN r.s * r.x1 END), 0) AS s1,
+        coalesce(sum(CASE WHEN r.s * (u1 * r.x1 + u2 * r.x2 + ub) < 1 THEN r.s * r.x2 END), 0) AS s2,
+        coalesce(sum(CASE WHEN r.s * (u1 * r.x1 + u2 * r.x2 + ub) < 1 THEN r.s END), 0) AS sy
+      FROM (
+        SELECT version, n, w1, w2, b, shard, m, w1 - 0.5e0 * (w1 - t1 / m) AS u1, w2 - 0.5e0 * (w2 - t2 / m) AS u2, b + 0.5e0 * ty / m AS ub
+        FROM (
+          SELECT it.version, it.n, it.w1, it.w2, it.b, r.window_id // 2 AS shard, CAST(count(*) AS DOUBLE) AS m,
+            coalesce(sum(CASE WHEN r.s * (it.w1 * r.x1 + it.w2 * r.x2 + it.b) < 1 THEN r.s * r.x1 END), 0) AS t1,
+            coalesce(sum(CASE WHEN r.s * (it.w1 * r.x1 + it.w2 * r.x2 + it.b) < 1 THEN r.s * r.x2 END), 0) AS t2,
+            coalesce(sum(CASE WHEN r.s * (it.w1 * r.x1 + it.w2 * r.x2 + it.b) < 1 THEN r.s END), 0) AS ty
+          FROM it JOIN r ON r.window_id // 96 = it.version + 1 AND r.window_id % 2 = 0 GROUP BY ALL) g) a
+      LEFT JOIN r ON r.window_id = 2 * a.shard + 1
+      GROUP BY a.shard, a.version, a.n, a.w1, a.w2, a.b, a.m, a.u1, a.u2, a.ub) h) z
+  GROUP BY version, n, w1, w2, b)
+SELECT version, n, round(w1, 6) AS w1, round(w2, 6) AS w2, round(b, 6) AS b FROM it WHERE version >= 0""")
 def svm_local_sgd(spark, sf):
     rows = ord_rows(spark, sf)
-    learner = OnlineSvm(SvmParams(dimension=2, window=100, step=0.5, step_intercept=0.5, shards=8, sentinel=SENTINEL))
-    versions = learner.fit_sharded(rows, rounds=4)
+    learner = OnlineSvm(SvmParams(dimension=2, window=100, step=0.5, step_intercept=0.5, shards=48, sentinel=SENTINEL))
+    versions = learner.fit_sharded(rows, steps=2)
     return flat(versions.withColumn("b", F.round("intercept", 6)), "version", "n", "b")
 
 

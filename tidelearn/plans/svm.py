@@ -11,15 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidelearn.functions.vectors import UNROLL
 from tidelearn.operators.hinge import decision, hinge_columns, hinge_sums, sign_of, svm_step
 from tidelearn.operators.moments import merge_by_count
-from tidelearn.operators.routing import shard_of, sound, split_labelled, unlabel
+from tidelearn.operators.routing import sound, split_labelled, unlabel
 from tidelearn.operators.windows import labelled_windows
 from tidelearn.params import SvmParams
 from tidelearn.plans.learner import KEY, Stage, keyed, need_columns
 from tidelearn.session import materialize, new_path
 from tidelearn.streaming.store import ModelStore
 
-# Files that hold one window's rows, at most.
+# Tasks that write a bucket's rows, at most, and windows or rounds of a bucket: folders do not grow with the windows.
 WINDOW_FILES = 16
+BUCKET = 64
 STATE = [*KEY, "n", "weights", "intercept"]
 
 
@@ -103,38 +104,45 @@ class OnlineSvm(Stage):
         me = self.with_params(**override)
         spark = rows.sparkSession
         spread = F.pmod(F.xxhash64("seq"), F.lit(WINDOW_FILES))
-        labelled = me.windowed(rows).filter("label is not null").repartition("window_id", spread)
-        windows = materialize(labelled, "svm-windows", ["window_id"])
+        labelled = me.windowed(rows).filter("label is not null").withColumn("bucket", F.expr(f"window_id div {BUCKET}"))
+        windows = materialize(labelled.repartition("bucket", spread).sortWithinPartitions("bucket", "window_id"), "svm-windows", ["bucket"])
         last = windows.agg(F.max("window_id")).first()[0]
         if last is None:
             raise ValueError("no rows to fit")
         columns, state = me.columns(), None
         store = ModelStore(spark, new_path(spark, "svm-models"))
         for t in range(last + 1):
-            store.write(me.update(windows.filter(F.col("window_id") == t), state, columns), t)
+            window = windows.filter((F.col("bucket") == t // BUCKET) & (F.col("window_id") == t)).drop("bucket")
+            store.write(me.update(window, state, columns), t)
             state = store.read(t)
         return store.all()
 
-    def fit_sharded(self, rows: DataFrame, rounds: int = 1, **override) -> DataFrame:
-        """Local training per shard, shard models merged by count after each round.
+    def fit_sharded(self, rows: DataFrame, steps: int = 1, **override) -> DataFrame:
+        """Local training per shard on a model that is one round old, shard models merged by count after each round.
 
-        Stands for independent workers that read a stale model: in each round
-        every shard starts from the merged model and takes its own steps.  A hot
-        model is cut into ``shards`` streams, and a task holds one window.
+        A round is ``shards * steps`` windows of labelled rows: shard s takes the ``steps`` windows that begin with window
+        ``round * shards * steps + s * steps``, one after the other, all from the model that the round before left.  So staleness is bounded, a
+        round has the same windows however long the table is, and a longer table keeps its first versions.  A task holds the
+        gradient of one window; choose ``shards`` to fill the cluster, whatever the number of models.
         """
         me = self.with_params(**override)
         p, spark = me.params, rows.sparkSession
         numbered = me.windowed(rows).filter("label is not null")
-        last = numbered.groupBy(*KEY).agg((F.max("window_id") + 1).alias("_windows"))
-        sharded = numbered.join(last, KEY).select(
-            *KEY, "seq", "label", "features", shard_of(p.shards).alias("shard"),
-            F.expr(f"(window_id * {int(rounds)}) div _windows").alias("round"),
-        )
-        table = materialize(sharded, "svm-shards", ["round"])
+        placed = numbered.select(
+            *KEY, "seq", "label", "features", "window_id",
+            F.expr(f"window_id div {int(steps)}").alias("shard"), F.expr(f"window_id div {int(steps) * p.shards}").alias("round"),
+        )
+        # Rounds lie in order inside buckets of rounds, so a round reads the row groups of one folder.
+        bucketed = placed.withColumn("bucket", F.expr(f"round div {BUCKET}"))
+        spread = F.pmod(F.xxhash64("seq"), F.lit(WINDOW_FILES))
+        table = materialize(bucketed.repartition("bucket", spread).sortWithinPartitions("bucket", "round"), "svm-shards", ["bucket"])
+        last = table.agg(F.max("round")).first()[0]
+        if last is None:
+            raise ValueError("no rows to fit")
         store = ModelStore(spark, new_path(spark, "svm-sharded"))
         state = None
-        for r in range(rounds):
-            batch = table.filter(F.col("round") == r).drop("round")
+        for r in range(last + 1):
+            batch = table.filter((F.col("bucket") == r // BUCKET) & (F.col("round") == r)).drop("round", "bucket")
             store.write(me.merge_shards(me.local_models(batch, state), state), r)
             state = store.read(r)
         return store.all()
@@ -142,57 +150,44 @@ class OnlineSvm(Stage):
     def local_models(self, rows: DataFrame, state: DataFrame | None) -> DataFrame:
         """One model per ``(model_id, shard)`` after that shard's local windows.
 
-        Rows arrive sorted, so a task walks through its shards with one window
-        and one model in memory.
+        Rows arrive sorted, so a task walks through its shards with one model and the sums of one window in memory.
         """
         p = self.params
-        lined = self._with_state(rows, state).select(*KEY, "shard", "seq", "label", "features", "weights", "intercept")
-        placed = lined.repartition(*KEY, "shard").sortWithinPartitions(*KEY, "shard", "seq")
+        lined = self._with_state(rows, state).select(*KEY, "shard", "window_id", "seq", "label", "features", "weights", "intercept")
+        placed = lined.repartition(*KEY, "shard").sortWithinPartitions(*KEY, "shard", "window_id")
 
         def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            key, w, b, n = None, None, 0.0, 0
-            held_x: list[np.ndarray] = []
-            held_y: list[np.ndarray] = []
-            held = 0
-
-            def step(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: float, n: int):
-                hit = y * (x @ w + b) < 1.0
-                rate = len(y) / (n + len(y)) if p.merge == "count" else 1.0
-                gw = w - p.cost / len(y) * (y[hit] @ x[hit])
-                gb = -p.cost / len(y) * y[hit].sum()
-                return w - p.step * rate * gw, b - p.step_intercept * rate * gb, n + len(y)
-
-            def done():
+            key, window, w, b, n = None, None, None, 0.0, 0
+            m, along, bias = 0, 0.0, 0.0
+
+            def step() -> None:
+                nonlocal w, b, n
+                rate = m / (n + m) if p.merge == "count" else 1.0
+                w, b, n = w - p.step * rate * (w - p.cost / m * along), b + p.step_intercept * rate * p.cost / m * bias, n + m
+
+            def done() -> pd.DataFrame:
+                step()
                 return pd.DataFrame({"model_id": [key[0]], "shard": [key[1]], "n": [n], "weights": [w], "intercept": [b]})
 
             for pdf in batches:
-                for k, part in pdf.groupby(["model_id", "shard"], sort=False):
+                for (*k, t), part in pdf.groupby(["model_id", "shard", "window_id"], sort=False):
                     if k != key:
                         if key is not None:
-                            if held:
-                                w, b, n = step(np.concatenate(held_x), np.concatenate(held_y), w, b, n)
                             yield done()
-                        key, n, held_x, held_y, held = k, 0, [], [], 0
-                        w, b = np.array(part["weights"].iloc[0]), float(part["intercept"].iloc[0])
+                        key, n, w, b = k, 0, np.array(part["weights"].iloc[0]), float(part["intercept"].iloc[0])
+                        window, m, along, bias = t, 0, 0.0, 0.0
+                    elif t != window:
+                        step()
+                        window, m, along, bias = t, 0, 0.0, 0.0
                     x = np.stack(part["features"].to_numpy())
                     y = np.where(part["label"].to_numpy() > 0, 1.0, -1.0)
-                    at = 0
-                    while at < len(y):
-                        take = min(p.window - held, len(y) - at)
-                        held_x.append(x[at : at + take])
-                        held_y.append(y[at : at + take])
-                        held += take
-                        at += take
-                        if held == p.window:
-                            w, b, n = step(np.concatenate(held_x), np.concatenate(held_y), w, b, n)
-                            held_x, held_y, held = [], [], 0
+                    hit = y * (x @ w + b) < 1.0
+                    m, along, bias = m + len(y), along + y[hit] @ x[hit], bias + y[hit].sum()
             if key is not None:
-                if held:
-                    w, b, n = step(np.concatenate(held_x), np.concatenate(held_y), w, b, n)
                 yield done()
 
         kind = dict(rows.dtypes)["model_id"]
-        return placed.mapInPandas(walk, f"model_id {kind}, shard int, n long, weights array<double>, intercept double")
+        return placed.mapInPandas(walk, f"model_id {kind}, shard long, n long, weights array<double>, intercept double")
 
     def merge_shards(self, shards: DataFrame, state: DataFrame | None) -> DataFrame:
         """Count-weighted mean of the shard models; rounds before count as one model."""
