@@ -55,7 +55,9 @@ def shard_counts(spark, sf):
     )
 
 
-@register("hash_split")
+@register("hash_split", f"""
+WITH {ORD}
+SELECT seq, CASE WHEN CAST('0x' || substr(md5('7:' || seq), 1, 8) AS BIGINT) % 10000 < 3300 THEN 'test' ELSE 'train' END AS part FROM ord""")
 def hash_split(spark, sf):
     return routing.hash_split(ord_rows(spark, sf).select("seq"), 0.33, seed=7)
 

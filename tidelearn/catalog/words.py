@@ -188,6 +188,9 @@ def top_words(spark, sf):
     return rounded(tx.top_words(weights, 20), 6, "share")
 
 
-@register("sample_docs")
+@register("sample_docs", """
+WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS total FROM documents),
+d AS (SELECT CAST(floor(CAST('0x' || substr(md5('11:' || k), 1, 13) AS BIGINT) / 4503599627370496e0 * (SELECT max(total) FROM n)) AS BIGINT) AS place FROM range(100) t(k))
+SELECT doc_id FROM d JOIN n USING (place)""")
 def sample_docs(spark, sf):
     return sample_with_replacement(table(spark, sf, "documents").select("doc_id"), 100, seed=11).select("doc_id")

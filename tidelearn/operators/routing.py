@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidelearn.functions.vectors import densify, has_width
-from tidelearn.operators.windows import number_rows
+from tidelearn.operators.prefix import running_total
+from tidelearn.operators.windows import RANGE, number_rows
+from tidelearn.session import materialize
 
 
 def with_model(df: DataFrame, model: Column | int = 0) -> DataFrame:
@@ -75,20 +77,40 @@ def mask_tail(df: DataFrame, share: float, sentinel: float, order: str = "seq",
     )
 
 
+def draw(seed: int, counter: Column, digits: int = 13) -> Column:
+    """A whole number of ``digits`` hexadecimal digits from a seed and a counter: the same on every engine that has md5."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), counter.cast("string"))), 1, digits), 16, 10).cast("long")
+
+
 def hash_split(df: DataFrame, test_share: float, seed: int = 0, key: str = "seq") -> DataFrame:
-    """Mark every row ``train`` or ``test`` by a seeded hash of its key."""
-    slot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10000))
+    """Mark every row ``train`` or ``test`` by a seeded draw on its key; rows without a key train."""
+    slot = draw(seed, F.col(key), 8) % 10000
     return df.withColumn("part", F.when(slot < F.lit(round(test_share * 10000)), "test").otherwise("train"))
 
 
 def sample_with_replacement(df: DataFrame, n: int, seed: int, order: str = "doc_id") -> DataFrame:
     """Exactly ``n`` draws with replacement; a row drawn twice appears twice.
 
-    Draws are random positions joined to the rows' positions, so the rows are
-    numbered in place and only drawn rows move.
+    Draw k is the row at position ``floor(total * u)`` along ``order``, u from the seed and k alone.  First the draws are
+    counted per range of the order key, then only ranges that were drawn are numbered, each on its own:
+    the table is counted once and its other rows do not move.
     """
     spark = df.sparkSession
-    total = df.agg(F.count(F.lit(1))).scalar()
-    unit = (F.xxhash64(F.col("id"), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
-    picks = spark.range(n).select(F.col("id").alias("draw"), F.floor(unit * total).alias("_position"))
-    return number_rows(df, order, name="_position").join(picks, "_position").drop("_position")
+    cut = F.expr(f"cast(`{order}` as bigint) div {RANGE}L")
+    ranged = df.withColumn("_range", cut)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = materialize(running_total(sizes.withColumn("_before", F.col("_n")), [], "_range", ["_before"], inclusive=False), "sample-ranges")
+    total = starts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    if not total:
+        return df.withColumn("draw", F.lit(0).cast("long"))
+    unit = draw(seed, F.col("id")) / F.lit(float(1 << 52))
+    picks = spark.range(n).select(F.col("id").alias("draw"), F.floor(unit * total).alias("_at"))
+    # A draw's range: ranges are runs of positions, so blocks of positions name the few that a draw can fall into.
+    block = max(1, total // 4096)
+    spans = starts.select("_range", "_before", "_n", F.explode(F.expr(f"sequence(_before div {block}, (_before + _n - 1) div {block})")).alias("_block"))
+    placed = picks.withColumn("_block", F.expr(f"_at div {block}")).join(spans, "_block").where("_at >= _before and _at < _before + _n")
+    placed = materialize(placed.select("draw", "_range", (F.col("_at") - F.col("_before")).cast("long").alias("_place")), "sample-draws")
+    drawn = ranged.join(placed.select("_range").distinct(), "_range", "left_semi")
+    inside = Window.partitionBy("_range").orderBy(order)
+    numbered = drawn.withColumn("_place", (F.row_number().over(inside) - 1).cast("long"))
+    return numbered.join(placed, ["_range", "_place"]).select(*df.columns, "draw")
