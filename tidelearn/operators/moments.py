@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelearn.functions.vectors import triangle
 from tidelearn.operators.prefix import running_total
+from tidelearn.session import materialize
 
 # Up to this width the sums are separate columns of one hash aggregate (465
 # sums at 30); wider vectors are multiplied in Arrow batches.
 FLAT = 30
+# Windows whose sums are added up in one list per key; more of them are added up in blocks.
+FEW = 1 << 16
 # Cells a task may hold before it hands its partial sums on.
 HELD_CELLS = 4_000_000
 
@@ -123,15 +126,17 @@ def pack_long(df: DataFrame, d: int, keys: list[str]) -> DataFrame:
 def prefix_moments(rows: DataFrame, d: int, keys: list[str], order: str = "window_id") -> DataFrame:
     """Moments of each window together with all windows before it, packed.
 
-    Sums are additive, so every model version comes from one job: a sum per
-    window, then a running total over the windows.
+    Sums are additive, so every model version comes from one pass: a sum per
+    window, written once, then a running total over the windows, in blocks if there are many.
     """
-    if d <= FLAT:
-        sums = moments(rows, d, [*keys, order])
-        total = running_total(sums, keys, order, ["n", *cell_names(d)])
+    wide = d > FLAT
+    sums = materialize((moments_long if wide else moments)(rows, d, [*keys, order]), "window-moments")
+    lists = sums.where("i = 0 and j = 0") if wide else sums
+    levels = {"levels": 0} if lists.limit(FEW + 1).count() <= FEW else {}
+    if not wide:
+        total = running_total(sums, keys, order, ["n", *cell_names(d)], **levels)
         return pack(total, d, [*keys, order])
-    cells = moments_long(rows, d, [*keys, order])
-    total = running_total(cells, [*keys, "i", "j"], order, ["g"])
+    total = running_total(sums, [*keys, "i", "j"], order, ["g"], **levels)
     return pack_long(total, d, [*keys, order])
 
 

@@ -18,8 +18,12 @@ def running_total(
     ``order`` is an integer, unique per key.  Totals are taken per
     block of ``block`` positions, the list of blocks is summed in order (itself in
     blocks, ``levels`` times), and each block then runs on its own.  A key of N positions gives
-    groups of at most ``block`` rows, never one group of N.
+    groups of at most ``block`` rows, never one group of N.  ``levels=0`` sums a key's list, known to be short, as a whole.
     """
+    if not levels:
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        rest = [c for c in df.columns if c not in values]
+        return df.select(*rest, *[F.coalesce(F.sum(v).over(whole), F.lit(0)).alias(v) for v in values])
     blocked = df.withColumn("_block", F.expr(f"cast(`{order}` as bigint) div {block}L"))
     totals = blocked.groupBy(*keys, "_block").agg(*[F.sum(v).alias(v) for v in values])
     if levels > 1:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidelearn.operators.prefix import running_total
+from tidelearn.session import materialize
 
 # Order keys are cut into ranges of this width.  A unique integer key puts at
 # most this many rows of one key into one range.
 RANGE = 1 << 17
+# Up to so many ranges are summed in one go, more of them in blocks.
+FEW = 1 << 16
 
 
 def number_rows(
@@ -25,14 +28,15 @@ def number_rows(
     of the order key is sorted on its own and starts at the number of rows in
     the ranges before it.  With ``counted`` (a boolean column) a row's position
     is the number of counted rows before it.  ``order`` and ``keys`` must not
-    be null.
+    be null.  The table of ranges is written once, and how it is summed depends on its size.
     """
     keys = keys or []
     cut = F.expr(f"cast(`{order}` as bigint) div {width}L")
     unit = F.col(counted).cast("long") if counted else F.lit(1).cast("long")
     ranged = df.withColumn("_range", cut).withColumn("_unit", unit)
-    lowest = ranged.groupBy(*keys, "_range").agg(F.sum("_unit").alias("_first"))
-    starts = running_total(lowest, keys, "_range", ["_first"], inclusive=False).select(
+    lowest = materialize(ranged.groupBy(*keys, "_range").agg(F.sum("_unit").alias("_first")), "ranges")
+    few = lowest.limit(FEW + 1).count() <= FEW
+    starts = running_total(lowest, keys, "_range", ["_first"], inclusive=False, **({"levels": 0} if few else {})).select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_at"), "_first"
     )
     match = F.col("_range") == F.col("_at")
