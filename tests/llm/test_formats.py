@@ -3,7 +3,11 @@
 import base64
 import gzip
 import hashlib
+import os
+import random
+import time
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -49,7 +53,7 @@ def test_masks_and_reserved_ids():
     for k, (role, text) in enumerate([("user", "a b"), ("assistant", ""), ("assistant", "</s> c")]):
         part, m = ids[bounds[k] : bounds[k + 1]], mask[bounds[k] : bounds[k + 1]]
         assert [own.control[c] for c in chat.CONTROLS] == [t for t in part if t >= own.first]
-        assert own.read(part, m) == (role, text, text if role == "assistant" else "")
+        assert own.read(part, m) == (role, text, text if role == "assistant" else "", 20 + len(chat.escape(role)) + len(chat.escape(text)))
         assert all(t < own.first for t in part[m == 1])
 
 
@@ -156,3 +160,44 @@ def test_salvaged_table(spark, tmp_path):
     got = warc.read_archives(spark, f"file://{tmp_path}").collect()
     assert sorted(r.record_id for r in got if r.error is None) == [f"<urn:page:{k}>" for k in range(4)]
     assert sorted(r.end_offset - r.offset for r in got if r.error) == [6, 9]
+
+
+def test_long_runs_are_encoded_whole():
+    own = chat.assembler(PATH)
+    rng = random.Random(2)
+    address = "https://example.org/" + "".join(rng.choice("abc/.-?=&%09xyz") for _ in range(3200))
+    for text in (address, "x" * 1_000_000, "".join(rng.choice("abcdefghij") for _ in range(200_000)), " " * 300_000 + "a", "é" * 100_000):
+        ids = own.encode(text)
+        assert ids == own.encoding.encode_ordinary(text) and own.decode(np.array(ids)) == text
+
+
+def test_archives_of_many_members_and_other_digests(spark):
+    def record(i, digest, payload=b"hello"):
+        head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{i}>\r\n{digest}Content-Length: {len(payload)}\r\n\r\n"
+        return head.encode() + payload + warc.RECORD_END.encode()
+
+    started = time.time()
+    many = b"".join(gzip.compress(record(i, "", b"%d " % i * 20)) for i in range(50_000))
+    made, began = time.time() - started, time.time()
+    got = [r["record_id"] for r in warc.records(many)]
+    assert got == [f"<urn:page:{i}>" for i in range(50_000)] and time.time() - began < 30 + made
+    # Damage in one member hides that member only.
+    broken = bytearray(many[: 40 * len(gzip.compress(record(0, "")))])
+    broken[len(gzip.compress(record(0, "", b"0 " * 20))) + 12] ^= 0xFF
+    kept = list(warc.records(bytes(broken)))
+    assert sum(r.get("error") is not None for r in kept) <= 2 and kept[0]["record_id"] == "<urn:page:0>"
+
+    sha1 = base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    stated = {
+        f"sha1:{sha1}": True, f"sha1:{sha1.lower()}": True, f"sha256:{hashlib.sha256(b'hello').hexdigest()}": True, f"SHA-256:{hashlib.sha256(b'hello').hexdigest().upper()}": True,
+        f"md5:{hashlib.md5(b'hello').hexdigest()}": True, "blake3:abc": None, "": None, f"sha256:{'0' * 64}": False,
+    }
+    path = new_path(spark, "digests")
+    os.makedirs(path)
+    data = b"".join(record(i, f"WARC-Payload-Digest: {d}\r\n" if d else "") for i, d in enumerate(stated))
+    with open(f"{path}/CC-MAIN.warc", "wb") as f:
+        f.write(data)
+    rows = warc.read_archives(spark, path).orderBy("offset").collect()
+    assert [r.verified for r in rows if r.error is None] == [v for v in stated.values() if v is not False]
+    assert [r.error for r in rows if r.error] == ["wrong digest"]
+    assert warc.read_archives(spark, path, names="part-*").count() == 0

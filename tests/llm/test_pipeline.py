@@ -1,5 +1,6 @@
 """Decontamination against a brute-force search, and the pipeline stage by stage."""
 
+import os
 import random
 import re
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidelearn.llm import decontaminate as dc, near_join, quality, rules
+from tidelearn.llm import decontaminate as dc, memory, near_join, quality, rules, words
 from tidelearn.session import materialize
 
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -237,3 +238,36 @@ def test_stages_on_edges(spark, make, tmp_path):
             assert out.columns == docs.columns
             docs = out
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).where(F.col("taken") <= 0).count() == 0
+
+
+def test_no_broadcast_outlives_its_stage(spark, sf_dir, monkeypatch):
+    """What a stage sends along is destroyed once its table is written, and the setting for batches is put back."""
+    sent, plain = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(plain(self, value)) or sent[-1])
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for stage in (near_join.stage, dc.stage):
+        before = len(sent)
+        docs = stage(spark, docs, sf_dir)
+        assert len(sent) > before and not any(os.path.exists(b._path) for b in sent)
+        assert memory._sent == [] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    assert docs.count() > 0
+
+
+def test_common_words_are_searched_in_few_places_at_a_time():
+    """A long text made of the items' own words: memory follows the text and not items times places."""
+    rng = random.Random(3)
+    vocabulary = [f"word{k}" for k in range(22)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(20)) for _ in range(32)]
+    text = " ".join(rng.choice(vocabulary) for _ in range(20_000))
+    weight = np.ones(dc.FEATURES, np.float32)
+    items = [dc.Item(k, k, dc._hashed(*words.utf8(pa.array([t])))[0], np.zeros(1, np.float32), frozenset()) for k, t in enumerate(texts)]
+    h, first = dc._hashed(*words.utf8(pa.array([text])))
+    whole = dc.Rare(items, weight)
+    want = sorted((i.at, a, b) for _, i, a, b in whole.places(h, first))
+    cut = dc.Rare(items, weight)
+    before, dc.PLACES = dc.PLACES, 30_000
+    try:
+        assert sorted((i.at, a, b) for _, i, a, b in cut.places(h, first)) == want and want
+    finally:
+        dc.PLACES = before

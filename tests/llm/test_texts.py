@@ -1,6 +1,7 @@
 """Quality, rules, token counts and license scans against plain versions."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelearn.llm import licenses, quality, rules, tokens
+from tidelearn.llm import licenses, quality, rules, tokens, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "a b"), (5, "é" * 50_000), (6, "a " * 40_000), (7, "x y　z \U0001f600")]
@@ -283,3 +284,24 @@ def test_fuzzy_notices(make):
             assert set(got[text].labels.split(",")) <= near | set(got[text].base_labels.split(",")) | {""}, text
         if not near:
             assert got[text].labels == got[text].base_labels, text
+
+
+def test_many_places_and_notices_in_one_text():
+    """Work grows with the text, not with its square."""
+    scanner = licenses.Scanner()
+    began = time.time()
+    found = licenses.scan_text(scanner, "released cc by here " * 100_000)
+    assert found["n_base"] == 100_000 and (found["first_word"], found["last_word"]) == (1, 4 * 99_999 + 1)
+    spans = scanner.spans((f"{scanner.notices[0][0]} filler words " * 3000).strip().encode())
+    assert len(spans) == 3000 and spans == sorted(spans) and time.time() - began < 60
+
+
+def test_long_words_do_not_collide():
+    """Thue-Morse patterns and their complements are equal for every polynomial hash modulo 2^64."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    column = pa.array([a, b, a.upper()])
+    data, bounds = words.utf8(column)
+    starts, ends, _ = words.spans(data, bounds)
+    exact, lower = words.hashes(data, starts, ends), words.hashes(data, starts, ends, words.LOWER)
+    assert len(set(exact.tolist())) == 3 and lower[0] == lower[2] != lower[1]

@@ -11,7 +11,6 @@ Token ends are byte counts; the characters they fall into follow from the bytes
 from __future__ import annotations
 
 import base64
-import functools
 import os
 from collections.abc import Iterator
 
@@ -23,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+from tidelearn.llm.memory import give_back, once
 from tidelearn.llm.registry import register, table
 from tidelearn.llm.tokens import byte_letters
 
@@ -136,9 +136,8 @@ def token_texts(data: bytes, ends: np.ndarray) -> list[str]:
     return out
 
 
-@functools.cache
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return once(f"codec {path} {pattern}", lambda: Codec(path, pattern))
 
 
 def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
@@ -178,6 +177,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                     columns += [_lists(x, np.int64) for x in (ends, [c[0] for c in chars], [c[1] for c in chars])]
                     names += ["byte_ends", "char_starts", "char_ends"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"key {kind}, ids array<int>{more}").withColumnRenamed("key", key)

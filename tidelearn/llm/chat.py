@@ -20,6 +20,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidelearn.llm.memory import once
 from tidelearn.llm.registry import register, table
 from tidelearn.session import materialize
 
@@ -27,9 +28,6 @@ from tidelearn.session import materialize
 CONTROLS = ("<s>", "[INST]", "[/INST]", "</s>")
 _CONTROL = r"([<\[])(\\*)(s>|/s>|INST\]|/INST\])"
 _ESCAPE, _UNESCAPE = re.compile(_CONTROL), re.compile(r"([<\[])\\(\\*)(s>|/s>|INST\]|/INST\])")
-#: Longest run without white space that is encoded in one go; longer ones are cut, as merging takes the square of a run.
-LONGEST = 2000
-_LONG = re.compile(rf"\S{{{LONGEST + 1},}}")
 
 
 def escape(text: str) -> str:
@@ -52,20 +50,15 @@ class Assembler:
         self.roles: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
-        text = escape(text)
-        if len(text) <= LONGEST or not _LONG.search(text):
-            return self.encoding.encode_ordinary(text)
-        ids: list[int] = []
-        at = 0
-        for run in _LONG.finditer(text):
-            ids += self.encoding.encode_ordinary(text[at : run.start()])
-            for k in range(run.start(), run.end(), LONGEST):
-                ids += self.encoding.encode_ordinary(text[k : min(k + LONGEST, run.end())])
-            at = run.end()
-        return ids + self.encoding.encode_ordinary(text[at:])
+        """Ids of a whole text, cut only where the pattern cuts."""
+        return self.encoding.encode_ordinary(escape(text))
+
+    def raw(self, ids: np.ndarray) -> str:
+        """Text of ids without control ids, still escaped."""
+        return self.encoding.decode_bytes(ids.tolist()).decode()
 
     def decode(self, ids: np.ndarray) -> str:
-        return unescape(self.encoding.decode_bytes(ids.tolist()).decode())
+        return unescape(self.raw(ids))
 
     def assemble(self, roles: Sequence[str], texts: Sequence[str], trained: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, mask, bounds): all turns' tokens behind one another and where each turn begins."""
@@ -86,24 +79,16 @@ class Assembler:
         np.add.at(step, starts[which + 1], -1)
         return ids, np.cumsum(step[:-1]).astype(np.int8), starts[::5]
 
-    def read(self, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str]:
-        """(role, text, text under the loss mask) of one turn."""
+    def read(self, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str, int]:
+        """(role, text, text under the loss mask, code points of the whole turn as it is written) of one turn."""
         cut = np.flatnonzero(ids >= self.first)
-        role, text = ids[cut[0] + 1 : cut[1]], ids[cut[1] + 1 : cut[2]]
-        return self.decode(role), self.decode(text), self.decode(ids[mask == 1])
-
-    def rendered(self, role: str, text: str) -> int:
-        """Code points of the turn as a string."""
-        return sum(map(len, CONTROLS)) + len(escape(role)) + len(escape(text))
-
-
-_assemblers: dict[str, Assembler] = {}
+        role, text = self.raw(ids[cut[0] + 1 : cut[1]]), self.raw(ids[cut[1] + 1 : cut[2]])
+        written = sum(len(CONTROLS[i - self.first]) for i in ids[cut].tolist()) + len(role) + len(text)
+        return unescape(role), unescape(text), self.decode(ids[mask == 1]), written
 
 
 def assembler(path: str) -> Assembler:
-    if path not in _assemblers:
-        _assemblers[path] = Assembler(path)
-    return _assemblers[path]
+    return once(f"assembler {path}", lambda: Assembler(path))
 
 
 def _strings(column: pa.Array) -> list[str]:
@@ -149,8 +134,8 @@ def digests(formatted: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             ids, masks = batch.column(3), batch.column(4)
             got = [own.read(i.values.to_numpy(), m.values.to_numpy()) for i, m in zip(ids, masks)]
-            chars = [own.rendered(role, text) for role, text, _ in got]
-            said = [f"{role}\n{text}\n" for role, text, _ in got]
+            chars = [g[3] for g in got]
+            said = [f"{role}\n{text}\n" for role, text, *_ in got]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(said, pa.string()), pa.array([g[2] for g in got], pa.string()), pa.array(chars, pa.int64())], list(READ))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -74,11 +75,12 @@ class Scanner:
     def places(self, plain: bytes) -> list[tuple[int, str]]:
         """(index of the first word, label) of each place of a phrase."""
         padded, found = b" " + plain + b" ", []
+        spaces = np.flatnonzero(np.frombuffer(padded, np.uint8) == 0x20)
         for phrase, label in self.phrases:
             needle = b" " + phrase.encode() + b" "
             at = padded.find(needle)
             while at >= 0:
-                found.append((padded.count(b" ", 0, at), label))
+                found.append((int(np.searchsorted(spaces, at)), label))
                 at = padded.find(needle, at + 1)
         return found
 
@@ -91,7 +93,10 @@ class Scanner:
                 notice, _, edits = self.notices[n]
                 start = end - size + 1 - offset
                 near.setdefault(n, []).append((start - edits, start + len(notice) + edits))
+        if not near:
+            return []
         out = []
+        spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 0x20)
         for n, ranges in near.items():
             _, label, _ = self.notices[n]
             ranges.sort()
@@ -105,10 +110,13 @@ class Scanner:
                 a, b = max(a, 0), min(b, len(text))
                 # The pattern looks one character beyond on both sides for a word's edge.
                 for hit in self.patterns[n].finditer(text, max(a - 1, 0), min(b + 1, len(text))):
-                    out.append((text.count(" ", 0, hit.start()), len(hit.group().split()), label, sum(hit.fuzzy_counts)))
+                    out.append((int(np.searchsorted(spaces, hit.start())), len(hit.group().split()), label, sum(hit.fuzzy_counts)))
         kept: list[tuple[int, int, str, int]] = []
+        taken = bytearray(len(spaces) + 1)  # words of kept hits
         for hit in sorted(set(out), key=lambda h: (h[3], -h[1], h)):
-            if all(hit[0] + hit[1] <= k[0] or k[0] + k[1] <= hit[0] for k in kept):
+            a, b = hit[0], hit[0] + hit[1]
+            if taken.find(1, a, b) < 0:
+                taken[a:b] = b"\x01" * (b - a)
                 kept.append(hit)
         return sorted(kept)
 

@@ -21,7 +21,6 @@ held against each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,7 @@ from pyspark.sql.functions import arrow_udf
 
 from tidelearn.llm import words
 from tidelearn.llm.components import components
+from tidelearn.llm.memory import few_rows, give_back, released, send
 from tidelearn.llm.registry import register, table
 from tidelearn.session import materialize
 
@@ -45,8 +45,8 @@ BUCKETS, SLICES = 1 << 23, 16
 BITS = 1 << 25
 #: Tokens of a part of a group, about, and queries that one copy of a part answers, about.
 PART_TOKENS, QUERIES_EACH = 32_768, 2_000
-#: Bytes of text that a task has as sets at a time, about, and rows that it is sent at a time.
-RUN, ROWS = 1 << 20, 1000
+#: Bytes of text that a task has as sets at a time, about.
+RUN = 1 << 20
 
 
 def _flat(sets: list[np.ndarray]) -> pa.ListArray:
@@ -61,19 +61,7 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Ar
     for batch in batches:
         for first, data, bounds in words.chunks(batch.column(1), RUN):
             yield batch.column(0).slice(first, len(bounds) - 1), list(words.shingle_sets(data, bounds, width))
-    pa.default_memory_pool().release_unused()
-
-
-@contextmanager
-def _few_rows(spark: SparkSession):
-    """Batches of ``ROWS`` rows for the jobs that run meanwhile: rows hold texts and sets, several tasks share an executor."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(ROWS, int(before)) if int(before) > 0 else ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    give_back()
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -160,6 +148,7 @@ def token_sets(width: int):
     def tokens(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in text:
             yield _flat([t for _, data, bounds in words.chunks(column, RUN) for t in words.shingle_sets(data, bounds, width)])
+        give_back()
 
     return tokens
 
@@ -245,6 +234,7 @@ def _answered(rows: DataFrame, percent: int) -> DataFrame:
                         out += part.links(i, tokens)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
         out = ready()[1]
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     placed = rows.select("part", "copy", "asks", "id", "tokens").repartition("part", "copy").sortWithinPartitions("part", "copy", "asks", "id")
@@ -258,7 +248,7 @@ def _bitmap(ids: DataFrame, bits: int = BITS):
     words_set = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("set")).toArrow()
     marks = np.zeros(bits // 32, np.uint32)
     marks[words_set["word"].to_numpy()] = words_set["set"].to_numpy().astype(np.uint32)
-    return ids.sparkSession.sparkContext.broadcast(marks)
+    return send(ids.sparkSession, marks)
 
 
 def _marked(rows: DataFrame, ids: DataFrame, of: str = "id", bits: int = BITS) -> DataFrame:
@@ -303,15 +293,15 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     their component is their own id.  Repeated rows are copies; texts that share an id count as one document
     where it stands for them.  A row without an id has a null component.  An empty table gives no rows.  Other columns are not read.
     """
-    # All jobs with Python run inside; what is returned joins written tables.
-    with _few_rows(docs.sparkSession):
+    # All jobs with Python run inside; what is returned joins written tables, so nothing that was sent is needed then.
+    with few_rows(docs.sparkSession), released():
         return _jaccard_groups(docs, doc_id, text, width, percent)
 
 
 def _jaccard_groups(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_buckets(rows, width))
+    frequent = send(spark, frequent_buckets(rows, width))
     signed = materialize(signatures(rows, frequent, width, percent), "join-signed")
     keys = [c for c in signed.columns if c.startswith("k")]
 
@@ -403,6 +393,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Of rows that share an id the one with the least hash of its text stays; rows without an id all stay.
     """
+    with few_rows(docs.sparkSession), released():
+        return materialize(_kept(docs, doc_id, text), "join-kept")
+
+
+def _kept(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     groups = materialize(jaccard_groups(docs, doc_id, text), "join-groups")
     away = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
     twice = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
@@ -421,6 +416,11 @@ def keep_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     Of several texts under one id the one with the least hash is judged by the id, the others by numbers of their
     own behind it: each stays unless a text like it does.  Copies of a row are one; rows without an id all stay.
     """
+    with few_rows(docs.sparkSession), released():
+        return _kept_texts(docs, doc_id, text)
+
+
+def _kept_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.withColumns({"__key": F.col(doc_id).cast("bigint"), "__hash": F.xxhash64(text)})
     texts = rows.where("__key is not null").groupBy(F.col("__key").alias("id")).agg(F.min("__hash").alias("__least"), F.max("__hash").alias("__most"))
     several = materialize(texts.where("__least <> __most").select("id", "__least"), "join-several")

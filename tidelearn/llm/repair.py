@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidelearn.llm.memory import once
 from tidelearn.llm.order import in_order
 from tidelearn.llm.registry import register, table
 from tidelearn.session import materialize
@@ -183,9 +184,13 @@ class Grammar:
         return self.seen[sequence]
 
 
-@functools.lru_cache(4)
 def grammar(pairs: tuple[str, ...]) -> Grammar:
-    return Grammar(pairs)
+    """The grammar of these rules; a worker keeps the last one."""
+    held = once("grammar", dict)
+    if pairs not in held:
+        held.clear()
+        held[pairs] = Grammar(pairs)
+    return held[pairs]
 
 
 def learn(sequences: DataFrame, rounds: int = ROUNDS, pairs: int = PAIRS) -> tuple[str, ...]:

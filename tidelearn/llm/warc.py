@@ -101,25 +101,33 @@ _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 
 
-def members(data: bytes) -> Iterator[tuple[int, bytes | None, int]]:
-    """(offset, content, end) of each gzip member; content None for a gap up to the next valid member."""
-    at, bad = 0, None
+#: Bytes given to the decompressor at a time; what it reads beyond a member is no more than that.
+_BLOCK = 1 << 14
+
+
+def _member(data: memoryview, at: int) -> tuple[bytes, int] | None:
+    """Content and end of the gzip member that begins at ``at``, None if it is damaged or cut off."""
+    unzip, parts, k = zlib.decompressobj(31), [], at
+    try:
+        while not unzip.eof and k < len(data):
+            parts.append(unzip.decompress(data[k : k + _BLOCK]))
+            k = min(k + _BLOCK, len(data))
+    except zlib.error:
+        return None
+    return (b"".join(parts), k - len(unzip.unused_data)) if unzip.eof else None
+
+
+def members(data: bytes, at: int = 0) -> Iterator[tuple[int, bytes | None, int]]:
+    """(offset, content, end) of each gzip member from ``at`` on; content None for a gap up to the next valid member."""
+    view, bad = memoryview(data), None
     while at < len(data):
-        content, size = None, 0
-        if data.startswith(_MEMBER, at):
-            unzip = zlib.decompressobj(31)
-            try:
-                content = unzip.decompress(data[at:])
-                size = len(data) - at - len(unzip.unused_data)
-                content = content if unzip.eof else None
-            except zlib.error:
-                content = None
-        if content is not None:
+        got = _member(view, at) if data.startswith(_MEMBER, at) else None
+        if got:
             if bad is not None:
                 yield bad, None, at
                 bad = None
-            yield at, content, at + size
-            at += size
+            yield at, *got
+            at = got[1]
         else:
             bad = at if bad is None else bad
             after = data.find(_MEMBER, at + 1)
@@ -128,6 +136,21 @@ def members(data: bytes) -> Iterator[tuple[int, bytes | None, int]]:
         yield bad, None, len(data)
 
 
+_DIGEST_BYTES = {"md5": 16, "sha1": 20, "sha224": 28, "sha256": 32, "sha384": 48, "sha512": 64}
+
+
+def _agrees(stated: str, payload: bytes) -> bool | None:
+    """Whether a stated digest, in hexadecimal or base32 of either case, is the payload's; None if there is none or its algorithm is unknown."""
+    name, colon, value = stated.rpartition(":")
+    name = name.lower().replace("-", "") if colon else "sha1"
+    if not value or name not in _DIGEST_BYTES:
+        return None
+    own = hashlib.new(name, payload, usedforsecurity=False).digest()
+    if len(value) == 2 * len(own):
+        return value.lower() == own.hex()
+    return value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
 def _record(data: bytes, at: int) -> tuple[dict, int] | str:
     """The record that begins at ``at`` and where it ends, or what is wrong with it."""
     line = _VERSION.match(data, at)
@@ -152,19 +175,20 @@ def _record(data: bytes, at: int) -> tuple[dict, int] | str:
         return "wrong length"
     kind = fields.get(b"warc-type", b"").decode("utf-8", "replace")
     payload = block.partition(b"\r\n\r\n")[2] if fields.get(b"content-type", b"").startswith(b"application/http") else block
-    stated = fields.get(b"warc-payload-digest", b"").decode("ascii", "replace").removeprefix("sha1:")
+    stated, verified = fields.get(b"warc-payload-digest", b"").decode("ascii", "replace"), None
     if kind != "revisit":
-        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        if stated and stated != digest:
+        digest = base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
+        verified = _agrees(stated, payload)
+        if verified is False:
             return "wrong digest"
         told = len(payload)
     else:
-        digest, told = stated, fields.get(b"warc-payload-length", b"")
+        digest, told = stated.removeprefix("sha1:"), fields.get(b"warc-payload-length", b"")
         told = int(told) if told.isdigit() else None
     names = {k: fields.get(k.encode(), b"").decode("utf-8", "replace") or None for k in ("warc-record-id", "warc-refers-to", "warc-target-uri")}
     return {
         "record_id": names["warc-record-id"], "record_type": kind, "url": names["warc-target-uri"], "refers_to": names["warc-refers-to"],
-        "payload_bytes": told, "payload_digest": digest, "payload": payload if kind != "revisit" else None,
+        "payload_bytes": told, "payload_digest": digest, "payload": payload if kind != "revisit" else None, "verified": verified,
     }, end + 4
 
 
@@ -185,7 +209,7 @@ def records(data: bytes) -> Iterator[dict]:
             after = _VERSION.search(data, at + 1)
             # A member may follow plain damage.
             member = data.find(_MEMBER, at + 1)
-            if member >= 0 and (not after or member < after.start()) and any(c is not None for _, c, _ in members(data[member:])):
+            if member >= 0 and (not after or member < after.start()) and any(c is not None for _, c, _ in members(data, member)):
                 yield {"at": at, "end": member, "error": got}
                 for r in records(data[member:]):
                     yield r | {"at": r["at"] + member, "end": r["end"] + member}
@@ -200,17 +224,19 @@ def records(data: bytes) -> Iterator[dict]:
 
 SCHEMA = (
     "path string, offset long, end_offset long, error string, record_id string, record_type string, url string, refers_to string, "
-    "payload_bytes long, payload_digest string, payload binary"
+    "payload_bytes long, payload_digest string, verified boolean, payload binary"
 )
 _KIND = pa.schema(
     [("path", pa.string()), ("offset", pa.int64()), ("end_offset", pa.int64()), ("error", pa.string())]
     + [(n, pa.string()) for n in ("record_id", "record_type", "url", "refers_to")]
-    + [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
+    + [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("verified", pa.bool_()), ("payload", pa.binary())]
 )
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records and quarantined gaps of all archives under ``path``, one row each; a gap has an error and no record.
+def read_archives(spark: SparkSession, path: str, payload: bool = True, names: str = "*") -> DataFrame:
+    """Records and quarantined gaps of all archives under ``path`` whose file names match ``names``, one row each; a gap has an error and no record.
+
+    A stated digest is checked by its own algorithm; ``verified`` is null where there is none or the algorithm is unknown.
 
     A revisit has the length and digest of the payload it stands for, and no payload.  ``payload=False`` leaves the
     payloads out.  An empty archive gives no rows.  A task holds one archive and its records at a time.
@@ -230,7 +256,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _KIND)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path)
     return files.select("path", "content").mapInArrow(read, SCHEMA)
 
 

@@ -10,11 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+
+from tidelearn.llm.memory import once
 
 #: Bytes of text worked on at a time; a longer text makes a run of its own.
 CHUNK = 4 << 20
 #: Bytes hashed at a time within a run.
 BLOCK = 1 << 18
+#: Words of at least so many bytes are hashed one by one: a polynomial modulo 2^64 cannot tell some long patterns apart.
+LONG = 32
 
 _RANDOM = np.random.default_rng(20240229)
 _ODD = (_RANDOM.integers(0, 1 << 63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -78,21 +83,19 @@ def spans(data: np.ndarray, bounds: np.ndarray, parts: np.ndarray = SPACE) -> tu
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-_powers: list[np.ndarray] = []
-
-
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
+    powers: list[np.ndarray] = once("powers", list)
+    if not powers or len(powers[0]) < n:
         up = np.full(max(n, BLOCK + 4096), _BASE, np.uint64)
         down = np.full(len(up), _INVERSE, np.uint64)
         up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
+        powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    return powers[0], powers[1]
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = EXACT) -> np.ndarray:
-    """A 64-bit hash of each span (polynomial over byte values, then mixed)."""
+    """A 64-bit hash of each span (polynomial over byte values, then mixed; long spans by a library hash)."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -105,7 +108,12 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.nda
         s, e = starts[i:j] - base, ends[i:j] - base
         out[i:j] = (prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64) * _COUNT
         i = j
-    return mix(out)
+    out = mix(out)
+    lower = table is LOWER
+    for k in np.flatnonzero(ends - starts >= LONG).tolist():
+        word = data[starts[k] : ends[k]].tobytes()
+        out[k] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+    return out
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:
