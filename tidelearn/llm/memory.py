@@ -51,6 +51,13 @@ def few_rows(spark: SparkSession, rows: int = ROWS) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def stay_few(spark: SparkSession, rows: int = ROWS) -> None:
+    """Batches of at most ``rows`` rows from now on, for a table that is handed out before it is computed."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(rows, before) if before > 0 else rows))
+
+
 def send(spark: SparkSession, value):
     """A broadcast that the innermost ``released`` block destroys at its end."""
     sent = spark.sparkContext.broadcast(value)

@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.functions import arrow_udf
 
 from tidelearn.llm import words
-from tidelearn.llm.memory import few_rows, give_back
+from tidelearn.llm.memory import give_back, stay_few
 from tidelearn.llm.registry import register, table
-from tidelearn.session import materialize
 
 #: Labelled rows that a model is fitted on, at most; the rows with the least hash of their id.
 SAMPLE_ROWS = 20_000
@@ -243,7 +242,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; fitted on the labelled rows among ``docs``."""
-    with few_rows(spark):
-        model = fit(docs, table(spark, sf_dir, "labels"))
-        score = scorer(model)(F.col("text"))
-        return materialize(docs.where(score >= THRESHOLD), "quality-kept")
+    stay_few(spark)
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    score = scorer(model)(F.col("text"))
+    return docs.where(score >= THRESHOLD)

@@ -18,9 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tidelearn.llm import words
-from tidelearn.llm.memory import few_rows, give_back
+from tidelearn.llm.memory import give_back, stay_few
 from tidelearn.llm.registry import register, table
-from tidelearn.session import materialize
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -162,7 +161,7 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    with few_rows(spark):
-        measured = measurer()(F.col("text"))
-        kept = docs.withColumn("__rules", measured).where(~base_failed("__rules.") & F.col("__rules.in_bands"))
-        return materialize(kept.drop("__rules"), "rules-kept")
+    stay_few(spark)
+    measured = measurer()(F.col("text"))
+    kept = docs.withColumn("__rules", measured).where(~base_failed("__rules.") & F.col("__rules.in_bands"))
+    return kept.drop("__rules")
