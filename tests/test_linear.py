@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelearn.operators import hinge
+from tidelearn.operators.sparse import sparse_moments, sparse_ridge
 from tidelearn.params import LassoParams, RidgeParams, SgdParams, SvmParams
 from tidelearn.plans import sgd as sgd_module, svm as svm_module
 from tidelearn.plans.learner import Chain, RowFunction, Stage, Standardize
@@ -258,3 +259,47 @@ def test_chain_passes_parameters_on(spark):
         chain.fit(rows, nothing=1)
     with pytest.raises(TypeError, match="no parameter"):
         Chain([Standardize(3)]).transform(rows, [Standardize(3).fit(rows)], nothing=1)
+
+
+def test_sparse_moments_equal_dense(spark):
+    rng = np.random.default_rng(8)
+    d, rows = 6, []
+    for k in range(60):
+        at = sorted(rng.choice(d, rng.integers(0, 4), replace=False).tolist())
+        rows.append((k % 2, [int(i) for i in at], [float(v) for v in rng.normal(size=len(at))], None if k % 9 == 4 else float(rng.normal())))
+    # A repeated index adds up, nulls and zeros are not set, a NaN label is none.
+    rows += [(0, [2, 2, 4], [1.0, 2.0, 0.0], 1.0), (1, [1, None], [1.5, 2.0], 2.0), (1, None, None, 3.0), (0, [0], [1.0], float("nan"))]
+    frame_ = spark.createDataFrame(rows, "model_id int, indices array<int>, values array<double>, label double")
+    got = {(r.model_id, r.i, r.j): r.g for r in sparse_moments(frame_, d, ["model_id"]).collect()}
+    for key in (0, 1):
+        x, y = [], []
+        for m, at, v, label in rows:
+            if m == key and label is not None and label == label:
+                row = np.zeros(d)
+                for i, u in zip(at or [], v or []):
+                    if i is not None:
+                        row[i] += u
+                x.append(row)
+                y.append(label)
+        x, y = np.array(x), np.array(y)
+        gram = x.T @ x
+        assert all(np.isclose(got.get((key, i, j), 0.0), gram[i, j]) for i in range(d) for j in range(i, d))
+        assert np.allclose([got.get((key, i, d), 0.0) for i in range(d)], x.T @ y) and got[key, d, d] == len(y)
+        want = np.linalg.solve(gram + 0.5 * np.eye(d), x.T @ y)
+        w = {r.i: r.w for r in sparse_ridge(sparse_moments(frame_, d, ["model_id"]), d, ["model_id"], penalty=0.5).where(F.col("model_id") == key).collect()}
+        assert np.allclose([w.get(i, 0.0) for i in range(d)], want, atol=1e-6)
+    assert sparse_moments(frame_.where("false"), d, ["model_id"]).count() == 0
+
+
+def test_sparse_ridge_of_many_features(spark):
+    rng = np.random.default_rng(9)
+    d, n = 10_000, 400
+    at = [sorted(rng.choice(d, 3, replace=False).tolist()) for _ in range(n)]
+    x = np.zeros((n, d))
+    for k, i in enumerate(at):
+        x[k, i] = [1.0, -2.0, 0.5]
+    y = rng.normal(size=n)
+    rows = spark.createDataFrame([(0, a, [1.0, -2.0, 0.5], float(v)) for a, v in zip(at, y)], "model_id int, indices array<int>, values array<double>, label double")
+    got = {r.i: r.w for r in sparse_ridge(sparse_moments(rows, d, ["model_id"]), d, ["model_id"]).collect()}
+    want = x.T @ np.linalg.solve(x @ x.T + np.eye(n), y)
+    assert len(got) == len({i for a in at for i in a}) and all(np.isclose(w, want[i], atol=1e-6) for i, w in got.items())

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from tidelearn.functions.noise import normal_pair, uniform
-from tidelearn.operators import moments as mo, routing
+from tidelearn.operators import metrics, moments as mo, routing, windows
 from tidelearn.operators.prefix import running_total
 from tidelearn.operators.windows import count_windows, drop_tail, labelled_windows, number_rows
 
@@ -145,3 +145,21 @@ def test_noise_is_repeatable_and_normal(spark):
     s = df.agg(F.avg("a"), F.stddev("a"), F.corr("a", "b"), F.avg("u")).first()
     assert abs(s[0]) < 0.03 and abs(s[1] - 1) < 0.03 and abs(s[2]) < 0.03 and abs(s[3] - 0.5) < 0.01
     assert df.repartition(9).exceptAll(df).count() == 0
+
+
+def test_bag_join_pairs_equal_values_one_to_one(spark):
+    pred = spark.createDataFrame([(1.5, i, float(i)) for i in range(5)] + [(None, 9, 0.0), (2.0, 1, 7.0), (float("nan"), 1, 1.0)], "v double, a int, prediction double").repartition(3)
+    truth = spark.createDataFrame([(1.5, i, -float(i)) for i in range(3)] + [(None, 1, 5.0), (3.0, 1, 8.0), (float("nan"), 4, 2.0), (float("nan"), 5, 3.0)], "v double, b int, truth double").repartition(2)
+    got = metrics.bag_join(pred, truth, "v", ["a"], ["b"]).collect()
+    both = sorted((repr(r.v), r.occurrence, r.prediction, r.truth) for r in got if r.side == "both")
+    assert both == [("1.5", 0, 0.0, 0.0), ("1.5", 1, 1.0, -1.0), ("1.5", 2, 2.0, -2.0), ("None", 0, 0.0, 5.0), ("nan", 0, 1.0, 2.0)]
+    assert sorted((r.v, r.prediction) for r in got if r.side == "pred") == [(1.5, 3.0), (1.5, 4.0), (2.0, 7.0)]
+    assert sorted(r.truth for r in got if r.side == "truth") == [3.0, 8.0]
+    assert metrics.bag_join(pred.where("false"), truth, "v", ["a"], ["b"]).count() == 7
+
+
+def test_occurrences_of_a_hot_value(spark):
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, 0, id) v", "id o").repartition(7)
+    got = windows.occurrences(rows, ["v"], ["o"]).collect()
+    hot = sorted((r.o, r.occurrence) for r in got if r.v == 0)
+    assert [k for _, k in hot] == list(range(len(hot))) and len(got) == 5000 and all(r.occurrence == 0 for r in got if r.v)

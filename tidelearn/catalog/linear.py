@@ -11,6 +11,7 @@ from tidelearn.functions.vectors import clamp_at_zero
 from tidelearn.operators import metrics
 from tidelearn.operators.hinge import sign_of, decision, svm_step
 from tidelearn.operators.routing import unlabel, with_model
+from tidelearn.operators.sparse import sparse_moments, sparse_ridge
 from tidelearn.operators.windows import count_windows
 from tidelearn.params import LassoParams, RidgeParams, SgdParams, SvmParams
 from tidelearn.plans.learner import Chain, Standardize
@@ -61,6 +62,13 @@ def ridge_fit(spark, sf):
     return flat(_ridge_versions(spark, sf), "version", "n")
 
 
+@register("ridge_override", f"""{RIDGE_FIT.replace("// 1000 AS BIGINT", "// 2500 AS BIGINT").replace("1e0)", "4e0)")}
+SELECT version, n, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM fit""")
+def ridge_override(spark, sf):
+    """Parameters given with the call hold for the call."""
+    return flat(RIDGE.fit(ord_rows(spark, sf), window=2500, penalty=4.0), "version", "n")
+
+
 AS_OF = """
 first AS (SELECT min(version) AS v0 FROM fit WHERE n > {warm}),
 wait AS (SELECT seq, window_id, x1, x2, CASE WHEN v0 IS NOT NULL THEN greatest(window_id - 1, v0) END AS version
@@ -289,3 +297,51 @@ def sgd_ridge(spark, sf):
 @register("sgd_lasso", _sgd_sql("sign(u1) * greatest(abs(u1) - rate * 0.1e0, 0)", "sign(u2) * greatest(abs(u2) - rate * 0.1e0, 0)"))
 def sgd_lasso(spark, sf):
     return _sgd(spark, sf, "l1")
+
+
+# Line items as sparse rows of a million features, three of them set: supplier, line number, quantity.
+SPARSE_D, SPARSE_AT = 1 << 20, 1 << 19
+SPARSE = f"""
+li AS (SELECT row_number() OVER () AS id, l_returnflag AS model_id, l_extendedprice / 100000e0 AS y,
+         [CAST(l_suppkey AS BIGINT), {SPARSE_AT} + l_linenumber, {SPARSE_AT + 16} + CAST(l_quantity AS BIGINT)] AS ix FROM lineitem),
+e AS MATERIALIZED (SELECT id, model_id, y, unnest(ix) AS i FROM li),
+inner_cells AS (SELECT a.model_id, a.i, b.i AS j, CAST(count(*) AS DOUBLE) AS g FROM e a JOIN e b ON a.id = b.id AND a.i <= b.i GROUP BY ALL),
+right_side AS (SELECT model_id, i, sum(y) AS g FROM e GROUP BY ALL)"""
+
+
+def _sparse_cells(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    at = F.array(F.col("l_suppkey").cast("long"), (F.lit(SPARSE_AT) + F.col("l_linenumber")).cast("long"), F.lit(SPARSE_AT + 16) + F.col("l_quantity").cast("long"))
+    rows = lines.select(F.col("l_returnflag").alias("model_id"), (F.col("l_extendedprice") / 100000.0).alias("label"), at.alias("indices"), F.array_repeat(F.lit(1.0), 3).alias("values"))
+    return sparse_moments(rows, SPARSE_D, ["model_id"])
+
+
+@register("sparse_moments", f"""
+WITH {SPARSE}
+SELECT model_id, i, j, round(g, 8) AS g FROM inner_cells UNION ALL SELECT model_id, i, {SPARSE_D}, round(g, 8) FROM right_side
+UNION ALL SELECT model_id, {SPARSE_D}, {SPARSE_D}, CAST(count(*) AS DOUBLE) FROM li GROUP BY 1""")
+def sparse_moments_query(spark, sf):
+    return rounded(_sparse_cells(spark, sf), 8, "g")
+
+
+def _gradients(steps: int) -> str:
+    """Conjugate gradients with a diagonal preconditioner, one pair of tables per step."""
+    parts = [
+        SPARSE,
+        "matrix AS MATERIALIZED (SELECT model_id, i, j, g FROM inner_cells UNION ALL SELECT model_id, j, i, g FROM inner_cells WHERE i < j)",
+        "v0 AS MATERIALIZED (SELECT d.model_id, d.i, d.g + 1 AS m, 0e0 AS w, r.g AS r, r.g / (d.g + 1) AS p FROM inner_cells d JOIN right_side r ON r.model_id = d.model_id AND r.i = d.i WHERE d.i = d.j)",
+    ]
+    for k in range(steps):
+        parts += [
+            f"q{k} AS (SELECT v.model_id, v.i, v.m, v.w, v.r, v.p, s.q + v.p AS q FROM v{k} v JOIN (SELECT m.model_id, m.i, sum(m.g * v.p) AS q FROM matrix m JOIN v{k} v ON v.model_id = m.model_id AND v.i = m.j GROUP BY ALL) s ON s.model_id = v.model_id AND s.i = v.i)",
+            f"a{k} AS MATERIALIZED (SELECT *, sum(r * r / m) OVER (PARTITION BY model_id) AS rz, sum(p * q) OVER (PARTITION BY model_id) AS pq FROM q{k})",
+            f"u{k} AS (SELECT model_id, i, m, w + rz / pq * p AS w, r - rz / pq * q AS r, p, rz FROM a{k})",
+            f"v{k + 1} AS MATERIALIZED (SELECT model_id, i, m, w, r, r / m + sum(r * r / m) OVER (PARTITION BY model_id) / rz * p AS p FROM u{k})",
+        ]
+    return "WITH " + ",\n".join(parts) + f" SELECT model_id, i, round(w, 5) AS w FROM v{steps}"
+
+
+@register("sparse_ridge", _gradients(4))
+def sparse_ridge_query(spark, sf):
+    """Four steps towards the ridge weights of three models over a million features."""
+    return rounded(sparse_ridge(_sparse_cells(spark, sf), SPARSE_D, ["model_id"], most=4, tolerance=0.0), 5, "w")

@@ -142,6 +142,35 @@ def gmm_predict(spark, sf):
     return matcher.predict(rows).select(F.col("seq").alias("event_id"), "prediction")
 
 
+ASOF = MixtureParams(dimension=2, window=20, warmup=30, sentinel=3.0, max_components=6)
+
+
+# Version v of a user's model has all means moved by v hundredths and stands for 20 (v + 1) rows; errors wait for a label.
+@register("gmm_asof", f"""
+WITH {COMP},
+win AS (
+  SELECT *, (count(y) OVER (PARTITION BY model_id ORDER BY event_id) - CASE WHEN y IS NULL THEN 0 ELSE 1 END) // 20 AS window_id,
+         count(y) OVER (PARTITION BY model_id) // 20 AS newest
+  FROM (SELECT *, CASE WHEN label <> 3 THEN label END AS y FROM ev)),
+wait AS (SELECT event_id, model_id, x1, x2, CASE WHEN newest >= 1 THEN greatest(window_id - 1, 1) END AS version FROM win WHERE y IS NULL),
+near AS (
+  SELECT event_id, comp.label, id, exp(-0.5e0 * (s22 * g1 ** 2 - 2 * s12 * g1 * g2 + s11 * g2 ** 2) / (s11 * s22 - s12 * s12)) / (2 * pi() * sqrt(s11 * s22 - s12 * s12)) AS dens
+  FROM wait JOIN comp ON comp.model_id = wait.model_id AND comp.label <> 0,
+       LATERAL (SELECT x1 - mu1 - version / 100e0 AS g1, x2 - mu2 - version / 100e0 AS g2) t WHERE version IS NOT NULL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dens DESC, id) AS r FROM near) WHERE r = 1)
+SELECT event_id, CAST(version AS BIGINT) AS version, CASE WHEN version IS NOT NULL THEN CAST(coalesce(best.label, -1) AS DOUBLE) END AS prediction
+FROM wait LEFT JOIN best USING (event_id)""")
+def gmm_asof(spark, sf):
+    """Unlabelled events scored with the version of their time, all versions in one job."""
+    rows = event_rows(spark, sf).drop("kind")
+    newest = rows.groupBy("model_id").agg(F.expr("count_if(label <> 3) div 20").alias("newest"))
+    moved = F.transform("comps", lambda c: c.withField("mu", F.transform(c["mu"], lambda m: m + F.col("version") / 100.0)))
+    versions = state(spark, sf).join(newest, "model_id").withColumn("version", F.explode(F.sequence(F.lit(0).cast("long"), F.col("newest"))))
+    versions = versions.select("model_id", "version", (20 * (F.col("version") + 1)).alias("n"), moved.alias("comps"))
+    scored = GrowingMixture(ASOF).predict(rows, materialize(versions, "mixture-asof"))
+    return scored.select(F.col("seq").alias("event_id"), "version", "prediction")
+
+
 def _after(spark, sf, *steps):
     rows, matcher = rows_and_matcher(spark, sf)
     return mx.advance(matcher.state, matcher.window_stats(rows), PARAMS, steps)

@@ -13,6 +13,7 @@ from tidelearn.operators import metrics, routing
 from tidelearn.operators.moments import cell_names, merge_by_count as merge, moments, moments_long
 from tidelearn.operators.prefix import running_total
 from tidelearn.operators.windows import count_windows, drop_tail
+from tidelearn.plans.learner import RowFunction
 from tidelearn.plans.synth import synth_classes as make_classes, synth_regression as make_regression
 from tidelearn.streaming.store import model_snapshots as snapshots
 
@@ -280,3 +281,57 @@ SELECT seq, CASE WHEN c <> f THEN 1e0 ELSE 0e0 END AS label,
 FROM z""")
 def synth_classes(spark, sf):
     return _spread(make_classes(ord_rows(spark, sf).select("seq"), 7, seed=5), 7)
+
+
+# Truth and predictions know each other by the price alone, which many lines share; returned lines are predicted, the others not.
+BAG = """
+WITH t AS (SELECT l_extendedprice AS price, CASE WHEN l_discount > 0.05 THEN 1e0 ELSE -1e0 END AS truth,
+             row_number() OVER (PARTITION BY l_extendedprice ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem),
+p AS (SELECT l_extendedprice AS price, CASE WHEN l_tax > 0.03 THEN 1e0 ELSE -1e0 END AS prediction,
+        row_number() OVER (PARTITION BY l_extendedprice ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem WHERE l_returnflag <> 'N')"""
+
+
+def _bag(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    price = F.col("l_extendedprice").alias("price")
+    truth = lines.select(price, F.when(F.col("l_discount") > 0.05, 1.0).otherwise(-1.0).alias("truth"), F.col("l_orderkey").alias("to"), F.col("l_linenumber").alias("tl"))
+    pred = lines.where("l_returnflag <> 'N'").select(price, F.when(F.col("l_tax") > 0.03, 1.0).otherwise(-1.0).alias("prediction"), F.col("l_orderkey").alias("po"), F.col("l_linenumber").alias("pl"))
+    return pred, truth
+
+
+@register("accuracy_bag_join", f"""{BAG}
+SELECT count(*) FILTER (p.k IS NOT NULL AND t.k IS NOT NULL) AS n, count(*) FILTER (prediction = truth) AS n_right,
+  count(*) FILTER (p.k IS NULL) AS truth_only, count(*) FILTER (t.k IS NULL) AS pred_only
+FROM p FULL JOIN t ON p.price = t.price AND p.k = t.k""")
+def accuracy_bag_join(spark, sf):
+    pred, truth = _bag(spark, sf)
+    joined = metrics.bag_join(pred, truth, "price", ["po", "pl"], ["to", "tl"])
+    return joined.agg(
+        F.count_if(F.col("side") == "both").alias("n"), F.count_if(F.col("prediction") == F.col("truth")).alias("n_right"),
+        F.count_if(F.col("side") == "truth").alias("truth_only"), F.count_if(F.col("side") == "pred").alias("pred_only"),
+    )
+
+
+@register("truth_duplicates", f"{BAG} SELECT price, count(*) AS n FROM t GROUP BY price HAVING count(*) > 1")
+def truth_duplicates(spark, sf):
+    """Values that a join on the value alone would match more than once."""
+    return metrics.duplicate_keys(_bag(spark, sf)[1], "price")
+
+
+# Vectors of one, two or three numbers by status; a learner of width two rejects the others.
+@register("width_check", f"""
+WITH {ORD}
+SELECT label <> -9e0 AS good, count(*) AS n, round(sum(x1), 4) AS total FROM ord GROUP BY 1""")
+def width_check(spark, sf):
+    x, label = F.col("features"), F.col("label")
+    width = F.when(label == SENTINEL, F.slice(x, 1, 1)).otherwise(x)
+    good, bad = routing.of_width(ord_rows(spark, sf).withColumn("features", width), 2)
+    both = good.select(F.lit(True).alias("good"), F.col("features")[0].alias("x1")).union(bad.select(F.lit(False), F.col("features")[0]))
+    return both.groupBy("good").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x1"), 4).alias("total"))
+
+
+@register("row_function", f"WITH {ORD} SELECT seq, round(0.75e0 * x1 - 0.5e0 * x2 + 0.125e0, 9) AS prediction FROM ord")
+def row_function(spark, sf):
+    """A user's function on batches of vectors with its own model."""
+    step = RowFunction(lambda model, x: x @ model["weights"] + model["intercept"], {"weights": [0.75, -0.5], "intercept": 0.125})
+    return rounded(step.predict(ord_rows(spark, sf)).select("seq", "prediction"), 9, "prediction")

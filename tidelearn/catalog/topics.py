@@ -286,7 +286,7 @@ def frequent(spark, sf):
 
 @register("batch_lda")
 def batch_lda(spark, sf):
-    counts = materialize(token_counts(spark, sf), "token-counts")
+    counts = token_counts(spark, sf)
     # At most 1,000 words.
     vocab = spark.createDataFrame(list(enumerate(frequent(spark, sf))), "word_id int, word string")
     topics = baselines.batch_lda(materialize(tx.encode(counts, vocab), "counts"), vocab)
@@ -295,7 +295,7 @@ def batch_lda(spark, sf):
 
 @register("batch_nmf")
 def batch_nmf(spark, sf):
-    counts, total = materialize(token_counts(spark, sf), "token-counts"), doc_total(spark, sf)
+    counts, total = token_counts(spark, sf), doc_total(spark, sf)
     words = materialize(tx.vocabulary_by_df(counts, total), "frequent-words")
     vocab = [r["word"] for r in words.orderBy("word").collect()]
     topics = baselines.batch_nmf(tx.tfidf(counts, words, total), vocab)

@@ -8,6 +8,7 @@ from tidelearn.catalog.registry import register, spread_table, table
 from tidelearn.catalog.rows import rounded
 from tidelearn.operators import text as tx
 from tidelearn.operators.routing import sample_with_replacement
+from tidelearn.session import materialize
 from tidelearn.sources import text as src
 
 # Blank characters around a word, and word characters, in SQL.
@@ -144,7 +145,7 @@ def empty_docs(spark, sf):
 
 BY_DF = f"""
 {TOKENS},
-counts AS (SELECT doc_id, word, count(*) AS cnt FROM tok GROUP BY 1, 2),
+counts AS (SELECT doc_id, word, count(*) AS cnt FROM tok WHERE word NOT IN ({', '.join(repr(w) for w in STOP)}) GROUP BY 1, 2),
 total AS (SELECT count(*) AS n_docs FROM documents),
 kept AS (
   SELECT word, count(*) AS df, CAST(sum(cnt) AS BIGINT) AS tf FROM counts GROUP BY word
@@ -153,7 +154,9 @@ kept AS (
 
 
 def token_counts(spark, sf):
-    return tx.word_counts(documents(spark, sf), tx.word_tokens(F.col("text")))
+    """Words of each document without stop words; texts are cut once, the counts are written for those who need them twice."""
+    counts = tx.drop_stop_words(tx.word_counts(documents(spark, sf), tx.word_tokens(F.col("text"))), STOP)
+    return materialize(counts, "token-counts")
 
 
 def by_df(spark, sf):

@@ -113,7 +113,8 @@ class Matcher:
     def __init__(self, state: DataFrame, params, limit: int = SENT_CELLS):
         self.state, self.p = state, params
         d = params.dimension
-        held = state.select(F.coalesce(F.sum(F.size("comps")), F.lit(0))).first()[0]
+        # Tables are as wide as the largest model.
+        held = state.select(F.coalesce(F.count(F.lit(1)) * F.max(F.size("comps")), F.lit(0))).first()[0]
         self.sent = held * (d * d + d + 4) <= limit
         if self.sent:
             rows = state.select(*KEY, "comps").collect()

@@ -78,3 +78,21 @@ def labelled_windows(
     """
     marked = df.withColumn("_labelled", F.col(label).isNotNull())
     return count_windows(marked, size, order, keys, "_labelled", name=name).drop("_labelled")
+
+
+def occurrences(df: DataFrame, keys: list[str], order: list[str], name: str = "occurrence") -> DataFrame:
+    """Number the rows of each key value from 0 in an order, however many rows share a value.
+
+    Rows are cut into ranges of (keys, order), sorted where they are and written; a row's number is its place in
+    its range after the rows of its value in the ranges before.  Nulls are one value and come first; rows that agree in all of ``order`` are numbered as they come.
+    """
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id())
+    placed = materialize(placed.withColumn("_part", F.expr("shiftright(_row, 33)")), "occurrences")
+    counts = placed.groupBy(*keys, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_of"), "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    match = F.col("_part") == F.col("_of")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return placed.join(starts, match).select(*df.columns, (F.col("_before") + F.col("_row") - F.col("_first")).alias(name))

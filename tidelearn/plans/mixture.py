@@ -76,18 +76,19 @@ class GrowingMixture(Stage):
     def predict(self, rows: DataFrame, model: DataFrame | None = None, **override) -> DataFrame:
         """Score unlabelled rows of a bounded table with the model of their time.
 
-        A row in window t uses version t-1, or the first later one of more than ``warmup`` rows.  Each
-        version scores its own rows, so one version's components are at hand at a time.  Rows of models that never
-        warm up have a null version and prediction.
+        A row in window t uses version t-1, or the first later one of more than ``warmup`` rows.  A model's version counts
+        as a model of its own, so one job scores all versions: their components are sent to the tasks if they are few enough, else joined by
+        model and version.  Rows of models that never warm up have a null version and prediction.
         """
         me = self.with_params(**override)
         waiting = split_labelled(me.windowed(rows))[1]
         first = me.ready(model).groupBy(*KEY).agg(F.min("version").alias("_first"))
         at = F.when(F.col("_first").isNotNull(), F.greatest(F.col("window_id") - 1, F.col("_first")))
         placed = materialize(waiting.join(first, KEY, "left").withColumn("version", at).drop("_first"), "mixture-waiting")
-        out = placed.filter("version is null").withColumn("prediction", F.lit(None).cast("double"))
-        for r in placed.select("version").filter("version is not null").distinct().orderBy("version").toLocalIterator():
-            own = model.filter(F.col("version") == r["version"]).select(*KEY, "comps")
-            scored = me.score(placed.filter(F.col("version") == r["version"]), own)
-            out = out.unionByName(scored.select(*out.columns))
-        return out
+        named = F.concat_ws("/", F.col("model_id").cast("string"), F.col("version").cast("string"))
+        asked = placed.filter("version is not null").withColumns({"_model": F.col("model_id"), "model_id": named})
+        used = placed.filter("version is not null").select(*KEY, "version").distinct()
+        own = materialize(model.select(*KEY, "version", "comps").join(used, [*KEY, "version"]).select(named.alias("model_id"), "comps"), "mixture-versions")
+        scored = me.score(asked, own).withColumn("model_id", F.col("_model"))
+        none = placed.filter("version is null").withColumn("prediction", F.lit(None).cast("double"))
+        return none.unionByName(scored.select(*none.columns))
