@@ -373,9 +373,12 @@ def _tables(rows: list, d: int) -> dict:
 def _fit(t: dict, model: pd.Series, x: pd.Series, d: int):
     """Model place, distances and densities (rows x components) of a batch."""
     at = t["index"].get_indexer(model)
+    return _fit_at(t, at, np.stack(x.to_numpy()) if len(at) else np.empty((0, d)), d)
+
+
+def _fit_at(t: dict, at: np.ndarray, points: np.ndarray, d: int):
     most = t["valid"].shape[1]
     dist, n = np.empty((len(at), most)), len(at)
-    points = np.stack(x.to_numpy()) if n else np.empty((0, d))
     step = max(1, BATCH_CELLS // (most * d * d))
     for s in range(0, n, step):
         a = at[s : s + step]
@@ -385,6 +388,35 @@ def _fit(t: dict, model: pd.Series, x: pd.Series, d: int):
     return at, np.sqrt(np.maximum(dist, 0.0)), dens
 
 
+def window_entries(comps: list[dict], points: np.ndarray, label: np.ndarray, seq: np.ndarray, p) -> tuple[int, list[dict]]:
+    """What :meth:`Matcher.window_stats` tells of one model's window: rows of situation 3, and the entries."""
+    d = p.dimension
+    t = _tables([{"model_id": 0, "comps": comps}], d)
+    upper = np.triu_indices(d)
+    order = np.argsort(seq, kind="stable")
+    points, label, seq = points[order], label[order], seq[order]
+    at, dist, dens = _fit_at(t, np.zeros(len(points), dtype="int64"), points, d)
+    situation, best = _situations(t, at, dist, dens, label, p.gate)
+    entries = []
+    em = np.flatnonzero(situation == 3)
+    if len(em):
+        pull = np.where(t["valid"][0] & (dist[em] < p.gate), t["tau"][0] * dens[em], 0.0)
+        whole = pull.sum(axis=1)[:, None]
+        q = pull / np.where(whole > 0, whole, 1.0)
+        for j in np.flatnonzero(q.sum(axis=0)):
+            gap = points[em] - t["mu"][0, j]
+            qxx = (q[:, j, None] * (gap[:, upper[0]] * gap[:, upper[1]])).sum(axis=0)
+            entries.append({"situation": 3, "key": int(t["id"][0, j]), "q": float(q[:, j].sum()), "qx": q[:, j] @ points[em], "qxx": qxx})
+    key = np.where(situation == 1, t["id"][0, np.maximum(best, 0)], label)
+    for kind in (1, 2):
+        rest = np.flatnonzero(situation == kind)
+        first = rest[np.sort(np.unique(key[rest], return_index=True)[1])]
+        # Places of equal order go by their label.
+        first = first[np.lexsort((key[first], seq[first]))][: p.max_components if kind == 2 else None]
+        entries += [{"situation": kind, "key": int(key[i]), "first_label": int(label[i]), "x": points[i].tolist()} for i in first]
+    return len(em), entries
+
+
 def _situations(t: dict, at: np.ndarray, dist: np.ndarray, dens: np.ndarray, label: np.ndarray, gate: float):
     """Situation of each row and the place of its best component, -1 for none."""
     near = np.where(t["valid"][at] & (dist < gate), dens, -1.0)

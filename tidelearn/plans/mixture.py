@@ -8,10 +8,13 @@ from tidelearn.operators import mixture as mx
 from tidelearn.operators.routing import sound, split_labelled, unlabel
 from tidelearn.operators.windows import labelled_windows
 from tidelearn.params import MixtureParams
+from tidelearn.plans import blocks
 from tidelearn.plans.learner import KEY, Stage, keyed, need_columns
 from tidelearn.session import materialize, new_path
 from tidelearn.streaming.store import ModelStore
 
+# Rows of a model in a block of windows, at most.
+BLOCK_ROWS = 1 << 16
 ALL_STEPS = ("adopt", "em", "create", "merge", "split", "normalize")
 
 
@@ -54,19 +57,37 @@ class GrowingMixture(Stage):
         """Versions ``(model_id, version, n, comps)``, one per window."""
         me = self.with_params(**override)
         spark = rows.sparkSession
-        labelled = me.windowed(rows).filter(F.col("label").isNotNull())
-        windows = materialize(labelled, "mixture-windows", ["window_id"])
+        span = blocks.span(me.params.window, BLOCK_ROWS)
+        labelled = me.windowed(rows).filter(F.col("label").isNotNull()).withColumn("bucket", F.expr(f"window_id div {span}"))
+        windows = materialize(labelled, "mixture-windows", ["bucket"])
         last = windows.agg(F.max("window_id")).first()[0]
         if last is None:
             raise ValueError("no rows to fit")
         store = ModelStore(spark, new_path(spark, "mixture-models"))
         # A model starts from its first rows, which are in its first window.
-        state = materialize(me.start(windows.filter("window_id = 0")), "mixture-start")
-        for t in range(last + 1):
-            store.write(me.advance(windows.filter(F.col("window_id") == t), state), t)
-            state = store.read(t)
+        state = materialize(me.start(windows.filter("bucket = 0 and window_id = 0").drop("bucket")), "mixture-start")
+        models = state.count() if span > 1 else 0
+        for low in range(0, last + 1, span):
+            block, high = windows.filter(F.col("bucket") == low // span).drop("bucket"), min(low + span - 1, last)
+            if span > 1:
+                store.write_run(me.walk(block, state, low, high, models), low, high)
+            else:
+                store.write(me.advance(block, state), low)
+            state = store.read(high)
         return store.all()
 
+    def walk(self, rows: DataFrame, state: DataFrame, low: int, high: int, models: int) -> DataFrame:
+        """The versions of some small windows, one after the other where a model's rows lie; as :meth:`advance` for each."""
+        p = self.params
+
+        def step(model: dict, part) -> dict:
+            label, seq = (part.column(c).to_numpy() for c in ("label", "seq"))
+            m, entries = mx.window_entries(model["comps"], blocks.matrix(part.column("features"), p.dimension), label, seq, p)
+            return {"n": model["n"] + len(label), "comps": mx._moved(model["comps"], entries, m, p, ALL_STEPS)}
+
+        wanted = rows.select(*KEY, "window_id", "seq", F.col("label").cast("int").cast("long").alias("label"), "features")
+        return blocks.walk(wanted, state, "window_id", low, high, models, dict, step, mx.state_schema(state))
+
     def ready(self, state: DataFrame) -> DataFrame:
         return state.filter(F.col("n") > self.params.warmup)
 
