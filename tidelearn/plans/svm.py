@@ -14,6 +14,7 @@ from tidelearn.operators.moments import merge_by_count
 from tidelearn.operators.routing import sound, split_labelled, unlabel
 from tidelearn.operators.windows import labelled_windows
 from tidelearn.params import SvmParams
+from tidelearn.plans import blocks
 from tidelearn.plans.learner import KEY, Stage, keyed, need_columns
 from tidelearn.session import materialize, new_path
 from tidelearn.streaming.store import ModelStore
@@ -24,13 +25,17 @@ BUCKET = 64
 STATE = [*KEY, "n", "weights", "intercept"]
 
 
+def _points(part, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and signs of a window's rows."""
+    return blocks.matrix(part.column("features"), d), np.where(part.column("label").to_numpy() > 0, 1.0, -1.0)
+
+
 class OnlineSvm(Stage):
     """One gradient step per window, merged into the model by row count.
 
     A window depends on the model of the window before it, so windows run one
-    after the other.  Each is one distributed aggregate over all models; use
-    windows large enough to fill the cluster, or :meth:`fit_sharded` when small
-    windows are wanted on a large table.
+    after the other.  A large window is one distributed aggregate over all models, small ones go by blocks
+    (:mod:`tidelearn.plans.blocks`); :meth:`fit_sharded` trains shards side by side.
     """
 
     def __init__(self, params: SvmParams = SvmParams()):
@@ -104,19 +109,81 @@ class OnlineSvm(Stage):
         me = self.with_params(**override)
         spark = rows.sparkSession
         spread = F.pmod(F.xxhash64("seq"), F.lit(WINDOW_FILES))
-        labelled = me.windowed(rows).filter("label is not null").withColumn("bucket", F.expr(f"window_id div {BUCKET}"))
+        span = blocks.span(me.params.window, blocks.BLOCK_ROWS)
+        bucket = span if span > 1 else BUCKET
+        labelled = me.windowed(rows).filter("label is not null").withColumn("bucket", F.expr(f"window_id div {bucket}"))
         windows = materialize(labelled.repartition("bucket", spread).sortWithinPartitions("bucket", "window_id"), "svm-windows", ["bucket"])
         last = windows.agg(F.max("window_id")).first()[0]
         if last is None:
             raise ValueError("no rows to fit")
         columns, state = me.columns(), None
         store = ModelStore(spark, new_path(spark, "svm-models"))
+        if span > 1:
+            return me._by_blocks(windows, "window_id", span, last, me._window_step(), store)
         for t in range(last + 1):
             window = windows.filter((F.col("bucket") == t // BUCKET) & (F.col("window_id") == t)).drop("bucket")
             store.write(me.update(window, state, columns), t)
             state = store.read(t)
         return store.all()
 
+    def _by_blocks(self, rows: DataFrame, unit: str, span: int, last: int, step, store: ModelStore) -> DataFrame:
+        """All versions; ``rows`` lie by ``bucket``, the number of their block."""
+        p = self.params
+        kind, d = dict(rows.dtypes)["model_id"], p.dimension
+        first = {"n": 0, "weights": [p.start_weight] * d, "intercept": p.start_intercept}
+        state, models = None, rows.select(*KEY).distinct().count()
+        for low in range(0, last + 1, span):
+            high = min(low + span - 1, last)
+            block = rows.filter(F.col("bucket") == low // span).drop("bucket")
+            schema = f"model_id {kind}, n bigint, weights array<double>, intercept double"
+            store.write_run(blocks.walk(block, state, unit, low, high, models, lambda: dict(first), step, schema), low, high)
+            state = store.read(high)
+        return store.all()
+
+    def _window_step(self):
+        """One window of one model, as :meth:`advance`."""
+        p = self.params
+
+        def step(model: dict, part) -> dict:
+            x, y = _points(part, p.dimension)
+            w, b, m = np.array(model["weights"]), model["intercept"], len(y)
+            hit = y * (x @ w + b) < 1.0
+            total = model["n"] + m
+            share = m / total if p.merge == "count" else 1.0
+            w = w - p.step * share * (w - p.cost / m * (y[hit] @ x[hit]))
+            b = b + p.step_intercept * share * p.cost / m * float(y[hit].sum())
+            return {"n": total, "weights": w.tolist(), "intercept": b}
+
+        return step
+
+    def _round_step(self, steps: int):
+        """One round of one model: its shards side by side, as :meth:`local_models` and :meth:`merge_shards`."""
+        p = self.params
+
+        def step(model: dict, part) -> dict:
+            x, y = _points(part, p.dimension)
+            window = part.column("window_id").to_numpy()
+            shards, shard = np.unique(window // steps, return_inverse=True)
+            w, b = np.tile(model["weights"], (len(shards), 1)), np.full(len(shards), model["intercept"])
+            n = np.zeros(len(shards))
+            for k in range(steps):
+                own = np.flatnonzero(window % steps == k)
+                at, xs, ys = shard[own], x[own], y[own]
+                hit = ys * ((xs * w[at]).sum(axis=1) + b[at]) < 1.0
+                m = np.bincount(at, minlength=len(shards)).astype(float)
+                some = m > 0
+                pull = np.column_stack([np.bincount(at[hit], (ys * v)[hit], len(shards)) for v in (*xs.T, np.ones(len(ys)))])[some]
+                rate = (m / np.maximum(n + m, 1) if p.merge == "count" else np.ones(len(shards)))[some]
+                part_of = (p.cost / m[some])[:, None] * pull
+                w[some] -= p.step * rate[:, None] * (w[some] - part_of[:, :-1])
+                b[some] += p.step_intercept * rate * part_of[:, -1]
+                n += m
+            total = model["n"] + int(n.sum())
+            merged = (model["n"] * np.array([*model["weights"], model["intercept"]]) + n @ np.column_stack([w, b])) / total
+            return {"n": total, "weights": merged[:-1].tolist(), "intercept": float(merged[-1])}
+
+        return step
+
     def fit_sharded(self, rows: DataFrame, steps: int = 1, **override) -> DataFrame:
         """Local training per shard on a model that is one round old, shard models merged by count after each round.
 
@@ -133,13 +200,16 @@ class OnlineSvm(Stage):
             F.expr(f"window_id div {int(steps)}").alias("shard"), F.expr(f"window_id div {int(steps) * p.shards}").alias("round"),
         )
         # Rounds lie in order inside buckets of rounds, so a round reads the row groups of one folder.
-        bucketed = placed.withColumn("bucket", F.expr(f"round div {BUCKET}"))
+        span = blocks.span(p.window * p.shards * int(steps), blocks.BLOCK_ROWS)
+        bucketed = placed.withColumn("bucket", F.expr(f"round div {span if span > 1 else BUCKET}"))
         spread = F.pmod(F.xxhash64("seq"), F.lit(WINDOW_FILES))
         table = materialize(bucketed.repartition("bucket", spread).sortWithinPartitions("bucket", "round"), "svm-shards", ["bucket"])
         last = table.agg(F.max("round")).first()[0]
         if last is None:
             raise ValueError("no rows to fit")
         store = ModelStore(spark, new_path(spark, "svm-sharded"))
+        if span > 1:
+            return me._by_blocks(table.drop("shard"), "round", span, last, me._round_step(int(steps)), store)
         state = None
         for r in range(last + 1):
             batch = table.filter((F.col("bucket") == r // BUCKET) & (F.col("round") == r)).drop("round", "bucket")
