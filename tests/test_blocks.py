@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelearn.params import MixtureParams, SvmParams
-from tidelearn.plans import blocks, mixture
+from tidelearn.params import MixtureParams, SvmParams, TopicParams
+from tidelearn.plans import blocks, mixture, topics
 from tidelearn.plans.mixture import GrowingMixture
 from tidelearn.plans.svm import OnlineSvm
+from tidelearn.plans.topics import TopicModel
 
 
 def stream(spark, n=400, seed=3):
@@ -68,3 +69,27 @@ def test_svm_round_blocks(spark, monkeypatch, merge):
     rows = stream(spark).withColumn("label", F.col("label") - 2)
     few, many = both(spark, monkeypatch, blocks, "BLOCK_ROWS", lambda: learner.fit_sharded(rows, steps=2), 65)
     assert few < many
+
+
+@pytest.mark.parametrize("start", [False, True])
+def test_topic_blocks(spark, monkeypatch, start):
+    rng = np.random.default_rng(5)
+    cells = [(d, int(w), int(rng.integers(1, 4))) for d in range(95) for w in rng.choice(12, 4, replace=False) if d % 9]
+    counts = spark.createDataFrame(cells, "doc_id long, word_id long, cnt long").repartition(3)
+    vocab = spark.range(12).select(F.col("id").alias("word_id"))
+    model = TopicModel(TopicParams(topics=3))
+    first = model.start(vocab).withColumn("weight", F.col("weight") * 2) if start else None
+
+    def run():
+        return model.fit(counts, vocab, 7, first).selectExpr("struct(topic, word_id) AS model_id", "version", "n", "weight")
+
+    few, many = both(spark, monkeypatch, topics, "BLOCK_DOCS", run, 29)
+    assert few < many / 2
+
+
+def test_window_of_fewer_documents_than_tasks(spark):
+    counts = spark.createDataFrame([(1, 0, 2), (1, 1, 1)], "doc_id long, word_id long, cnt long")
+    model = TopicModel(TopicParams(topics=2))
+    first = model.start(spark.range(3).select(F.col("id").alias("word_id")))
+    sums = model.e_step(first).sstats(counts).groupBy("word_id").agg(F.round(F.sum("s"), 6)).collect()
+    assert {tuple(r) for r in sums} == {(0, 2.0), (1, 1.0)}

@@ -52,6 +52,11 @@ def pack_documents(counts: DataFrame) -> DataFrame:
     return placed.groupBy("doc_id").agg(F.collect_list("word_id").alias("ids"), F.collect_list("cnt").alias("cnts"))
 
 
+def unpack_documents(docs: DataFrame) -> DataFrame:
+    """Word counts of packed documents."""
+    return docs.select("doc_id", F.explode(F.arrays_zip("ids", "cnts")).alias("e")).select("doc_id", F.col("e.ids").alias("word_id"), F.col("e.cnts").alias("cnt"))
+
+
 def solve_documents(doc: np.ndarray, n_docs: int, cnt: np.ndarray, logs: np.ndarray, alpha: float, passes: int, tolerance: float):
     """Gamma of a batch of documents, and the responsibilities it implies.
 
@@ -113,6 +118,18 @@ def _batches(batches: Iterator[pd.DataFrame], topics: int) -> Iterator[pd.DataFr
             at = end
 
 
+def add_sums(pdf: pd.DataFrame, words: np.ndarray, logs: np.ndarray, total: np.ndarray, seen: np.ndarray, alpha: float, passes: int, tolerance: float):
+    """Adds ``cnt * phi`` of a batch of documents to ``total`` (words x topics)."""
+    doc, at, cnt = _flatten(pdf, words)
+    if not len(at):
+        return
+    _, phi = solve_documents(doc, len(pdf), cnt, logs[at], alpha, passes, tolerance)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    total[at[order][first]] += np.add.reduceat((cnt[:, None] * phi)[order], first)
+    seen[at] = True
+
+
 class EStep:
     """E-step of many documents against fixed topics."""
 
@@ -130,10 +147,15 @@ class EStep:
         vectors = self._gamma_sent(counts) if self.sent else self._gamma_joined(counts)
         return vectors.select("doc_id", F.posexplode("g").alias("topic", "gamma"))
 
-    def sstats(self, counts: DataFrame) -> DataFrame:
-        """``(topic, word_id, s)`` with ``s`` the sum of ``cnt * phi`` over the documents."""
+    def release(self) -> None:
+        """Takes what was sent back from the tasks; tables that need it must be written."""
         if self.sent:
-            return self._sstats_sent(counts)
+            self.packet.destroy()
+
+    def sstats(self, counts: DataFrame, packed: DataFrame | None = None) -> DataFrame:
+        """``(topic, word_id, s)`` with ``s`` the sum of ``cnt * phi`` over the documents; ``packed``: the same documents, packed already."""
+        if self.sent:
+            return self._sstats_sent(pack_documents(counts) if packed is None else packed)
         return self._sstats_joined(counts)
 
     def document_bound(self, counts: DataFrame) -> DataFrame:
@@ -154,25 +176,19 @@ class EStep:
 
         return pack_documents(counts).mapInPandas(run, "doc_id long, g array<double>")
 
-    def _sstats_sent(self, counts: DataFrame) -> DataFrame:
+    def _sstats_sent(self, docs: DataFrame) -> DataFrame:
         packet, alpha, passes, tolerance = self.packet, self.alpha, self.passes, self.tolerance
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words, logs = packet.value
             total, seen = np.zeros_like(logs), np.zeros(len(words), dtype=bool)
             for pdf in _batches(batches, logs.shape[1]):
-                doc, at, cnt = _flatten(pdf, words)
-                if not len(at):
-                    continue
-                _, phi = solve_documents(doc, len(pdf), cnt, logs[at], alpha, passes, tolerance)
-                order = np.argsort(at, kind="stable")
-                first = np.flatnonzero(np.diff(at[order], prepend=-1))
-                total[at[order][first]] += np.add.reduceat((cnt[:, None] * phi)[order], first)
-                seen[at] = True
-            # One partial sum per task and word, so the shuffle does not grow with the documents.
-            yield pd.DataFrame({"word_id": words[seen], "s": list(total[seen])})
-
-        parts = pack_documents(counts).mapInPandas(run, "word_id long, s array<double>")
+                add_sums(pdf, words, logs, total, seen, alpha, passes, tolerance)
+            # One partial sum per task and word, so the shuffle does not grow with the documents.  A task without words has none.
+            if seen.any():
+                yield pd.DataFrame({"word_id": words[seen], "s": list(total[seen])})
+
+        parts = docs.mapInPandas(run, "word_id long, s array<double>")
         cells = parts.select("word_id", F.posexplode("s").alias("topic", "s"))
         return cells.groupBy("topic", "word_id").agg(F.sum("s").alias("s"))
 
