@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidelearn.catalog.fixtures import ORD, SENTINEL, ord_rows
 from tidelearn.catalog.registry import register, spread_table, table
 from tidelearn.catalog.rows import rounded
-from tidelearn.catalog.words import BY_DF, SPACE, VOCAB, by_df, documents, doc_total, space_counts, token_counts, vocabulary
+from tidelearn.catalog.words import SPACE, STOP, VOCAB, documents, doc_total, space_counts, token_counts, vocabulary
 from tidelearn.operators import text as tx, topics as tp
 from tidelearn.operators.routing import unlabel
 from tidelearn.operators.sax import Sax, SaxDictionary, breakpoints, majority_class
@@ -279,23 +279,23 @@ def batch_linear_svc(spark, sf):
     return _coef(baselines.linear_svc(labelled(spark, sf)), 4)
 
 
-def frequent(spark, sf):
-    """The bounded vocabulary (at most 1,000 words) by document frequency."""
-    return [r["word"] for r in by_df(spark, sf).orderBy("word").select("word").collect()]
+def frequent(counts, total):
+    """The bounded vocabulary (at most 1,000 words) by document frequency, from counts that are written."""
+    return [r["word"] for r in tx.vocabulary_by_df(counts, total).orderBy("word").select("word").collect()]
 
 
 @register("batch_lda")
 def batch_lda(spark, sf):
-    counts = token_counts(spark, sf)
+    counts = token_counts(spark, sf, STOP)
     # At most 1,000 words.
-    vocab = spark.createDataFrame(list(enumerate(frequent(spark, sf))), "word_id int, word string")
-    topics = baselines.batch_lda(materialize(tx.encode(counts, vocab), "counts"), vocab)
+    vocab = spark.createDataFrame(list(enumerate(frequent(counts, doc_total(spark, sf)))), "word_id int, word string")
+    topics = baselines.batch_lda(tx.encode(counts, vocab), vocab)
     return rounded(tx.top_words(topics, 20), 6, "share")
 
 
 @register("batch_nmf")
 def batch_nmf(spark, sf):
-    counts, total = token_counts(spark, sf), doc_total(spark, sf)
+    counts, total = token_counts(spark, sf, STOP), doc_total(spark, sf)
     words = materialize(tx.vocabulary_by_df(counts, total), "frequent-words")
     vocab = [r["word"] for r in words.orderBy("word").collect()]
     topics = baselines.batch_nmf(tx.tfidf(counts, words, total), vocab)

@@ -145,7 +145,7 @@ def empty_docs(spark, sf):
 
 BY_DF = f"""
 {TOKENS},
-counts AS (SELECT doc_id, word, count(*) AS cnt FROM tok WHERE word NOT IN ({', '.join(repr(w) for w in STOP)}) GROUP BY 1, 2),
+counts AS (SELECT doc_id, word, count(*) AS cnt FROM tok GROUP BY 1, 2),
 total AS (SELECT count(*) AS n_docs FROM documents),
 kept AS (
   SELECT word, count(*) AS df, CAST(sum(cnt) AS BIGINT) AS tf FROM counts GROUP BY word
@@ -153,10 +153,10 @@ kept AS (
   ORDER BY tf DESC, encode(word) LIMIT 1000)"""
 
 
-def token_counts(spark, sf):
-    """Words of each document without stop words; texts are cut once, the counts are written for those who need them twice."""
-    counts = tx.drop_stop_words(tx.word_counts(documents(spark, sf), tx.word_tokens(F.col("text"))), STOP)
-    return materialize(counts, "token-counts")
+def token_counts(spark, sf, stop=()):
+    """Words of each document, but for ``stop``; texts are cut once, the counts are written for those who need them twice."""
+    counts = tx.word_counts(documents(spark, sf), tx.word_tokens(F.col("text")))
+    return materialize(tx.drop_stop_words(counts, stop) if stop else counts, "token-counts")
 
 
 def by_df(spark, sf):
