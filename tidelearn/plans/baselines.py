@@ -54,12 +54,16 @@ def batch_lda(counts: DataFrame, vocab: DataFrame, topics: int = 10, passes: int
     """Topics of ``(doc_id, word_id, cnt)`` after whole passes: ``(topic, word, weight)``.
 
     Every pass solves every document against the topics of the pass before and builds the topics anew from all of them.
+    Documents are gathered once, for all passes.
     """
     model = TopicModel(TopicParams(topics=topics, seed=seed))
     state = materialize(model.start(vocab), "lda-start")
+    docs = materialize(tp.pack_documents(counts), "lda-documents")
     for k in range(passes):
-        sstats = model.e_step(state).sstats(counts)
+        step = model.e_step(state)
+        sstats = step.sstats(tp.unpack_documents(docs), docs)
         state = materialize(tp.blend(state, sstats, 1.0, model.params.eta, 1.0), f"lda-{k}")
+        step.release()
     return state.join(vocab, "word_id").select("topic", "word", "weight")
 
 
