@@ -87,3 +87,28 @@ def test_split_characters_and_wrong_bytes(plain):
 def test_empty_table(make):
     empty = make([(1, "x")]).where("doc_id > 9")
     assert bpe.decode(bpe.encode(empty, PATH), PATH).count() == 0
+
+
+def test_matches_are_cut_alike():
+    """The regex module cuts texts of assigned characters as the library does, so remembered matches give the library's ids."""
+    import unicodedata
+
+    import regex
+    from tokenizers import Regex, pre_tokenizers
+
+    library, own = pre_tokenizers.Split(Regex(P.PATTERN), "isolated"), regex.compile(P.PATTERN)
+    known = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    for form in ("a{0}a1{0}1", " {0}{0} !{0}!", "{0}", "\n{0}"):
+        for a in range(0, len(known), 5000):
+            text = "\x00".join(map(form.format, known[a : a + 5000]))
+            assert [m for m, _ in library.pre_tokenize_str(text)] == own.findall(text)
+
+
+def test_remembered_ids_are_the_library_s(monkeypatch):
+    codec = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    texts = ["", "it's  \n\n x's 'st 12 345!?  ", "࢏՘ new", "z" * 100 + " é́", "a  　b"] * 2
+    want = [codec.library.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (1 << 17, 0):
+        monkeypatch.setattr(bpe, "MEMORY", most)
+        assert [ids.tolist() for ids in codec.encode(texts)] == want
+    assert 0 < len(codec.memory) and max(map(len, codec.memory)) <= bpe.LONGEST

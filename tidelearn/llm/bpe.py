@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from tidelearn.llm.tokens import byte_letters
 
 #: Characters of text given to the library at a time; a longer run without a safe cut is given whole.
 RUN = 1 << 18
+#: Matches of the pattern that a worker remembers the ids of, and the characters of the longest of them.
+MEMORY, LONGEST = 1 << 17, 32
 #: A single space between other characters: the pattern always begins a match there, and none reaches across.
 _SAFE = regex.compile(r"(?<=\S) (?=\S)")
 
@@ -65,6 +68,7 @@ class Codec:
         self.library.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
+        self.split, self.memory, self.plain = regex.compile(pattern), {}, set()
         words = [b""] * (max(ranks.values()) + 1)
         for word, r in ranks.items():
             words[r] = word
@@ -88,8 +92,26 @@ class Codec:
         yield from self._run(held)
 
     def _run(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, np.int32)
+        """Ids match by match: a match's ids depend on it alone, so the library encodes each once and they are remembered."""
+        for text in texts:
+            if not self._plain(text):
+                yield np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+                continue
+            matches = self.split.findall(text)
+            known, found = self.memory, {}
+            new = [m for m in set(matches) if m not in known]
+            if new:
+                found = {m: np.array(e.ids, np.int32).tobytes() for m, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
+                if len(known) + len(new) <= MEMORY:
+                    known.update((m, ids) for m, ids in found.items() if len(m) <= LONGEST)
+            ids = [known[m] if m in known else found[m] for m in matches] if found else map(known.__getitem__, matches)
+            yield np.frombuffer(b"".join(ids), np.int32)
+
+    def _plain(self, text: str) -> bool:
+        """Whether all characters are assigned in Unicode 15: the regex module and the library, of other versions, disagree on newer ones only."""
+        new = set(text) - self.plain
+        self.plain |= {c for c in new if unicodedata.category(c) != "Cn"}
+        return new <= self.plain
 
     def ends(self, ids: np.ndarray) -> np.ndarray:
         """Byte position behind each token."""
