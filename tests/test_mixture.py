@@ -1,6 +1,8 @@
 """Mixture steps and the whole loop against plain numpy, one row at a time."""
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,54 @@ def test_merge_and_split_keep_the_moments():
     spread = sum(g.full(h["sigma"], 2) + np.outer(h["mu"] - mean, h["mu"] - mean) for h in halves) / 2
     assert np.allclose(mean, [1, 1]) and np.allclose(spread, np.diag([9.0, 1.0]))
     assert [h["id"] for h in halves] == [2, 0]
+
+
+class Taken:
+    """Stands for a table: hands over the function that its tasks would run."""
+
+    dtypes = [("model_id", "bigint")]
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *columns):
+        return self
+
+    def repartition(self, *by):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def mapInPandas(self, run, schema):
+        self.run = run
+        raise StopIteration
+
+
+def test_few_models_are_objects_at_a_time(spark):
+    batch = pa.RecordBatch.from_pylist([{"model_id": k} for k in range(2 * mx.MODELS + 5)])
+    seen = []
+    run = mx.per_model(Taken(spark), lambda row: [seen.append(row["model_id"]) or row], "model_id long").run
+    done = 0
+    for out in run(iter([batch])):
+        assert len(seen) - done <= mx.MODELS
+        done += len(out)
+    assert seen == list(range(len(batch))) and done == len(batch)
+
+
+def test_statistics_leave_in_few_rows(spark, monkeypatch):
+    models = 2 * mx.MODELS + 5
+    rows = [(k, 0, 1.0, 1.0, [float(k), 0.0], [1.0, 0.0, 1.0], 1) for k in range(models)]
+    components = spark.createDataFrame(rows, "model_id long, id long, tau double, c double, mu array<double>, sigma array<double>, label int")
+    matcher = mx.Matcher(mx.pack_components(components, 6), MixtureParams(dimension=2))
+    assert matcher.sent
+    taken = Taken(spark)
+    monkeypatch.setattr(matcher, "_known", lambda rows: taken)
+    with pytest.raises(StopIteration):
+        matcher.window_stats(taken)
+    given = pd.DataFrame({"model_id": range(models), "seq": range(models), "label": 1, "features": [np.array([float(k), 0.5]) for k in range(models)]})
+    parts = list(taken.run(iter([given])))
+    assert max(map(len, parts)) <= mx.MODELS
+    out = pd.concat(parts)
+    assert sorted(out["model_id"]) == list(range(models)) and (out["rows"] == 1).all() and np.allclose(out["q"], 1.0)

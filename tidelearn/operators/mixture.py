@@ -28,6 +28,8 @@ UNROLL = 8
 SENT_CELLS = 4_000_000
 # Numbers one step of a batch may gather.
 BATCH_CELLS = 4_000_000
+# Models, or rows of their statistics, that are Python objects at a time.
+MODELS = 256
 COMPONENT = (
     "struct<id:bigint,tau:double,c:double,mu:array<double>,sigma:array<double>,label:int,"
     "prec:array<double>,white:array<array<double>>,logdet:double>"
@@ -41,9 +43,10 @@ def per_model(df: DataFrame, fn: Callable[[dict], list[dict]], schema: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [out for row in batch.to_pylist() for out in fn(row)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            for low in range(0, len(batch), MODELS):
+                rows = [out for row in batch.slice(low, MODELS).to_pylist() for out in fn(row)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return df.repartition(tasks(df.sparkSession), *KEY).mapInArrow(run, schema)
 
@@ -260,8 +263,9 @@ class Matcher:
                     lead["qx"], lead["qxx"] = [zero_x] * len(lead), [zero_s] * len(lead)
                     lead["x"] = list(x[lead["row"].to_numpy()])
                     yield lead[[c.strip().split(" ")[0] for c in out.split(", ")]]
-            i, j = np.nonzero(q_sum)
-            if len(i):
+            used = np.nonzero(q_sum)
+            for low in range(0, len(used[0]), MODELS):
+                i, j = (u[low : low + MODELS] for u in used)
                 yield pd.DataFrame({
                     "model_id": models[i], "situation": 3, "key": t["id"][i, j], "rows": n_rows[i, j], "q": q_sum[i, j],
                     "first_seq": first[i], "first_label": 0, "qx": list(x_sum[i, j]), "qxx": list(s_sum[i, j]),
