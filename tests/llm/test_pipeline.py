@@ -195,6 +195,43 @@ def test_latent_space_is_the_svd(spark):
     assert np.allclose((a @ space[:40]).T @ (a @ space[:40]), np.eye(5), atol=0.02)
 
 
+def test_space_is_fitted_on_all_passages(spark, make, edited):
+    """Coordinates of all passages together are white, which those of a share of them are not."""
+    docs = edited[0] + edited[1]
+    space = dc.fit(make(docs).repartition(3))
+    held, gram, total = np.zeros(dc.FEATURES, int), np.zeros((dc.RANK, dc.RANK)), 0
+    for _, text in docs:
+        data, bounds = words.utf8(pa.array([text]))
+        f = dc._feature(dc._hashed(data, bounds)[0])
+        for low in range(0, len(f), dc.PASSAGE):
+            own, often = np.unique(f[low : low + dc.PASSAGE], return_counts=True)
+            held[own] += 1
+            x = often @ space.vectors[own] / np.linalg.norm(often * space.weight[own])
+            gram += np.outer(x, x)
+            total += 1
+    assert total > dc.SAMPLE
+    assert np.allclose(space.weight, np.log((1 + total) / np.maximum(held, 1)), atol=1e-4)
+    assert np.allclose(gram, np.eye(dc.RANK), atol=0.005)
+
+
+def test_long_passages_and_empty_ones_in_products():
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((50, 7)).astype(np.float32)
+    size = np.array([0, 3, 900, 0, 1, 64, 0])
+    bounds = np.append(0, size.cumsum())
+    index = rng.integers(0, 50, bounds[-1])
+    want = [rows[index[a:b]].sum(0) for a, b in zip(bounds[:-1], bounds[1:])]
+    assert np.allclose(dc._sums(dc._with_zero(rows), index, bounds), want, atol=1e-3)
+    out = np.ones((20, 7), np.float32)
+    dc._add_runs(out, np.arange(19, 12, -1), dc._with_zero(rows), index, bounds)
+    assert np.allclose(out[19:12:-1], 1 + np.array(want), atol=1e-3) and (out[:13] == 1).all()
+    for n in (1, 63, 64, 65, 300):
+        some = rng.standard_normal((n, 7)).astype(np.float32)
+        out = np.empty_like(some)
+        dc._running(some.copy(), out)
+        assert np.allclose(out, some.cumsum(0), atol=1e-4)
+
+
 def test_stages(spark, sf_dir):
     """Every stage works on what the one before kept, by plain versions of its rule."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -1,15 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Words are hashed to ``FEATURES`` numbers; how many passages of ``PASSAGE`` words hold each is counted over all documents.
-2. A randomised SVD of the TF-IDF matrix of a bounded sample of passages gives a latent space: tasks multiply their
-   passages with a thin matrix and add up, the driver only orthogonalises the thin matrix.
+2. A randomised SVD of the TF-IDF matrix of all passages gives a latent space: tasks multiply their passages with a
+   thin matrix and add up, the driver only orthogonalises the thin matrix.
 3. Every window of every document (of about each item's length) is held against all items by cosine in that space.
 4. What the cosine misses is found by words: a text that shares ``LCS`` of an item's words has some of the item's rarest,
    however it is edited. Items longer than the largest window are found this way alone.
 5. Candidates are verified where they are found: the longest common subsequence of words with the item and, for
    paraphrases, the item's answer must be there.
 
-All documents are indexed and searched; only the space is fitted on a sample.
+All documents are counted, fitted on, indexed and searched.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from tidelearn.session import materialize
 
 FEATURES, RANK, SPARE, ROUNDS = 1 << 15, 80, 12, 2
 PASSAGE = 32
-#: Passages that the latent space is fitted on, at most.
+#: The tests fit the latent space on more passages than this; there is no bound.
 SAMPLE = 32_768
 #: Items, and characters of items, searched for in one pass over the documents.
 ITEM_BLOCK, ITEM_CHARS = 4096, 8 << 20
@@ -55,8 +55,10 @@ CHUNK = 1 << 20
 #: Words are runs of ASCII letters, digits and anything beyond ASCII, in lower case.
 PARTS = np.ones(256, bool)
 PARTS[0x30:0x3A] = PARTS[0x41:0x5B] = PARTS[0x61:0x7B] = PARTS[0x80:] = False
-#: Tasks that multiply the sample; each sends sums as tall as the features.
-_TASKS, _SLICES, _PASSAGES = 4, 32, 1024
+#: Tasks that add up sums as tall as the features, and passages for each task that sends such sums.
+_TASKS, _SLICES, _SHARE = 4, 32, 1 << 18
+#: Passages multiplied together, at least, and words whose rows are gathered at a time.
+_PASSAGES, _GATHERED = 1 << 14, 1024
 
 
 def _hashed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,68 +78,132 @@ def _pieces(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first[:-1], count) + local * size, head
 
 
-def passage_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Passages that hold each feature, over all documents, and the number of passages."""
+def _sums(rows: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of the rows that each run of ``index`` names.  The last row is zero and fills short runs up."""
+    size = np.diff(bounds)
+    wide = int(size.max(initial=1))
+    full = np.full((len(size), wide), len(rows) - 1, np.int32)
+    full[np.arange(wide) < size[:, None]] = index
+    out, one = np.empty((len(size), rows.shape[1]), np.float32), np.ones((1, wide), np.float32)
+    step = max(1, _GATHERED // wide)
+    for low in range(0, len(size), step):
+        some = full[low : low + step]
+        np.matmul(one, rows.take(some, axis=0, mode="clip"), out=out[low : low + step, None])
+    return out
+
+
+def _add_runs(out: np.ndarray, place: np.ndarray, rows: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> None:
+    """Adds the sum of the rows that each run of ``index`` names to its place of ``out``; runs of like lengths go together."""
+    size = np.diff(bounds)
+    for wide in (1, 2, 4, 8, 16, 32, None):
+        own = np.flatnonzero((size > wide // 2) & (size <= wide) if wide else size > 32)
+        if not len(own):
+            continue
+        first = np.append(0, size[own].cumsum())
+        some = index[np.arange(first[-1]) + np.repeat(bounds[own] - first[:-1], size[own])]
+        if wide:
+            out[place[own]] += _sums(rows, some, first)
+        else:
+            starts, head = _pieces(first, 32)
+            out[place[own]] += np.add.reduceat(_sums(rows, some, np.append(starts, first[-1])), head[:-1])
+
+
+def _running(rows: np.ndarray, out: np.ndarray) -> None:
+    """Running sums of ``rows`` into ``out``, 64 rows at a time side by side, then the sums of those before."""
+    whole = len(rows) // 64 * 64
+    if whole:
+        side = rows[:whole].reshape(-1, 64, rows.shape[1])
+        for k in range(1, 64):
+            side[:, k] += side[:, k - 1]
+        side[1:] += np.cumsum(side[:-1, -1], axis=0)[:, None]
+        out[:whole] = rows[:whole]
+    if whole < len(rows):
+        np.cumsum(rows[whole:], axis=0, out=out[whole:])
+        if whole:
+            out[whole:] += out[whole - 1]
+
+
+def _with_zero(rows: np.ndarray) -> np.ndarray:
+    return np.concatenate((rows, np.zeros((1, rows.shape[1]), np.float32)), dtype=np.float32)
+
+
+def all_passages(docs: DataFrame) -> DataFrame:
+    """(features) of every text's words as 16-bit numbers; each ``PASSAGE`` of them are a passage."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, bounds in words.chunks(batch.column(0), CHUNK):
+                h, first = _hashed(data, bounds)
+                rows = [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(_feature(h).astype("<u2"))]
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(first) - 1, rows)], ["features"])
+        give_back()
+
+    return docs.mapInArrow(cut, "features binary")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, bounds) of at least ``_PASSAGES`` passages at a time but the last, fewer than twice as many."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        bounds = np.concatenate([[0], *(size for _, size in held)]).cumsum()
+        return np.concatenate([f for f, _ in held]), bounds
+
+    n = 0
+    for batch in batches:
+        rows = batch.column(0)
+        if pa.types.is_list(rows.type):
+            f, first = rows.flatten().to_numpy(), rows.offsets.to_numpy() - rows.offsets[0].as_py()
+            starts = first[:-1]
+        else:
+            data, first = words.bytes_of(rows)
+            f = data[first[0] : first[-1]].view("<u2")
+            starts, _ = _pieces((first - first[0]) // 2, PASSAGE)
+        ends = np.append(starts[1:], len(f))
+        for low in range(0, len(starts), _PASSAGES):
+            begin, end = starts[low : low + _PASSAGES], ends[low : low + _PASSAGES]
+            held.append((f[begin[0] : end[-1]], end - begin))
+            n += len(begin)
+            if n >= _PASSAGES:
+                yield joined()
+                held, n = [], 0
+    if n:
+        yield joined()
+
+
+def _sorted(f: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage and feature of all words as sorted numbers, where each pair begins, and how often it is there."""
+    pairs = np.sort(np.repeat(np.arange(len(bounds) - 1, dtype=np.int32) * FEATURES, np.diff(bounds)) + f.astype(np.int32))
+    at = np.flatnonzero(np.diff(pairs, prepend=-1))
+    return pairs, at, np.diff(at, append=len(pairs))
+
+
+def passage_counts(passages: DataFrame) -> tuple[np.ndarray, int]:
+    """Passages that hold each feature, and the number of passages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(FEATURES + 1, np.int64)
-        for batch in batches:
-            for _, data, bounds in words.chunks(batch.column(1), CHUNK):
-                h, first = _hashed(data, bounds)
-                starts, head = _pieces(first, PASSAGE)
-                piece = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
-                held[:FEATURES] += np.bincount(words.distinct(piece * FEATURES + _feature(h)) % FEATURES, minlength=FEATURES)
-                held[FEATURES] += len(starts)
+        for f, bounds in _blocks(batches):
+            pairs, at, _ = _sorted(f, bounds)
+            held[:FEATURES] += np.bincount(pairs[at] % FEATURES, minlength=FEATURES)
+            held[FEATURES] += len(bounds) - 1
         found = np.flatnonzero(held)
         give_back()
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(held[found])], ["feature", "n"])
 
-    sums = docs.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    sums = passages.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     held = np.zeros(FEATURES + 1, np.int64)
     held[sums["feature"].to_numpy()] = sums["n"].to_numpy()
     return held[:FEATURES], int(held[FEATURES])
 
 
-def sample_passages(docs: DataFrame, total: int, most: int = SAMPLE) -> DataFrame:
-    """(features) of at most ``most`` passages: those with the least hash of document id and position."""
-    limit = np.uint64(min(2**64 - 1, int(2**64 * min(1.0, 1.5 * most / max(total, 1)))))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, data, bounds in words.chunks(batch.column(1), CHUNK):
-                h, first = _hashed(data, bounds)
-                starts, head = _pieces(first, PASSAGE)
-                ids = np.array([i or 0 for i in batch.column(0).slice(start, len(bounds) - 1).to_pylist()], np.int64).view(np.uint64)
-                local = np.arange(len(starts)) - np.repeat(head[:-1], np.diff(head))
-                key = words.mix(words.mix(np.repeat(ids, np.diff(head)) + np.uint64(1)) ^ local.astype(np.uint64))
-                chosen = np.flatnonzero(key <= limit)
-                ends = np.append(starts, len(h))
-                rows = [_feature(h[starts[p] : ends[p + 1]]).astype(np.int32) for p in chosen]
-                yield pa.RecordBatch.from_arrays([pa.array((key[chosen] >> np.uint64(1)).astype(np.int64)), pa.array(rows, pa.list_(pa.int32()))], ["key", "features"])
-
-    return docs.mapInArrow(pick, "key long, features array<int>").orderBy("key", F.hash("features")).limit(most).select("features")
-
-
-def _rows(column: pa.Array, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, weights, bounds) of TF-IDF rows of length 1."""
-    bounds = column.offsets.to_numpy() - column.offsets[0].as_py()
-    features = column.flatten().to_numpy()
-    piece = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    # Words that repeat in a passage add up.
-    pairs, back = np.unique(piece * FEATURES + features, return_inverse=True)
-    w = np.bincount(back, weight[features], len(pairs))
-    piece = pairs // FEATURES
-    norm = np.sqrt(np.bincount(piece, w * w, len(bounds) - 1))
-    return pairs % FEATURES, (w / norm[piece]).astype(np.float32), np.searchsorted(piece, np.arange(len(bounds)))
-
-
-def latent_space(sample: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
+def latent_space(passages: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
     """(FEATURES, rank): maps summed words to whitened latent coordinates, weights included.
 
-    Randomised SVD with ``ROUNDS`` power iterations.  A task sends sums as tall as the features, in slices that are
+    ``passages`` holds a list of features for each, or what ``all_passages`` gives.  Randomised SVD with ``ROUNDS`` power iterations.  A task sends sums as tall as the features, in slices that are
     added up before they reach the driver; their size is fixed by FEATURES and rank.
     """
-    spark, width = sample.sparkSession, rank + SPARE
+    spark, width = passages.sparkSession, rank + SPARE
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, width)))[0].astype(np.float32)
     high = FEATURES // _SLICES
 
@@ -145,21 +211,22 @@ def latent_space(sample: DataFrame, weight: np.ndarray, rank: int = RANK, seed:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, w = sent.value
             out = np.zeros((width, width) if gram else (FEATURES, width), np.float64 if gram else np.float32)
-            for batch in batches:
-                # Products are as wide as the basis: few passages at a time.
-                for low in range(0, len(batch), _PASSAGES):
-                    rows = batch.column(0).slice(low, _PASSAGES)
-                    f, v, bounds = _rows(rows, w)
-                    filled = bounds[:-1] < bounds[1:]
-                    y = np.zeros((len(rows), width), np.float32)
-                    y[filled] = np.add.reduceat(q[f] * v[:, None], bounds[:-1][filled])
-                    if gram:
-                        out += y.T.astype(np.float64) @ y
-                    else:
-                        order = np.argsort(f, kind="stable")
-                        piece = np.repeat(np.arange(len(rows)), np.diff(bounds))[order]
-                        at = np.flatnonzero(np.diff(f[order], prepend=-1))
-                        out[f[order][at]] += np.add.reduceat(y[piece] * v[order][:, None], at)
+            own = _with_zero(q * w[:, None])
+            for f, bounds in _blocks(batches):
+                # TF-IDF rows of length 1; words that repeat in a passage add up.
+                pairs, at, often = _sorted(f, bounds)
+                norm = np.sqrt(np.bincount(pairs[at] // FEATURES, (w[pairs[at] % FEATURES] * often) ** 2, len(bounds) - 1))
+                scale = np.divide(1, norm, out=np.zeros_like(norm), where=norm > 0).astype(np.float32)[:, None]
+                y = _sums(own, pairs % FEATURES, bounds) * scale
+                if gram:
+                    out += y.T @ y
+                elif len(pairs):
+                    order = np.argsort((pairs % FEATURES).astype(np.uint16), kind="stable")
+                    f, piece = (pairs % FEATURES)[order], (pairs // FEATURES)[order]
+                    at = np.flatnonzero(np.diff(f, prepend=-1))
+                    _add_runs(out, f[at], _with_zero(y * scale), piece, np.append(at, len(f)))
+            if not gram:
+                out *= w[:, None]
             parts = [out] if gram else np.split(out, _SLICES)
             used = [k for k, p in enumerate(parts) if p.any()]
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[k].astype(np.float32 if not gram else np.float64).tobytes() for k in used], pa.binary())], ["slice", "part"])
@@ -173,7 +240,7 @@ def latent_space(sample: DataFrame, weight: np.ndarray, rank: int = RANK, seed:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([p.tobytes() for p in held.values()], pa.binary())], ["slice", "part"])
 
         kind, kind_of = "slice int, part binary", np.float64 if gram else np.float32
-        got = sample.mapInArrow(run, kind).repartition(_TASKS, "slice").mapInArrow(add, kind).toArrow()
+        got = passages.mapInArrow(run, kind).repartition(_TASKS, "slice").mapInArrow(add, kind).toArrow()
         out = np.zeros((1 if gram else _SLICES, width * (width if gram else high)))
         for k, part in zip(got["slice"].to_pylist(), got["part"].to_pylist()):
             out[k] = np.frombuffer(part, kind_of)
@@ -251,6 +318,9 @@ class Rare:
         self.owner = owner[order]
         self.keys, self.head = np.unique(keys[order], return_index=True)
         self.head = np.append(self.head, len(keys))
+        #: Whether some key begins with these 16 bits.
+        self.begins = np.zeros(1 << 16, bool)
+        self.begins[(self.keys >> np.uint64(48)).astype(np.int64)] = True
         self.span, self.stride = (np.array([getattr(i, n) for i in items]) for n in ("span", "stride"))
 
     @cached_property
@@ -260,9 +330,10 @@ class Rare:
 
     def places(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, Item, int, int]]:
         """(text, item, first word, end) of all stretches that may hold an item: each span of its length is inside one."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        place = np.flatnonzero(self.keys[at] == h)
-        at = at[place]
+        place = np.flatnonzero(self.begins[(h >> np.uint64(48)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, h[place]), len(self.keys) - 1)
+        there = self.keys[at] == h[place]
+        place, at = place[there], at[there]
         count = self.head[at + 1] - self.head[at]
         if count.sum() > PLACES and len(self.items) > 1:
             # Common words: fewer items at a time.
@@ -349,6 +420,7 @@ def common(marks: list[int], size: int) -> int:
 
 def find(column: pa.Array, items: Items, space: np.ndarray, cosine: float = COSINE, lcs: float = LCS) -> Iterator[tuple[int, list[tuple]]]:
     """For each text with hits its index and (item id, item words, common words, cosine, answer found, first word) per item."""
+    filled = _with_zero(space)
     for start, data, bounds in words.chunks(column, CHUNK):
         h, first = _hashed(data, bounds)
         pieces, head = _pieces(first, STEP)
@@ -357,10 +429,7 @@ def find(column: pa.Array, items: Items, space: np.ndarray, cosine: float = COSI
         f, ends = _feature(h), np.append(pieces[1:], len(h))
         # Running sums of the latent vectors of all words, so that a window is a difference.
         sums = np.zeros((len(pieces) + 1, space.shape[1]), np.float32)
-        for k in range(STEP):
-            there = np.flatnonzero(pieces + k < ends)
-            sums[there + 1] += space[f[pieces[there] + k]]
-        np.cumsum(sums, axis=0, out=sums)
+        _running(_sums(filled, f, np.append(pieces, len(h))), sums[1:])
         text_of = np.repeat(np.arange(len(head) - 1), np.diff(head))
         local = np.arange(len(pieces)) - head[text_of]
         count = np.diff(head)[text_of]
@@ -374,12 +443,13 @@ def find(column: pa.Array, items: Items, space: np.ndarray, cosine: float = COSI
             stride = max(1, long // 4)
             begin = np.flatnonzero((local % stride == 0) & (local <= np.maximum(count - long + stride - 1, 0)))
             end = np.minimum(begin + long, head[text_of[begin] + 1])
-            for a in range(0, len(begin), 8192):
-                x = sums[end[a : a + 8192]] - sums[begin[a : a + 8192]]
+            for a in range(0, len(begin), 1024):
+                x = sums.take(end[a : a + 1024], axis=0)
+                x -= sums.take(begin[a : a + 1024], axis=0)
                 least = cosine * np.sqrt(np.einsum("ij,ij->i", x, x)) + np.float32(1e-6)
                 for rows in range(0, len(own), 512):
                     c = x @ vectors[rows : rows + 512].T
-                    window_at, item_at = np.nonzero(c >= least[:, None])
+                    window_at, item_at = np.divmod(np.flatnonzero(c >= least[:, None]), c.shape[1])
                     close = c[window_at, item_at] / (least[window_at] / cosine)
                     window_at += a
                     d = text_of[begin[window_at]]
@@ -443,14 +513,13 @@ def item_blocks(benchmark: DataFrame, space: Space, item_id: str = "item_id", te
             yield send(spark, cloudpickle.dumps((items, space.vectors)))  # with its classes, which tasks may not be able to import
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Space:
+def fit(docs: DataFrame, text: str = "text") -> Space:
     """The latent space of the documents' passages."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    counts, total = passage_counts(rows)
+    passages = materialize(all_passages(docs.select(F.col(text).alias("text"))), "decontaminate-passages")
+    counts, total = passage_counts(passages)
     # The rarest words tell passages apart best; unseen features weigh as much as those seen once.
     weight = np.log((1 + total) / np.maximum(counts, 1)).clip(0).astype(np.float32)
-    sample = materialize(sample_passages(rows, total).repartition(_TASKS), "decontaminate-sample")
-    return Space(latent_space(sample, weight), weight)
+    return Space(latent_space(passages.coalesce(max(_TASKS, total // _SHARE)), weight), weight)
 
 
 HIT = "doc_id bigint, item_id bigint, item_words bigint, common_words bigint, cosine double, answer_found boolean, first_word bigint"
@@ -465,7 +534,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     reported with a null id.  Empty tables give no rows.  Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    space = fit(docs, doc_id, text) if space is None else space
+    space = fit(docs, text) if space is None else space
 
     def search(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

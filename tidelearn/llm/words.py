@@ -39,7 +39,13 @@ LOWER[65:91] = _BYTES[97:123]
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and where each text starts (and the last ends); null counts as empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    return bytes_of(column.cast(pa.large_string()).fill_null(""))
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text or binary column without nulls and where each value starts (and the last ends)."""
+    if not (pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)):
+        column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
